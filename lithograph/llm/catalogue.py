@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lithograph.llm import exact_dedup
+from lithograph.llm import exact_dedup, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (exact_dedup,):
+for _module in (exact_dedup, token_files):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> SparkSession:
+    """Whole texts reach Python in batches of few rows, so that a worker's memory stays bounded."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return spark
+
+
+def slices(texts: list[str], size: int = 1 << 18) -> Iterator[list[str]]:
+    """Consecutive runs of the texts of about size characters."""
+    out, n = [], 0
+    for t in texts:
+        out.append(t)
+        n += len(t)
+        if n >= size:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: lost executors then cost no recomputation upstream."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

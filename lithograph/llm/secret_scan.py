@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import table, texts
+from lithograph.llm.common import small_batches, table, texts
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -94,7 +94,7 @@ def find_secrets(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFra
     each. Other columns are ignored; an empty table gives an empty result.
     """
     with open(vocabulary_path, "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
+        sent = small_batches(docs.sparkSession).sparkContext.broadcast((f.read(), pattern))
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -10,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import materialize, table, texts
+from lithograph.llm.common import materialize, slices, small_batches, table, texts
 
 BLOCK = 128  #: ids in a block
 PERCENTILE = 90  #: share of a block's ids that its packed width must hold; the rest are exceptions
 SHARD_IDS = 1 << 20  #: ids after which a file row is closed (it may exceed this by one document)
 END_ID = 2
-CACHE = 1 << 18  #: words whose ids a worker remembers
+CACHE = 1 << 16  #: words whose ids a generation of the worker's memory holds
 
 # --- the format ----------------------------------------------------------------------------------
 # A payload: four uint32 (ids, blocks, exceptions, packed bytes), then per block: minimum (uint32), width in bits
@@ -104,24 +105,57 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer whose tokens never cross ASCII white space: each distinct word is encoded once."""
+    """Ids of whole texts from a tokenizer whose tokens never cross ASCII white space: each distinct word is encoded once.
+
+    New words of a block of texts are encoded together, with a mark between them. Words seen lately are remembered in
+    two generations of bounded size.
+    """
+
+    MARK = b"\x00"
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.mark = self._ids(self.MARK)
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        plain = [w for w in words if self.MARK not in w]
+        if len(self.mark) != 1 or len(plain) < len(words):
+            self.new.update((w, self._ids(w).tobytes()) for w in (words if len(self.mark) != 1 else set(words).difference(plain)))
+        if len(self.mark) == 1 and plain:
+            ids = self._ids(b" \x00 ".join([*plain, b""]))
+            ends = np.flatnonzero(ids == self.mark[0])
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            raw = ids.tobytes()
+            self.new.update(zip(plain, [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids, as little-endian uint32, of each text."""
+        split = [t.encode("utf-8", "replace").split() for t in texts]
+        distinct = set().union(*split)
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        known, old = self.new, self.old
+        missing = []
+        for w in distinct:
+            if w not in known:
+                if (ids := old.get(w)) is not None:
+                    known[w] = ids
+                else:
+                    missing.append(w)
+        if missing:
+            self._encode_words(missing)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
-        known = self.known
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(missing) > CACHE:
-                known = self.known = {}
-                missing = list(dict.fromkeys(words))
-            encoded = self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(missing, encoded, strict=True))
-        return b"".join(map(known.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 SCHEMA = "part int, shard int, doc_ids array<long>, lengths array<long>, payload binary"
@@ -151,11 +185,11 @@ def encode_shards(definition) -> callable:
         end, total = np.array([END_ID], dtype="<u4").tobytes(), 0
         for batch in batches:
             encoder = encoder or WordEncoder(definition.value)
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                encoded = encoder.encode(text.as_py()) + end
-                docs.append(doc_id.as_py())
-                ids.append(encoded)
-                lengths.append(len(encoded) // 4)
+            encoded = (ids for own in slices(batch.column("text").to_pylist()) for ids in encoder.encode_all(own))
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                docs.append(doc_id)
+                ids.append(own + end)
+                lengths.append(len(ids[-1]) // 4)
                 total += lengths[-1]
                 if total >= SHARD_IDS:
                     yield close()
@@ -174,7 +208,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     doc_ids come first; rows of one doc_id stand in any order, next to each other. Other columns are ignored; an
     empty table gives no shards.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lithograph.llm import exact_dedup, license_scan, near_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_files, toxicity
+from lithograph.llm import decontaminate, exact_dedup, license_scan, near_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_files, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (exact_dedup, license_scan, near_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_files, toxicity):
+for _module in (decontaminate, exact_dedup, license_scan, near_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_files, toxicity):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -14,7 +14,7 @@ from lithograph.llm.common import Words, block, mix64, powered, ranges_hash, sli
 
 WINDOW = 50  #: words that a factor has at least
 ANCHOR = 11  #: words of an anchor: each window holds WINDOW - ANCHOR + 1 candidates and is filed under the least hash
-BLOCK_CHARS = 6 << 20  #: characters of a reference block, about (one longer document makes a longer block)
+BLOCK_CHARS = 3 << 20  #: characters of a reference block, about (one longer document makes a longer block)
 HOT_SHARE = 32  #: an anchor with over 1 / (HOT_SHARE * partitions) of all windows is split by window hash ...
 SALTS = 256  #: ... into so many parts
 NO_ID = -(1 << 63)  #: stands for a null id

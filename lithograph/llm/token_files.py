@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ BLOCK = 128  #: ids in a block
 PERCENTILE = 90  #: share of a block's ids that its packed width must hold; the rest are exceptions
 SHARD_IDS = 1 << 20  #: ids after which a file row is closed (it may exceed this by one document)
 END_ID = 2
-CACHE = 1 << 16  #: words whose ids a generation of the worker's memory holds
+CACHE = 1 << 18  #: words whose ids a generation of the worker's memory holds (about 50 MB)
 
 # --- the format ----------------------------------------------------------------------------------
 # A payload: four uint32 (ids, blocks, exceptions, packed bytes), then per block: minimum (uint32), width in bits
@@ -158,6 +159,12 @@ class WordEncoder:
         return self.encode_all([text])[0]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(definition: str) -> WordEncoder:
+    """One for each worker, whose memory then serves all its tasks."""
+    return WordEncoder(definition)
+
+
 SCHEMA = "part int, shard int, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -184,7 +191,7 @@ def encode_shards(definition) -> callable:
 
         end, total = np.array([END_ID], dtype="<u4").tobytes(), 0
         for batch in batches:
-            encoder = encoder or WordEncoder(definition.value)
+            encoder = encoder or word_encoder(definition.value)
             encoded = (ids for own in slices(batch.column("text").to_pylist()) for ids in encoder.encode_all(own))
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 docs.append(doc_id)

@@ -1 +1 @@
-"""Spark-native document retrieval and analytics."""
+"""Text functions on columns."""

@@ -1,6 +1,481 @@
-"""Named queries over the driver tables, each with its DuckDB counterpart."""
+"""Named queries over the driver tables, each with its DuckDB counterpart.
+
+documents stand in for chunks and their documents, embeddings for their vectors (vec_id = doc_id, label = scope),
+labels.quality = 1 for the review gate, conversations for messages, pages for raw files, benchmark for known texts,
+and nation, supplier, lineitem and orders for makers, models, links and documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lithograph.functions import text as T
+from lithograph.operators import answers, chunking, dedup, ingest, metadata, reports, search
+from lithograph.sources.files import table
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+TERMS = ["the", "hessan", "of"]
+QUESTION = "how to replace the part with error code 233"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- scans, hashes, types ------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def scan_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents GROUP BY lang")
+def doc_char_stats(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+@query("""SELECT page_id, CASE WHEN upper(left(html, 9)) = '<!DOCTYPE' THEN 'html' WHEN left(html, 5) = '%PDF-' THEN 'pdf' ELSE 'unknown' END AS kind FROM pages""")
+def sniff_type(spark, d):
+    kind = F.when(F.upper(F.substring("html", 1, 9)) == "<!DOCTYPE", "html").otherwise(F.coalesce(metadata.sniffed_type(F.col("html").cast("binary")), F.lit("unknown")))
+    return table(spark, d, "pages").select("page_id", kind.alias("kind"))
+
+
+@query(r"""SELECT page_id, regexp_extract(lower(url), '(\.[^./?#]+)(?:[?#].*)?$', 1) AS extension FROM pages""")
+def url_extension(spark, d):
+    return table(spark, d, "pages").select("page_id", metadata.extension(F.col("url")).alias("extension"))
+
+
+@query(r"""
+WITH f AS (SELECT page_id, regexp_extract_all(html, '(?is)(<h[1-6][^>]*>.*?</h[1-6]>)', 1) AS tags FROM pages),
+u AS (SELECT page_id, unnest(range(len(tags))) AS pos, unnest(tags) AS tag FROM f)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(substr(tag, 3, 1) AS INTEGER) - 1 AS rank,
+       trim(regexp_replace(tag, '<[^>]*>', '', 'g')) AS heading FROM u""")
+def page_headings(spark, d):
+    return metadata.headings(table(spark, d, "pages"))
+
+
+# --- duplicates ----------------------------------------------------------------------------------
+
+_NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_SHINGLES = f"""
+n AS (SELECT doc_id, {_NORM} AS t FROM documents),
+w AS (SELECT doc_id, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM n),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingle FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"""
+_PAIRS = f"""
+{_SHINGLES},
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b, shared, x.n AS na, y.n AS nb FROM o JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b)"""
+
+
+@query("""
+WITH h AS (SELECT doc_id, sha256(text) AS s FROM documents), k AS (SELECT s, min(doc_id) AS kept_id FROM h GROUP BY s)
+SELECT kept_id, doc_id AS dup_id, CAST(1.0 AS DOUBLE) AS similarity FROM h JOIN k USING (s) WHERE doc_id > kept_id""")
+def exact_duplicates(spark, d):
+    return dedup.exact_duplicates(table(spark, d, "documents"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, sha256(text) AS s, source FROM documents), k AS (SELECT s, min(doc_id) AS kept_id FROM h GROUP BY s)
+SELECT kept_id, a.source AS kept_source, h.doc_id AS dup_id, h.source AS dup_source FROM h JOIN k USING (s) JOIN documents a ON a.doc_id = kept_id WHERE h.doc_id > kept_id""")
+def dup_pairs_named(spark, d):
+    docs = table(spark, d, "documents")
+    pairs = dedup.exact_duplicates(docs)
+    kept = docs.select(F.col("doc_id").alias("kept_id"), F.col("source").alias("kept_source"))
+    dup = docs.select(F.col("doc_id").alias("dup_id"), F.col("source").alias("dup_source"))
+    return pairs.join(kept, "kept_id").join(dup, "dup_id").select("kept_id", "kept_source", "dup_id", "dup_source")
+
+
+@query(f"SELECT doc_id, {_NORM} AS normalized FROM documents")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+
+
+@query(f"WITH {_SHINGLES} SELECT doc_id, n AS shingles FROM c")
+def shingle_counts(spark, d):
+    return T.shingle_rows(table(spark, d, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("shingles"))
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, round(shared / least(na, nb), 6) AS containment FROM p WHERE shared >= 0.55 * least(na, nb)")
+def containment_pairs(spark, d):
+    return dedup.containment_pairs(table(spark, d, "documents"))
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.55")
+def jaccard_pairs(spark, d):
+    return dedup.jaccard_pairs(table(spark, d, "documents"))
+
+
+@query(f"""WITH {_PAIRS}, q AS (SELECT a, b, round(shared / least(na, nb), 6) AS containment FROM p WHERE shared >= 0.55 * least(na, nb)),
+r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY containment DESC, a) AS place FROM q)
+SELECT b AS dup_id, a AS kept_id, containment FROM r WHERE place = 1""")
+def near_duplicates(spark, d):
+    return dedup.near_duplicates(table(spark, d, "documents"))
+
+
+@query(f"""WITH {_SHINGLES},
+i AS (SELECT item_id, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM benchmark),
+j AS (SELECT item_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingle FROM i),
+m AS (SELECT item_id, count(*) AS n FROM j GROUP BY 1),
+o AS (SELECT item_id, doc_id, count(*) AS shared FROM j JOIN s USING (shingle) GROUP BY 1, 2),
+p AS (SELECT item_id, doc_id, round(shared / least(m.n, c.n), 6) AS containment FROM o JOIN m USING (item_id) JOIN c USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY containment DESC, doc_id) AS place FROM p)
+SELECT item_id, doc_id, containment, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
+def near_dup_top3(spark, d):
+    return dedup.best_matches(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents"))
+
+
+# --- search --------------------------------------------------------------------------------------
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def _bm25_sql(name: str, eligible: str = "") -> str:
+    return f"""
+{name}_t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+{name}_f AS (SELECT doc_id, len(t) AS dl, q.term, len(list_filter(t, lambda x: x = q.term)) AS tf FROM {name}_t, (VALUES {", ".join(f"('{t}')" for t in TERMS)}) q(term)),
+{name}_n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {name}_t),
+{name}_d AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM {name}_f GROUP BY term),
+{name}_s AS (SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+  FROM {name}_f JOIN {name}_d USING (term), {name}_n WHERE tf > 0 GROUP BY doc_id),
+{name} AS (SELECT doc_id, score FROM {name}_s {eligible} ORDER BY score DESC, doc_id LIMIT 50)"""
+
+
+_VECTOR = """
+{name}_q AS (SELECT embedding::DOUBLE[] AS q, label AS l FROM embeddings WHERE vec_id = 0),
+{name} AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, {name}_q {where} ORDER BY score DESC, vec_id LIMIT 50)"""
+_APPROVED = "WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"
+
+
+def _approved(spark, d):
+    return table(spark, d, "labels").filter("quality = 1").select("doc_id").distinct()
+
+
+def _query_vector(spark, d) -> tuple[list[float], int]:
+    row = table(spark, d, "embeddings").filter("vec_id = 0").select("embedding", "label").first()  # one vector
+    return list(row["embedding"]), row["label"]
+
+
+@query(f"WITH t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '[\"''()*:^-]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS term FROM benchmark) SELECT item_id, term, count(*) AS n FROM t GROUP BY 1, 2")
+def query_terms(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.explode(T.query_terms(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
+def postings(spark, d):
+    return search.term_statistics(table(spark, d, "documents"))
+
+
+@query(f"WITH {_bm25_sql('x')} SELECT * FROM x")
+def bm25_topk(spark, d):
+    return search.bm25(table(spark, d, "documents"), TERMS)
+
+
+@query(f"WITH {_bm25_sql('x', _APPROVED)} SELECT * FROM x")
+def bm25_scoped(spark, d):
+    return search.bm25(table(spark, d, "documents"), TERMS, _approved(spark, d))
+
+
+@query(f"WITH {_VECTOR.format(name='x', where='')} SELECT * FROM x")
+def vector_topk(spark, d):
+    return search.vector_search(table(spark, d, "embeddings"), _query_vector(spark, d)[0])
+
+
+@query(f"WITH {_VECTOR.format(name='x', where='WHERE label = l')} SELECT * FROM x")
+def vector_topk_scoped(spark, d):
+    vector, label = _query_vector(spark, d)
+    return search.vector_search(table(spark, d, "embeddings").filter(F.col("label") == label), vector)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def pending_embeddings(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_anti").select("doc_id")
+
+
+@query("""
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 10),
+p AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings JOIN q ON vec_id <> query_id)
+SELECT query_id, max(score) AS best, max(score) >= 0.4 AS relevant FROM p GROUP BY query_id""")
+def vector_gate(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return search.vector_gate(vectors, vectors.filter("vec_id < 10"), 0.4)
+
+
+_FUSED = f"""{_bm25_sql('x')}, {_VECTOR.format(name='y', where='')},
+u AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM x
+      UNION ALL SELECT vec_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, vec_id)) FROM y),
+f AS (SELECT doc_id, CAST(sum(part) AS DOUBLE) AS fused FROM u GROUP BY doc_id)"""
+_KIND = "CASE doc_id % 5 WHEN 0 THEN 'error_code' WHEN 1 THEN 'table' WHEN 2 THEN 'procedure' WHEN 3 THEN 'warning' ELSE 'text' END"
+_BOOST = f"(CASE WHEN doc_id % 7 = 0 THEN -0.20 ELSE 0.0 END + CASE {_KIND} WHEN 'error_code' THEN 0.35 WHEN 'table' THEN 0.25 WHEN 'procedure' THEN 0.25 ELSE 0.0 END)"
+
+
+def _fused(spark, d):
+    lexical = search.bm25(table(spark, d, "documents"), TERMS)
+    vector = search.vector_search(table(spark, d, "embeddings"), _query_vector(spark, d)[0]).withColumnRenamed("vec_id", "doc_id")
+    return lexical, vector
+
+
+def _chunks(spark, d):
+    kind = F.expr(_KIND)
+    return table(spark, d, "documents").select("doc_id", "text", "source", kind.alias("chunk_type"), F.lit("unknown").alias("doc_type"), (F.col("doc_id") % 7 != 0).alias("is_current"))
+
+
+@query(f"WITH {_FUSED} SELECT doc_id, round(fused, 6) AS fused FROM f")
+def rrf_fusion(spark, d):
+    return search.reciprocal_rank_fusion(*_fused(spark, d)).select("doc_id", F.round("fused", 6).alias("fused"))
+
+
+@query(f"WITH {_FUSED} SELECT doc_id, round(fused, 6) AS fused, lang, source, quality FROM f JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)")
+def hydrate(spark, d):
+    fused = search.reciprocal_rank_fusion(*_fused(spark, d)).select("doc_id", F.round("fused", 6).alias("fused"))
+    docs = table(spark, d, "documents").join(F.broadcast(fused), "doc_id")  # at most two lists of 50
+    return docs.join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "fused", "lang", "source", "quality")
+
+
+@query(f"SELECT doc_id, round(CAST({_BOOST} AS DOUBLE), 6) AS boost FROM documents")
+def rerank_boost(spark, d):
+    boost = search.rerank_boost(QUESTION, F.col("chunk_type"), F.col("doc_type"), F.col("is_current"))
+    return _chunks(spark, d).select("doc_id", F.round(boost, 6).alias("boost"))
+
+
+@query(f"""WITH {_FUSED} SELECT doc_id, source, {_KIND} AS chunk_type, round(fused, 6) AS fused, round(fused + {_BOOST}, 6) AS combined
+FROM f JOIN documents USING (doc_id) WHERE length(trim(text)) >= 4 ORDER BY combined DESC, doc_id LIMIT 6""")
+def hybrid_topk(spark, d):
+    found = search.hybrid_search(*_fused(spark, d), _chunks(spark, d), QUESTION)
+    return found.select("doc_id", "source", "chunk_type", "fused", "combined")
+
+
+# --- chunks --------------------------------------------------------------------------------------
+
+_LINES = r"""l0 AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM l0)"""
+
+
+@query(rf"""WITH {_LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN regexp_matches(line, '(?i)^(WARNING|CAUTION|DANGER|NOTICE|IMPORTANT|LOCKOUT[/ ]TAGOUT)\b') THEN 'warning'
+WHEN regexp_matches(line, '^\d{{1,2}}[\.\)]\s+\S') THEN 'procedure' ELSE 'text' END AS kind FROM l""")
+def line_classify(spark, d):
+    return chunking.lines(table(spark, d, "documents")).select("doc_id", "pos", chunking.line_type(F.col("line")).alias("kind"))
+
+
+@query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b[A-Z]{{1,3}}-?\d{{1,3}}\b')) AS INTEGER) AS codes FROM documents")
+def code_token_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(rf"({T.ERROR_CODE_TOKEN})"), 1)).alias("codes"))
+
+
+@query(rf"""WITH RECURSIVE {_LINES},
+n AS (SELECT doc_id, pos, line, length(line) AS len FROM l),
+r AS (SELECT doc_id, pos, len AS held, 0 AS chunk FROM n WHERE pos = 0
+  UNION ALL SELECT n.doc_id, n.pos, CASE WHEN r.held > 1200 THEN n.len ELSE r.held + n.len END, CASE WHEN r.held > 1200 THEN r.chunk + 1 ELSE r.chunk END
+  FROM r JOIN n ON n.doc_id = r.doc_id AND n.pos = r.pos + 1),
+c AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY pos) AS content FROM r JOIN n USING (doc_id, pos) GROUP BY 1, 2),
+g AS (SELECT doc_id, chunk, content, sum(CASE WHEN chunk = 0 OR length(content) >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk) AS grp FROM c),
+m AS (SELECT doc_id, grp, string_agg(content, chr(10) ORDER BY chunk) AS content FROM g GROUP BY 1, 2)
+SELECT doc_id, CAST(grp - 1 AS INTEGER) AS ordinal, CAST(length(content) AS INTEGER) AS char_count, sha256(content) AS content_hash FROM m""")
+def chunk_documents(spark, d):
+    chunks = chunking.chunk_documents(chunking.plain_pages(table(spark, d, "documents")))
+    return chunks.select("doc_id", "ordinal", "char_count", F.sha2("content", 256).alias("content_hash"))
+
+
+@query(rf"""WITH {_LINES},
+g AS (SELECT doc_id, pos, line, sum(CASE WHEN pos = 0 OR length(line) >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM l)
+SELECT doc_id, CAST(grp AS BIGINT) AS "group", 'text' AS type, string_agg(line, chr(10) ORDER BY pos) AS content FROM g GROUP BY doc_id, grp""")
+def merge_small_chunks(spark, d):
+    rows = chunking.lines(table(spark, d, "documents"))
+    return chunking.merge_small(rows.select("doc_id", "pos", chunking.line_type(F.col("line")).alias("type"), F.col("line").alias("content")))
+
+
+@query("SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256 FROM conversations GROUP BY conv_id")
+def reassemble_text(spark, d):
+    parts = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), 256).alias("sha256"))
+
+
+# --- answers -------------------------------------------------------------------------------------
+
+_CODES = r"list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9-]+'), lambda w: length(w) >= 2 AND regexp_matches(w, '\d') AND regexp_matches(w, '^[A-Za-z]{0,4}-?\d[\dA-Za-z-]*$')), lambda w: upper(w)))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort({_CODES}), ' ') AS codes FROM documents")
+def code_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(T.code_tokens(F.col("text"))), " ").alias("codes"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents WHERE list_contains({_CODES}, '233')")
+def code_rescue(spark, d):
+    rows = table(spark, d, "documents").filter(F.arrays_overlap(T.code_tokens(F.lit(QUESTION)), T.code_tokens(F.col("text"))))
+    return rows.agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS c FROM documents), h AS (SELECT *, left(c, 500) AS h FROM t),
+b AS (SELECT *, CASE WHEN strpos(reverse(h), chr(10)) > 0 THEN length(h) - strpos(reverse(h), chr(10)) ELSE -1 END AS x, CASE WHEN strpos(reverse(h), ' .') > 0 THEN length(h) - strpos(reverse(h), ' .') - 1 ELSE -1 END AS y FROM h)
+SELECT doc_id, CASE WHEN length(c) <= 500 THEN c ELSE regexp_replace(CASE WHEN greatest(x, y) > 250 THEN left(h, greatest(x, y) + 1) ELSE h END, '\s+$', '') || ' …' END AS excerpt FROM b""")
+def excerpts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.excerpt(F.col("text"), 500).alias("excerpt"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9./-]*'), lambda x: regexp_replace(x, '^[./-]+|[./-]+$', '', 'g')) AS ws FROM documents WHERE regexp_matches(text, '\d')),
+u AS (SELECT doc_id, unnest(ws) AS c FROM w),
+m AS (SELECT DISTINCT doc_id, CASE WHEN c = '' OR NOT regexp_matches(c, '\d') THEN NULL WHEN regexp_matches(c, '^(\d+(?:\.\d+)?)[A-Za-z°%]{1,4}$') THEN regexp_extract(c, '^(\d+(?:\.\d+)?)[A-Za-z°%]{1,4}$', 1)
+  WHEN regexp_matches(c, '^[A-Za-z]{0,4}-?\d[\dA-Za-z-]*$') AND regexp_matches(c, '[A-Za-z]') THEN upper(c) WHEN length(regexp_replace(c, '[^\d]', '', 'g')) >= 2 THEN upper(c) END AS token FROM u)
+SELECT doc_id, string_agg(token, ' ' ORDER BY token) AS tokens FROM m WHERE token IS NOT NULL GROUP BY doc_id""")
+def material_tokens(spark, d):
+    rows = table(spark, d, "documents").filter(F.col("text").rlike(r"\d")).select("doc_id", T.material_tokens(F.col("text")).alias("m"))
+    return rows.filter(F.size("m") > 0).select("doc_id", F.array_join(F.array_sort("m"), " ").alias("tokens"))
+
+
+@query(r"""
+WITH n AS (SELECT doc_id, upper(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents), b AS (SELECT item_id, upper(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS i FROM benchmark)
+SELECT item_id, doc_id FROM n JOIN b ON contains(t, i)""")
+def claim_support(spark, d):
+    """Items that documents support verbatim: candidates share their rarest five-word shingle, then the text is compared."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    rows = T.shingle_rows(docs)
+    own = T.shingle_rows(items.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id")
+    df = rows.join(own.select("shingle").distinct(), "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    inner = own.join(df, "shingle").groupBy("item_id").agg(F.min_by("shingle", F.struct("df", "shingle")).alias("shingle"))
+    pairs = rows.join(inner, "shingle").select("item_id", "doc_id").distinct()
+    texts = docs.select("doc_id", "text")
+    claims = items.select("item_id", F.col("text").alias("claim"))
+    return pairs.join(texts, "doc_id").join(claims, "item_id").filter(T.warning_supported(F.col("claim"), F.col("text"))).select("item_id", "doc_id")
+
+
+@query("SELECT source, bool_or(quality = 0) AND bool_or(quality = 1) AND count(DISTINCT doc_id) >= 2 AS conflict FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def revision_conflict(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    both = F.bool_or(F.col("quality") == 0) & F.bool_or(F.col("quality") == 1) & (F.count_distinct("doc_id") >= 2)
+    return rows.groupBy("source").agg(both.alias("conflict"))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+SELECT conv_id, string_agg('[' || i || '] ' || role || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS context FROM n GROUP BY conv_id""")
+def context_block(spark, d):
+    return answers.context_blocks(table(spark, d, "conversations"))
+
+
+@query("""WITH w AS (SELECT a.conv_id, a.turn, b.turn AS t, b.role || ': ' || left(b.text, 800) AS h, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn DESC) AS back
+  FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn WHERE a.role = 'assistant')
+SELECT conv_id, turn, CAST(count(h) AS INTEGER) AS n_history, coalesce(string_agg(h, chr(10) ORDER BY t), '') AS history FROM w WHERE back <= 8 GROUP BY conv_id, turn""")
+def history_window(spark, d):
+    return answers.history(table(spark, d, "conversations"))
+
+
+# --- relational reports --------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_join_approved(spark, d):
+    return table(spark, d, "documents").join(_approved(spark, d), "doc_id", "left_semi").select("doc_id", "source")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join_unlabeled(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query("""SELECT n_name, s_name, s_suppkey, count(DISTINCT o_orderkey) AS linked FROM supplier JOIN nation ON s_nationkey = n_nationkey
+LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F'
+GROUP BY ALL HAVING linked >= 1 ORDER BY n_name, s_name, s_suppkey LIMIT 25""")
+def machine_picker(spark, d):
+    suppliers = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumnRenamed("s_suppkey", "l_suppkey")
+    found = reports.linked_counts(suppliers, table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", F.col("l_returnflag") == "R", table(spark, d, "orders"), "o_orderkey", F.col("o_orderstatus") == "F")
+    return found.select("n_name", "s_name", F.col("l_suppkey").alias("s_suppkey"), "linked").orderBy("n_name", "s_name", "s_suppkey").limit(25)
+
+
+@query("""SELECT 'on' AS place, count(*) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'
+UNION ALL SELECT 'where', count(*) FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""")
+def left_join_on_filter(spark, d):
+    customers, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    key = F.col("o_custkey") == F.col("c_custkey")
+    on = customers.join(orders.filter("o_orderstatus = 'F'"), key, "left").agg(F.lit("on").alias("place"), F.count(F.lit(1)).alias("n"))
+    where = customers.join(orders, key, "left").filter("o_orderstatus = 'F'").agg(F.lit("where").alias("place"), F.count(F.lit(1)).alias("n"))
+    return on.union(where)
+
+
+@query("""SELECT a.conv_id, a.turn, (SELECT text FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'user' AND b.turn < a.turn ORDER BY b.turn DESC LIMIT 1) AS question
+FROM conversations a WHERE a.role = 'assistant'""")
+def previous_user_turn(spark, d):
+    return reports.previous_user_turn(table(spark, d, "conversations"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_counts(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def status_counts(spark, d):
+    return reports.status_counts(table(spark, d, "events"), "event_type")
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def distinct_docs(spark, d):
+    return table(spark, d, "documents").select("lang", "source").distinct()
+
+
+@query("""WITH f AS (SELECT user_id, event_type, min(struct_pack(ts := ts, event_id := event_id)) AS first FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first) AS INTEGER) AS place FROM f""")
+def ordered_distinct(spark, d):
+    return reports.ordered_distinct(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
+
+
+@query("""WITH c AS (SELECT conv_id, turn AS rank, CASE WHEN turn % 3 = 0 THEN NULL ELSE 10 - turn END AS ordinal FROM conversations)
+SELECT conv_id, rank, ordinal, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(ordinal, rank), rank) AS INTEGER) AS place FROM c""")
+def citation_order(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("rank"), F.when(F.col("turn") % 3 != 0, 10 - F.col("turn")).alias("ordinal"))
+    return reports.citation_order(rows, "conv_id")
+
+
+@query("SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 3")
+def rate_limit_breaches(spark, d):
+    found = reports.rate_breaches(table(spark, d, "events"), 3, "1 hour")
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""WITH h AS (SELECT item_id, max(CASE WHEN contains(d.text, b.text) THEN 1 ELSE 0 END) AS hit FROM benchmark b, documents d GROUP BY item_id)
+SELECT count(*) AS cases, sum(hit) / count(*) AS hit_rate FROM h""")
+def eval_summary(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("doc").alias("expected_filename_contains"), F.array().cast("array<string>").alias("expected_keywords"), F.array().cast("array<string>").alias("must_not_come_from"), F.lit(False).alias("expect_no_answer"))
+    plain = claim_support(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("item")), "item_id").filter(F.contains("text", "item"))
+    found = plain.groupBy(F.col("item_id").alias("id")).agg(F.collect_list(F.concat(F.lit("doc"), F.col("doc_id"))).alias("filenames"), F.lit("").alias("content"), F.lit(False).alias("is_no_answer"))
+    return reports.evaluate(items, found).select("cases", "hit_rate")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, list_filter(string_split(p_name, ' '), lambda x: length(x) >= 2) AS parts FROM part)
+SELECT DISTINCT p_partkey, unnest(list_append(parts, p_name)) AS variant FROM p""")
+def name_variants(spark, d):
+    return reports.name_variants(table(spark, d, "part"), "p_partkey", "p_name", " ")
+
+
+@query(r"""SELECT doc_id, name FROM documents, (VALUES ('token'), ('license'), ('version')) n(name) WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || name || '($|[^\p{L}\p{N}_])')""")
+def mention_exact(spark, d):
+    return reports.mentions(table(spark, d, "documents"), ["token", "license", "version"])
+
+
+@query("""SELECT doc_id, coalesce(source || ' | ', '') || 'note' AS reason FROM documents""")
+def append_note(spark, d):
+    return table(spark, d, "documents").select("doc_id", ingest.append_note(F.col("source"), F.lit("note")).alias("reason"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, ts, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS place FROM events)
+SELECT user_id, event_type, event_id, value FROM e WHERE place = 1""")
+def latest_wins(spark, d):
+    return ingest.latest(table(spark, d, "events"), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "value")

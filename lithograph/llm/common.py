@@ -74,7 +74,19 @@ def let(value: Column, body) -> Column:
 # --- hashing of whole blocks of text, vectorised -------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+_STEP = 1 << 16
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = _table(_BASE, _STEP), _table(_INVERSE, _STEP)
+#: Powers of 2^16 each: enough for blocks of 4 GB.
+_UP_FAR, _DOWN_FAR = _table(pow(_BASE, _STEP, 1 << 64), _STEP), _table(pow(_INVERSE, _STEP, 1 << 64), _STEP)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -87,17 +99,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^0..B^n and B^-0..B^-n modulo 2^64, kept per worker and grown by doubling."""
-    if "up" not in _POWERS or len(_POWERS["up"]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, np.uint64(base), dtype=np.uint64)
-            out[0] = 1
-            _POWERS[key] = np.cumprod(out, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def sums(x: np.ndarray) -> np.ndarray:
     """Prefix sums with a leading zero, modulo 2^64."""
     out = np.empty(len(x) + 1, dtype=np.uint64)
@@ -108,13 +109,21 @@ def sums(x: np.ndarray) -> np.ndarray:
 
 def ranges_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of [start, end) from prefix sums of value times power; position-independent."""
-    _, down = _powers(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    back = _DOWN[start & (_STEP - 1)] * _DOWN_FAR[start >> 16]
+    return mix64((prefix[end] - prefix[start]) * back + (end - start).astype(np.uint64))
 
 
-def powered(values: np.ndarray) -> np.ndarray:
-    up, _ = _powers(len(values))
-    return sums(values.astype(np.uint64) * up[: len(values)])
+def powered(values: np.ndarray, plus: int = 0) -> np.ndarray:
+    """Prefix sums, a leading zero among them, of (value + plus) times its place's power, modulo 2^64."""
+    out = np.empty(len(values) + 1, dtype=np.uint64)
+    out[0] = 0
+    for at in range(0, len(values), _STEP):
+        own = values[at : at + _STEP].astype(np.uint64) + np.uint64(plus)
+        own *= _UP[: len(own)]
+        own *= _UP_FAR[at >> 16]
+        np.cumsum(own, out=out[at + 1 : at + 1 + len(own)])
+        out[at + 1 : at + 1 + len(own)] += out[at]
+    return out
 
 
 def ngram_hash(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -139,7 +148,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
 
     def hashes(self) -> np.ndarray:
-        return ranges_hash(powered(self.raw + np.uint64(1)), self.start, self.end)
+        return ranges_hash(powered(self.raw, 1), self.start, self.end)
 
 
 def block(values: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

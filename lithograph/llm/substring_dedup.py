@@ -64,6 +64,11 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _ends(first: np.ndarray, total: int) -> np.ndarray:
+    """Where each run ends, given where they begin."""
+    return np.append(first[1:], total)[: len(first)]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -87,8 +92,8 @@ def index_block(ids: np.ndarray, texts: list[str], number: int, hot: np.ndarray)
     order = np.lexsort((own, w.hash, w.anchor))
     anchor, hash_, own = w.anchor[order], w.hash[order], own[order]
     first = _runs(anchor, hash_)
-    last = np.append(first[1:], len(anchor)) - 1
-    several = own[first] != own[last] if len(first) else np.empty(0, dtype=bool)
+    last = _ends(first, len(anchor)) - 1
+    several = own[first] != own[last]
     anchor, hash_, own = anchor[first], hash_[first], own[first]
     salt = np.where(np.isin(anchor, hot), hash_ % SALTS, 0).astype(np.int32)
     order = np.lexsort((hash_, own, salt, anchor))
@@ -162,7 +167,7 @@ def greedy_factors(start: np.ndarray, doc: np.ndarray, source: np.ndarray) -> tu
     if len(new):
         new[1:] = (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])
     first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(start)) - 1
+    return first, _ends(first, len(start)) - 1
 
 
 def parse_block(ids: np.ndarray, texts: list[str], found: pa.Table) -> tuple[np.ndarray, np.ndarray, list, list[bytes]]:

@@ -17,6 +17,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 4  #: a pair of similarity 0.8 shares a band with probability 0.9994
 IDF_BITS = 21  #: log2 of the hashed word frequencies
 CHUNK = 1 << 14
+CROWD = 1000  #: members of a crowded bucket in one block
 TABLE_BITS = 16  #: log2 of the random draws of each hash function
 
 NO_ID = -(1 << 63)  #: stands for a null id while ids are compared
@@ -200,7 +201,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Dat
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, class_id): the least id of each connected component.
+    """(key, class_id, root) of the nodes with an edge: the least id of each connected component, and its node.
 
     Each round a node takes the least label of itself and its neighbours, then that label's own label, so that paths
     are halved; labels of rounds are written to the shared folder.
@@ -216,15 +217,60 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = materialize(moved, "near-labels")
         labels = moved.select("key", "label")
         if moved.filter("old.id <> label.id OR old.key <> label.key").limit(1).count() == 0:
-            return labels.select("key", F.col("label.id").alias("class_id"))
+            return labels.select("key", F.col("label.id").alias("class_id"), F.col("label.key").alias("root"))
+
+
+def _between(active: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """Links (a, b) between different components that meet in a bucket, found exactly.
+
+    In a bucket of more than three (smaller ones are compared in full already), every member outside the largest
+    component is held against all members of other components. Members are dealt out in blocks of about CROWD and
+    those that ask go to each block of their bucket, where one look-up in the block's sorted shingles gives the
+    weights shared with every member; only links come out.
+    """
+    rows = active.filter("size > 3").select("band", "bucket", "key", "size").join(roots, "key", "left").select("band", "bucket", "key", "size", F.coalesce("root", "key").alias("root"))
+    shares = rows.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = shares.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    rows = rows.join(largest, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("size") / CROWD).cast("int"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    asks = F.col("root") != F.col("largest")
+    everywhere = F.when(asks, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    dealt = rows.select("band", "bucket", "key", "root", asks.alias("asks"), own.alias("home"), F.explode(everywhere).alias("block"))
+    dealt = dealt.join(texts, "key")
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys, root = group.column("key").to_pylist(), group.column("root").to_pylist()
+        at_home = np.array(group.column("home").to_pylist()) == np.array(group.column("block").to_pylist())
+        found, weights, ends = weighted_shingles(group.column("text").to_pylist(), idf.value)
+        owner = np.repeat(np.arange(len(keys)), np.diff(ends))
+        total = np.bincount(owner, weights=weights, minlength=len(keys))
+        component = np.unique(np.array([r.hex() for r in root]), return_inverse=True)[1]
+        listed = np.flatnonzero(at_home[owner])
+        listed = listed[np.argsort(found[listed], kind="stable")]
+        sorted_, who, theirs = found[listed], owner[listed], weights[listed]
+        a, b = [], []
+        for i in np.flatnonzero(np.array(group.column("asks").to_pylist())):
+            mine = slice(ends[i], ends[i + 1])
+            low, high = np.searchsorted(sorted_, found[mine], "left"), np.searchsorted(sorted_, found[mine], "right")
+            size = high - low
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+            shared = np.bincount(who[at], weights=np.minimum(np.repeat(weights[mine], size), theirs[at]), minlength=len(keys))
+            alike = shared / np.maximum(total + total[i] - shared, 1e-9)
+            for j in np.flatnonzero((alike >= similarity) & (component != component[i])):
+                a.append(keys[i])
+                b.append(keys[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return dealt.groupBy("band", "bucket", "block").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Classes of near-duplicates: doc_id, class_id, kept, text_key; one row per input row.
 
     Equal texts are one vertex. Vertices that share a band are candidates: in each band's bucket every member is
-    compared with two leaders, the least and the greatest by a hash of member and band; members that match neither
-    are compared among themselves in the next round, until every bucket is done, so no group is expanded into all
+    compared with two leaders, the least and the greatest by a hash of member and band. That joins nearly all that
+    belongs together; where a bucket still holds several components, members of the smaller ones are then held
+    against all members of others, so that no link that can join classes is lost, and no group is expanded into all
     its pairs. Candidates count as linked when their exact weighted Jaccard similarity, over counts and inverse
     document frequencies of all rows, is at least similarity. Classes are the connected components; class_id is
     their least doc_id, and the row with it is kept (one row, if several have that id and text).
@@ -241,31 +287,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = materialize(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands", ignorenulls=True).alias("bands")), "near-nodes")
     member = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
     member = member.withColumn("order", F.struct(F.xxhash64("key", "bucket").alias("hash"), "key"))
-    links = None
-    leaders = member.groupBy("band", "bucket").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low.hash <> high.hash OR low.key <> high.key")
+    leaders = member.groupBy("band", "bucket").agg(F.min("order").alias("low"), F.max("order").alias("high"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     active = materialize(member.join(leaders, ["band", "bucket"]), "near-buckets")
     crowd = active.select("key").distinct().join(nodes, "key").select("key", "id")
     texts = materialize(keyed.join(crowd, ["key", "id"]).dropDuplicates(["key"]).select("key", "text"), "near-texts")
-    tried = None
-    while True:
-        stars = active.select(F.col("low.key").alias("a"), F.col("key").alias("b")).union(active.select(F.col("high.key").alias("a"), F.col("key").alias("b")))
-        pairs = stars.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = materialize(_verified(pairs, texts, idf, similarity), "near-pairs")
-        tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
-        linked = checked.filter(F.col("similarity") >= similarity)
-        links = linked if links is None else links.union(linked)
-        # Whoever matched a leader of its bucket is done there, and so are the leaders themselves.
-        edge = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        rest = active.filter("key <> low.key AND key <> high.key")
-        for leader in ("low", "high"):
-            rest = _without(rest, edge, leader)
-        again = rest.groupBy("band", "bucket").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low.hash <> high.hash OR low.key <> high.key")
-        active = materialize(rest.drop("low", "high").join(again, ["band", "bucket"]), "near-buckets")
-        if active.limit(1).count() == 0:
-            break
-    classes = _components(nodes.select("key", "id"), links)
+    stars = active.select(F.col("low.key").alias("a"), F.col("key").alias("b")).union(active.select(F.col("high.key").alias("a"), F.col("key").alias("b")))
+    pairs = stars.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = materialize(_verified(pairs, texts, idf, similarity).filter(F.col("similarity") >= similarity), "near-pairs").select("a", "b")
+    roots = _components(nodes.select("key", "id"), linked).select("key", "root")
+    linked = linked.union(materialize(_between(active, roots, texts, idf, similarity), "near-pairs").select("a", "b"))
+    classes = _components(nodes.select("key", "id"), linked).select("key", "class_id")
     named = nodes.select("key", F.col("id").alias("first_id")).join(classes, "key", "left").select("key", "first_id", F.coalesce("class_id", "first_id").alias("class_id"))
     rows = signed.select("id", "key").join(named, "key")
     null = F.lit(None).cast("long")
@@ -278,12 +309,6 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out
 
 
-def _without(rest: DataFrame, edge: DataFrame, leader: str) -> DataFrame:
-    """The memberships whose member has no link to the bucket's leader."""
-    pair = edge.select(F.col("a").alias("__leader"), F.col("b").alias("__member"))
-    return rest.join(pair, (F.col(f"{leader}.key") == F.col("__leader")) & (F.col("key") == F.col("__member")), "left_anti")
-
-
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class of near-duplicates: that with the least doc_id; all columns stay as they are.
 

@@ -14,6 +14,7 @@ BLOCK_RADIUS = 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1  #: fingerprints within it agree in some block but for BLOCK_RADIUS bits
 WEIGHT_STEPS = 16  #: weights are whole numbers, so that sums do not depend on their order
 BROADCAST_SHINGLES = 1_000_000  #: the items' shingles are broadcast up to this number, else joined by a shuffle
+BROADCAST_DOCUMENTS = 2_000_000  #: so are the keys of documents that hold one of them (16 bytes each)
 
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 NO_ID = -(1 << 63)  #: stands for a null id
@@ -117,8 +118,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     # Windows that hold a shingle of an item of their length, and all their shingles.
     lengths = posting.select("shingle", "width", "n").distinct()
     reached = hits.join(lengths, ["shingle", "width"]).select("id", "row", "width", "n", F.explode(F.sequence(F.greatest(F.col("place") - F.col("n") + F.col("width"), F.lit(0)), F.col("place"))).alias("start")).distinct()
-    involved = hits.select("id", "row").distinct()
-    source = own.join(involved, ["id", "row"], "left_semi")
+    involved = materialize(hits.select("id", "row").distinct(), "item-documents")
+    few = involved.count() <= BROADCAST_DOCUMENTS
+    source = own.join(F.broadcast(involved) if few else involved, ["id", "row"], "left_semi")
     texts = materialize(source.dropDuplicates(["id", "row"]).select("id", "row", words_of(F.col("text")).alias("w")), "item-texts")
     full = None
     for width in widths or [SHINGLE]:

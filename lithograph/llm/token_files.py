@@ -18,7 +18,7 @@ BLOCK = 128  #: ids in a block
 PERCENTILE = 90  #: share of a block's ids that its packed width must hold; the rest are exceptions
 SHARD_IDS = 1 << 20  #: ids after which a file row is closed (it may exceed this by one document)
 END_ID = 2
-CACHE = 1 << 18  #: words whose ids a generation of the worker's memory holds (about 50 MB)
+CACHE = 1 << 19  #: words whose ids a generation of the worker's memory holds (about 100 MB)
 
 # --- the format ----------------------------------------------------------------------------------
 # A payload: four uint32 (ids, blocks, exceptions, packed bytes), then per block: minimum (uint32), width in bits

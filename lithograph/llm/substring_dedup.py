@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import Words, block, mix64, powered, ranges_hash, slices, small_batches, table
+from lithograph.llm.common import Words, block, materialize, mix64, powered, ranges_hash, slices, small_batches, table
 
 WINDOW = 50  #: words that a factor has at least
 ANCHOR = 11  #: words of an anchor: each window holds WINDOW - ANCHOR + 1 candidates and is filed under the least hash
@@ -21,9 +21,12 @@ NO_ID = -(1 << 63)  #: stands for a null id
 
 
 class Windows:
-    """All windows of a block of texts: document, first word, anchor and a 31-bit hash within the anchor."""
+    """All windows of a block of texts: document, first word, anchor and a 63-bit hash beside it.
 
-    def __init__(self, texts: list[str]):
+    attempt: 0 for hashes worked out at once; later ones, for corpora whose words collide under those, take SHA-256.
+    """
+
+    def __init__(self, texts: list[str], attempt: int = 0):
         self.words = Words(*block(texts))
         self.n_words = np.diff(self.words.bounds)
         prefix = powered(self.words.hashes())
@@ -31,7 +34,7 @@ class Windows:
         if total < WINDOW:
             self.start = np.empty(0, dtype=np.int64)
             self.anchor = np.empty(0, dtype=np.uint64)
-            self.hash = np.empty(0, dtype=np.uint32)
+            self.hash = np.empty(0, dtype=np.uint64)
             self.doc = np.empty(0, dtype=np.int64)
             return
         at = np.arange(total - ANCHOR + 1)
@@ -44,9 +47,23 @@ class Windows:
         doc = self.words.doc
         self.start = np.flatnonzero(doc[: total - WINDOW + 1] == doc[WINDOW - 1 :])  # within one document
         self.anchor = least[self.start]
-        self.hash = (ranges_hash(prefix, self.start, self.start + WINDOW) >> np.uint64(33)).astype(np.uint32)
+        if attempt:
+            salt = attempt.to_bytes(8, "little")
+            self.hash = np.array([int.from_bytes(hashlib.sha256(salt + self.spelled(i)).digest()[:8], "little") for i in range(len(self.start))], dtype=np.uint64) >> np.uint64(1)
+        else:
+            self.hash = ranges_hash(prefix, self.start, self.start + WINDOW) >> np.uint64(1)
         self.doc = doc[self.start]
 
+    def spelled(self, i: int) -> bytes:
+        """The words of a window, joined by one space."""
+        first = self.start[i]
+        return b" ".join(self.words.raw[self.words.start[first] : self.words.end[first + WINDOW - 1]].tobytes().split())
+
+
+def _joint(anchor: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+    """One number for look-ups; those who find it compare anchor and hash themselves."""
+    return mix64(anchor + hash_ * np.uint64(0x9E3779B97F4A7C15))
+
 
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Slices of data, cut at ends (of elements, a leading 0 among them), as binary values without a copy each."""
@@ -81,13 +98,13 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(n.astype(np.int64))], names=["anchor", "windows"])
 
 
-def index_block(ids: np.ndarray, texts: list[str], number: int, hot: np.ndarray) -> pa.Table:
+def index_block(ids: np.ndarray, texts: list[str], number: int, hot: np.ndarray, attempt: int = 0) -> pa.Table:
     """The distinct windows of a block: (anchor, salt, block, id, windows).
 
     Each window is filed with the smallest id of the block that has it, its hash shifted by one; the lowest bit says
     whether other ids of the block have it too.
     """
-    w = Windows(texts)
+    w = Windows(texts, attempt)
     own = ids[w.doc]
     order = np.lexsort((own, w.hash, w.anchor))
     anchor, hash_, own = w.anchor[order], w.hash[order], own[order]
@@ -95,10 +112,10 @@ def index_block(ids: np.ndarray, texts: list[str], number: int, hot: np.ndarray)
     last = _ends(first, len(anchor)) - 1
     several = own[first] != own[last]
     anchor, hash_, own = anchor[first], hash_[first], own[first]
-    salt = np.where(np.isin(anchor, hot), hash_ % SALTS, 0).astype(np.int32)
+    salt = np.where(np.isin(anchor, hot), hash_ % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
     order = np.lexsort((hash_, own, salt, anchor))
     anchor, salt, own = anchor[order], salt[order], own[order]
-    data = ((hash_ << np.uint32(1)) | several.astype(np.uint32))[order]
+    data = ((hash_ << np.uint64(1)) | several.astype(np.uint64))[order]
     first = _runs(anchor, salt, own)
     return pa.table({
         "anchor": _signed(anchor[first]),
@@ -110,28 +127,27 @@ def index_block(ids: np.ndarray, texts: list[str], number: int, hot: np.ndarray)
 
 
 def _resolve(rows: pa.Table) -> pa.RecordBatch:
-    """For rows of whole anchors: (block, anchor, source, windows) of the windows that several ids have; source: the smallest."""
+    """For rows of whole anchors: (block, anchor, source, source_block, windows) of the windows that several ids have; source: the smallest."""
     anchor = rows.column("anchor").to_numpy().view(np.uint64)
     block_, own = rows.column("block").to_numpy(), rows.column("id").to_numpy()
     raw = rows.column("windows").to_pylist()
-    sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-    data = np.frombuffer(b"".join(raw), dtype="<u4")
+    sizes = np.array([len(x) // 8 for x in raw], dtype=np.int64)
+    data = np.frombuffer(b"".join(raw), dtype="<u8")
     row = np.repeat(np.arange(len(sizes)), sizes)
-    key = mix64(anchor[row] + (data >> np.uint32(1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.lexsort((own[row], key))
-    key, row, data = key[order], row[order], data[order]
-    first = _runs(key)
-    size = np.diff(np.append(first, len(key)))
-    shared = (np.add.reduceat((data & 1).astype(np.int64), first) > 0) | (size > 1) if len(first) else np.empty(0, dtype=bool)
-    source = np.repeat(own[row[first]], size)
+    order = np.lexsort((block_[row], own[row], data >> np.uint64(1), anchor[row]))
+    row, data = row[order], data[order]
+    first = _runs(anchor[row], data >> np.uint64(1))
+    size = np.diff(np.append(first, len(row)))
+    shared = (np.add.reduceat((data & np.uint64(1)).astype(np.int64), first) > 0) | (size > 1) if len(first) else np.empty(0, dtype=bool)
+    source, home = np.repeat(own[row[first]], size), np.repeat(block_[row[first]], size)
     keep = np.repeat(shared, size)
-    row, source, data = row[keep], source[keep], data[keep] >> np.uint32(1)
-    order = np.lexsort((data, source, row))
-    row, source, data = row[order], source[order], data[order]
-    first = _runs(row, source)
+    row, source, home, data = row[keep], source[keep], home[keep], data[keep] >> np.uint64(1)
+    order = np.lexsort((data, home, source, row))
+    row, source, home, data = row[order], source[order], home[order], data[order]
+    first = _runs(row, source, home)
     return pa.RecordBatch.from_arrays(
-        [pa.array(block_[row[first]]), _signed(anchor[row[first]]), pa.array(source[first]), _binary(data, np.append(first, len(data)))],
-        names=["block", "anchor", "source", "windows"],
+        [pa.array(block_[row[first]]), _signed(anchor[row[first]]), pa.array(source[first]), pa.array(home[first]), _binary(data, np.append(first, len(data)))],
+        names=["block", "anchor", "source", "source_block", "windows"],
     )
 
 
@@ -170,31 +186,74 @@ def greedy_factors(start: np.ndarray, doc: np.ndarray, source: np.ndarray) -> tu
     return first, _ends(first, len(start)) - 1
 
 
-def parse_block(ids: np.ndarray, texts: list[str], found: pa.Table) -> tuple[np.ndarray, np.ndarray, list, list[bytes]]:
+class Found:
+    """Windows of a block that a smaller id has too, by the index: which, their sources, and the factors they make."""
+
+    def __init__(self, ids: np.ndarray, texts: list[str], found: pa.Table, attempt: int = 0):
+        w = self.windows = Windows(texts, attempt)
+        raw = found.column("windows").to_pylist()
+        sizes = np.array([len(x) // 8 for x in raw], dtype=np.int64)
+        hash_ = np.frombuffer(b"".join(raw), dtype="<u8")
+        anchor, source, home = (np.repeat(found.column(c).to_numpy(), sizes) for c in ("anchor", "source", "source_block"))
+        anchor = anchor.view(np.uint64)
+        key = _joint(anchor, hash_)
+        order = np.argsort(key, kind="stable")
+        key, anchor, hash_, source, home = key[order], anchor[order], hash_[order], source[order], home[order]
+        at, hit = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        if len(key) and len(w.hash):
+            place = np.searchsorted(key, _joint(w.anchor, w.hash))
+            at = np.minimum(place, len(key) - 1)
+            for step in range(1, int(np.diff(np.append(_runs(key), len(key))).max())):  # keys that agree by chance
+                other = np.minimum(place + step, len(key) - 1)
+                at = np.where((anchor[at] == w.anchor) & (hash_[at] == w.hash), at, other)
+            hit = np.flatnonzero((anchor[at] == w.anchor) & (hash_[at] == w.hash) & (source[at] < ids[w.doc]))
+        self.hit, self.source, self.home = hit, source[at[hit]], home[at[hit]]
+        self.start, self.doc = w.start[hit], w.doc[hit]
+        self.first, self.last = greedy_factors(self.start, self.doc, self.source)
+
+    def claims(self) -> pa.Table:
+        """What the factors rest on: windows that cover them, with the SHA-256 of their words, to be compared with the source."""
+        a, b = self.first, self.last
+        n = (b - a) // WINDOW + 1
+        at = np.repeat(a, n) + WINDOW * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        at = np.unique(np.concatenate([at, b])).astype(np.int64)
+        w, own = self.windows, self.hit[at]
+        return pa.table({
+            "source_block": pa.array(self.home[at].astype(np.int32)),
+            "source": pa.array(self.source[at].astype(np.int64)),
+            "anchor": _signed(w.anchor[own]),
+            "hash": _signed(w.hash[own]),
+            "digest": pa.array([hashlib.sha256(w.spelled(i)).digest() for i in own.tolist()], pa.binary()),
+        })
+
+
+CLAIMS = "source_block int, source long, anchor long, hash long, digest binary"
+
+
+def refuted(ids: np.ndarray, texts: list[str], claims: pa.Table, attempt: int = 0) -> int:
+    """How many of the claims on this block's documents do not hold: no window with these words is in the source."""
+    asked = np.isin(ids, claims.column("source").to_numpy())
+    ids, texts = ids[asked], [t for t, a in zip(texts, asked.tolist(), strict=True) if a]
+    open_ = set(zip(claims.column("source").to_pylist(), claims.column("digest").to_pylist(), strict=True))
+    w = Windows(texts, attempt)
+    wanted = _joint(claims.column("anchor").to_numpy().view(np.uint64), claims.column("hash").to_numpy().view(np.uint64))
+    for i in np.flatnonzero(np.isin(_joint(w.anchor, w.hash), wanted)).tolist():
+        open_.discard((int(ids[w.doc[i]]), hashlib.sha256(w.spelled(i)).digest()))
+    return len(open_)
+
+
+def parse_block(ids: np.ndarray, texts: list[str], found: pa.Table, attempt: int = 0) -> tuple[np.ndarray, np.ndarray, list, list[bytes]]:
     """Per document: words, removed words, factors (start, words, source), and its words that stay, joined by one space."""
-    w = Windows(texts)
-    raw = found.column("windows").to_pylist()
-    sizes = [len(x) // 4 for x in raw]
-    data = np.frombuffer(b"".join(raw), dtype="<u4")
-    anchor = np.repeat(found.column("anchor").to_numpy().view(np.uint64), sizes)
-    source = np.repeat(found.column("source").to_numpy(), sizes)
-    key = mix64(anchor + data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    key, source = key[order], source[order]
-    wanted = mix64(w.anchor + w.hash.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    f = Found(ids, texts, found, attempt)
+    w, first, last = f.windows, f.first, f.last
     factors: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     covered = np.zeros(int(w.words.bounds[-1]) + 1, dtype=np.int32)
-    if len(key) and len(wanted):
-        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        hit = np.flatnonzero((key[at] == wanted) & (source[at] < ids[w.doc]))
-        start, doc, from_ = w.start[hit], w.doc[hit], source[at[hit]]
-        first, last = greedy_factors(start, doc, from_)
-        np.add.at(covered, start[first], 1)
-        np.add.at(covered, start[last] + WINDOW, -1)
-        base = w.words.bounds
-        for a, b in zip(first.tolist(), last.tolist(), strict=True):
-            d = int(doc[a])
-            factors[d].append((int(start[a] - base[d]), int(start[b] - start[a]) + WINDOW, int(from_[a])))
+    np.add.at(covered, f.start[first], 1)
+    np.add.at(covered, f.start[last] + WINDOW, -1)
+    base = w.words.bounds
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        d = int(f.doc[a])
+        factors[d].append((int(f.start[a] - base[d]), int(f.start[b] - f.start[a]) + WINDOW, int(f.source[a])))
     removed = np.cumsum(covered)[:-1] > 0
     counts = np.concatenate(([0], np.cumsum(removed)))
     n_removed = counts[w.words.bounds[1:]] - counts[w.words.bounds[:-1]]
@@ -222,8 +281,9 @@ def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     is factored against every block, the work growing with the text and not with pairs of copies. An anchor of more
     than a small share of all windows is split by window. Of each window that several documents have, the smallest
     id goes back to the blocks that hold it, and each document is parsed greedily into factors from one source and
-    words of its own. Windows are equal when 64-bit mixes of their anchor's and their own hash agree, among the rows
-    that meet in one part of the index.
+    words of its own. Windows that agree in 64 bits of anchor and 63 bits of hash are candidates: of every factor,
+    windows that cover it are then compared with its source by the SHA-256 of their words, in the source's block.
+    Where one differs, all is done again with window hashes from SHA-256, until every factor stands in its source.
 
     Null texts are empty: no words, and the digest of nothing. A null id counts as smaller than all others, and
     windows within rows of one id are no repeats. Other columns are ignored; an empty table gives an empty result.
@@ -242,16 +302,34 @@ def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     spread = F.when(F.col("id") == NO_ID, F.xxhash64("text")).otherwise(F.xxhash64("id"))
     dealt = own.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
+    attempt = 0
+    while True:
+        done = materialize(_attempt(dealt, blocks, hot, keep_text, attempt), "repeated-passages")
+        if done.filter("refuted > 0").limit(1).count() == 0:
+            return done.filter("refuted IS NULL").drop("refuted")
+        attempt += 1
+
+
+def _attempt(dealt: DataFrame, blocks: int, hot, keep_text: bool, attempt: int) -> DataFrame:
+    """SCHEMA and refuted: null in rows of documents; other rows have the number of claims refuted in a block."""
+
     def index(rows: pa.Table) -> pa.Table:
-        return index_block(rows.column("id").to_numpy(), rows.column("text").to_pylist(), rows.column("block")[0].as_py(), hot.value)
+        return index_block(rows.column("id").to_numpy(), rows.column("text").to_pylist(), rows.column("block")[0].as_py(), hot.value, attempt)
 
     filed = dealt.groupBy("block").applyInArrow(index, "anchor long, salt int, block int, id long, windows binary")
     sorted_ = filed.repartition(blocks, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found = sorted_.mapInArrow(_resolve_partition, "block int, anchor long, source long, windows binary")
+    found = sorted_.mapInArrow(_resolve_partition, "block int, anchor long, source long, source_block int, windows binary")
+
+    def claim(rows: pa.Table, hits: pa.Table) -> pa.Table:
+        return Found(rows.column("id").to_numpy(), rows.column("text").to_pylist(), hits, attempt).claims()
+
+    def check(rows: pa.Table, claims: pa.Table) -> pa.Table:
+        n = refuted(rows.column("id").to_numpy(), rows.column("text").to_pylist(), claims, attempt) if claims.num_rows else 0
+        return pa.table({"refuted": pa.array([n] if n else [], pa.int64())})
 
     def parse(rows: pa.Table, hits: pa.Table) -> pa.Table:
         ids = rows.column("id").to_numpy()
-        n_words, n_removed, factors, kept = parse_block(ids, rows.column("text").to_pylist(), hits)
+        n_words, n_removed, factors, kept = parse_block(ids, rows.column("text").to_pylist(), hits, attempt)
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64())]))
         return pa.table({
             "doc_id": pa.array(ids, pa.int64(), mask=ids == NO_ID),
@@ -262,7 +340,11 @@ def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             "kept": pa.array([k.decode() for k in kept] if keep_text else [None] * len(kept), pa.string()),
         })
 
-    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(parse, SCHEMA)
+    # Both sides share the shuffles of texts and index: all is one plan.
+    claims = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(claim, CLAIMS).distinct()
+    checked = dealt.groupBy("block").cogroup(claims.groupBy("source_block")).applyInArrow(check, "refuted long")
+    parsed = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(parse, SCHEMA)
+    return parsed.unionByName(checked, allowMissingColumns=True)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,18 @@ def test_substrings(docs, none):
     assert [(f.start, f.words, f.source) for f in factors] == [(0, 70, 4)]
 
 
+def test_substrings_whose_words_differ_under_equal_hashes(spark):
+    """A Thue-Morse word and its complement have one polynomial hash; passages that differ in them alone are not equal."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    head, tail = prose(50, 30), prose(51, 29)
+    rows = [(1, f"{head} {word} {tail}"), (2, f"{head} {other} {tail}"), (3, f"{head} {other} {tail} x")]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 0, 60]
+    assert [(f.start, f.words, f.source) for f in got[3].factors] == [(0, 60, 2)]
+    assert substring_dedup.Windows([prose(52, 5000)]).hash.max() >= 2**61  # more bits than 31 tell windows apart
+
+
 def test_near_classes_match_brute_force(docs, none):
     counts, n = near_dedup.word_frequencies(near_dedup._keyed(docs))
     assert n == len(ROWS)

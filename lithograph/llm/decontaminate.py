@@ -43,20 +43,20 @@ def shingles_of(words: Column, width: int) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words), width (of its shingles), shingles: one row per distinct item with words."""
+    """item (key of id and words), item_id, n (words), width (of its shingles), shingles: one row per distinct item with words."""
     words = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), words_of(F.col("text")).alias("w"))
     sized = words.select("item_id", "w", F.size("w").alias("n")).filter("n > 0").distinct()
     width = F.least(F.col("n"), F.lit(SHINGLE))
     own = F.array().cast("array<bigint>")
     for k in range(1, SHINGLE + 1):
         own = F.when(width == k, shingles_of(F.col("w"), k)).otherwise(own)
-    return sized.select("item_id", "n", width.alias("width"), own.alias("shingles"))
+    return sized.select(F.xxhash64("item_id", "w").alias("item"), "item_id", "n", width.alias("width"), own.alias("shingles"))
 
 
 def _weights(items: DataFrame) -> tuple[DataFrame, int]:
     """Weight of each of the items' shingles, by inverse item frequency, and that of a shingle that no item has."""
     total = items.count()
-    df = items.select("item_id", F.explode("shingles").alias("shingle")).distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    df = items.select("item", F.explode("shingles").alias("shingle")).distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     scale = F.log(F.lit(2.0 + total))
     weight = F.greatest(F.round(WEIGHT_STEPS * F.log((2.0 + total) / F.col("df")) / scale), F.lit(1)).cast("int")
     return df.select("shingle", weight.alias("weight")), WEIGHT_STEPS
@@ -85,7 +85,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     """Items found in documents: doc_id, item_id, start_word, n_words, hamming, similarity; the best window of each pair.
 
     Words are lower-cased runs of letters and digits; shingles are five words, for shorter items all their words. An
-    item of n words is compared with windows of n words. Windows that share no shingle with it have similarity 0 and
+    item of n words is compared with windows of n words, and with all words of a document that has fewer. Windows that share no shingle with it have similarity 0 and
     are left out first, by a join on shingles; all others are fingerprinted: SimHash of 64 bits over the weights of
     their shingles (inverse item frequencies). A multi-index over the items' fingerprints, of 8 blocks with all
     values within 2 bits, finds every window whose fingerprint is within RADIUS bits of an item's of its length.
@@ -93,15 +93,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     similarity. Ties go to the first window.
 
     Null texts and texts without words are in nothing and contain nothing. Null ids of either side are kept as null.
-    Rows that repeat an id count as one document where their texts are equal, and are told apart otherwise; the
-    result has one row for a pair of ids. Other columns are ignored; an empty table of either side gives an empty
+    Rows that repeat an id count as one document where their texts are equal, and are told apart otherwise, and so do
+    items whose words are equal or not; the result has one row for a pair of ids. Other columns are ignored; an empty table of either side gives an empty
     result.
     """
     items = materialize(_items(benchmark), "items")
     weights, novel = _weights(items)
     weights = materialize(weights, "item-weights")
     n_shingles = weights.count()
-    posting = items.select("item_id", "n", "width", F.explode("shingles").alias("shingle")).distinct()
+    posting = items.select("n", "width", F.explode("shingles").alias("shingle")).distinct()
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most SHINGLE rows
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("row", F.xxhash64("id", "text"))
@@ -115,7 +115,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
         hits = kept if hits is None else hits.union(kept)
     hits = materialize(hits, "item-hits")
 
-    # Windows that hold a shingle of an item of their length, and all their shingles.
+    # Windows that hold a shingle of an item of their length, and all their shingles; a shorter document is one window.
     lengths = posting.select("shingle", "width", "n").distinct()
     reached = hits.join(lengths, ["shingle", "width"]).select("id", "row", "width", "n", F.explode(F.sequence(F.greatest(F.col("place") - F.col("n") + F.col("width"), F.lit(0)), F.col("place"))).alias("start")).distinct()
     involved = materialize(hits.select("id", "row").distinct(), "item-documents")
@@ -125,44 +125,45 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     full = None
     for width in widths or [SHINGLE]:
         listed = texts.select("id", "row", shingles_of(F.col("w"), width).alias("all"))
-        windows = reached.filter(F.col("width") == width).join(listed, ["id", "row"]).filter(F.col("start") + F.col("n") - width < F.size("all"))
-        cut = windows.select("id", "row", "n", "start", F.explode(F.slice("all", F.col("start") + 1, F.col("n") - width + 1)).alias("shingle"))
+        windows = reached.filter(F.col("width") == width).join(listed, ["id", "row"]).filter((F.col("start") + F.col("n") - width < F.size("all")) | (F.col("start") == 0))
+        words = F.least(F.col("n"), F.size("all") + width - 1).alias("words")
+        cut = windows.select("id", "row", "n", "start", words, F.explode(F.slice("all", F.col("start") + 1, F.col("n") - width + 1)).alias("shingle"))
         full = cut if full is None else full.union(cut)
-    counted = full.groupBy("id", "row", "n", "start", "shingle").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    weighed = counted.join(F.broadcast(weights) if small else weights, "shingle", "left").select("id", "row", "n", "start", "shingle", (F.col("tf") * F.coalesce("weight", F.lit(novel))).alias("weight"))
-    window = ["id", "row", "n", "start"]
+    window = ["id", "row", "n", "start", "words"]
+    counted = full.groupBy(*window, "shingle").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    weighed = counted.join(F.broadcast(weights) if small else weights, "shingle", "left").select(*window, "shingle", (F.col("tf") * F.coalesce("weight", F.lit(novel))).alias("weight"))
     prints = materialize(_fingerprints(weighed, window), "window-fingerprints")
 
-    tf = items.select("item_id", "n", F.explode("shingles").alias("shingle")).groupBy("item_id", "n", "shingle").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    item_weighed = tf.join(weights, "shingle").select("item_id", "n", "shingle", "tf", (F.col("tf") * F.col("weight")).alias("weight"))
-    item_prints = _fingerprints(item_weighed, ["item_id", "n"]).withColumnRenamed("fingerprint", "item_print").withColumnRenamed("total", "item_total")
+    tf = items.select("item", "item_id", "n", F.explode("shingles").alias("shingle")).groupBy("item", "item_id", "n", "shingle").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    item_weighed = tf.join(weights, "shingle").select("item", "item_id", "n", "shingle", "tf", (F.col("tf") * F.col("weight")).alias("weight"))
+    item_prints = _fingerprints(item_weighed, ["item", "item_id", "n"]).withColumnRenamed("fingerprint", "item_print").withColumnRenamed("total", "item_total")
     masks = F.array(*[F.lit(m) for m in _masks()])
     blocks = F.array(*[F.struct(F.lit(j).alias("block"), _block(F.col("item_print"), j).alias("value")) for j in range(BLOCKS)])
-    index = item_prints.select("item_id", "n", "item_print", "item_total", F.explode(blocks).alias("b")).select("item_id", "n", "item_print", "item_total", "b.block", "b.value", F.explode(masks).alias("mask"))
-    index = index.select("item_id", "n", "item_print", "item_total", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    index = item_prints.select("item", "item_id", "n", "item_print", "item_total", F.explode(blocks).alias("b")).select("item", "item_id", "n", "item_print", "item_total", "b.block", "b.value", F.explode(masks).alias("mask"))
+    index = index.select("item", "item_id", "n", "item_print", "item_total", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     probes = F.array(*[F.struct(F.lit(j).alias("block"), _block(F.col("fingerprint"), j).alias("value")) for j in range(BLOCKS)])
     probed = prints.select(*window, "fingerprint", "total", F.explode(probes).alias("b")).select(*window, "fingerprint", "total", "b.block", "b.value")
     near = (
         probed.join(index, ["n", "block", "value"])
         .withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))).cast("int"))
         .filter(F.col("hamming") <= RADIUS)
-        .select(*window, "total", "item_id", "item_total", "hamming")
+        .select(*window, "total", "item", "item_id", "item_total", "hamming")
         .distinct()
     )
     near = materialize(near, "window-candidates")
 
     # The exact check: shared weight of a window and an item, from the shingles of both.
-    theirs = item_weighed.select("item_id", "shingle", F.col("weight").alias("item_weight"))
-    pairs = near.select(*window, "item_id", "total", "item_total", "hamming").join(theirs, "item_id")
-    both = pairs.join(weighed, [*window, "shingle"]).groupBy(*window, "item_id", "total", "item_total", "hamming").agg(F.sum(F.least("weight", "item_weight")).alias("shared"))
+    theirs = item_weighed.select("item", "shingle", F.col("weight").alias("item_weight"))
+    pairs = near.select(*window, "item", "item_id", "total", "item_total", "hamming").join(theirs, "item")
+    both = pairs.join(weighed, [*window, "shingle"]).groupBy(*window, "item", "item_id", "total", "item_total", "hamming").agg(F.sum(F.least("weight", "item_weight")).alias("shared"))
     scored = both.withColumn("similarity", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))).filter(F.col("similarity") >= similarity)
-    best = F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", -F.col("start"), -F.col("n"), "row"))
+    best = F.max_by(F.struct("start", "words", "hamming", "similarity"), F.struct("similarity", -F.col("start"), -F.col("n"), "row", "item"))
     null = F.lit(None).cast("long")
     return scored.groupBy("id", "item_id").agg(best.alias("best")).select(
         F.when(F.col("id") == NO_ID, null).otherwise(F.col("id")).alias("doc_id"),
         F.when(F.col("item_id") == NO_ID, null).otherwise(F.col("item_id")).alias("item_id"),
         F.col("best.start").cast("long").alias("start_word"),
-        F.col("best.n").cast("long").alias("n_words"),
+        F.col("best.words").cast("long").alias("n_words"),
         F.col("best.hamming").alias("hamming"),
         F.col("best.similarity").alias("similarity"),
     )

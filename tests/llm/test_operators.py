@@ -188,6 +188,29 @@ def test_decontamination_matches_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) == 8
 
 
+def test_decontamination_of_short_documents_and_items_of_one_id(spark):
+    """Documents shorter than an item, versions of one item id (of one length and of others) and items without id, against brute force."""
+    a, b, c, d, e = (prose(200 + k, n).split() for k, n in enumerate((40, 40, 33, 40, 40)))
+    items = [(1, a), (1, b), (1, c), (None, d), (None, e)]
+    docs = [a[:-1], a[3:], a[:20], b, b[2:38], c, c[:-3], d, d[1:], e[:-2], prose(9, 12).split() + e, a[:38] + d]
+
+    def alike(window, item):
+        x, y = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (window, item))
+        return sum((x & y).values()) / sum((x | y).values())
+
+    def best(doc, item):
+        n = min(len(doc), len(item))
+        return max(alike(doc[s : s + n], item) for s in range(len(doc) - n + 1))
+
+    want = {(k, i) for k, doc in enumerate(docs) for i, item in items if best(doc, item) >= 0.8}
+    rows = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = decontaminate.contaminations(rows, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) == len(got) == 12
+    assert {r.doc_id: r.n_words for r in got if r.doc_id in (0, 1, 3, 6)} == {0: 39, 1: 37, 3: 40, 6: 30}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(rows, bench).collect()] == [2]
+
+
 def test_licences(spark, none):
     rows = [(1, "Released UNDER the MIT license; under, the mit--license. cc BY-NC!"), (2, "apache license version 20"), (3, None), (4, "x Apache License, Version 2.0 under the MIT"), (5, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"), (None, "mit " * 3000)]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, labels string")).collect()}

@@ -151,6 +151,22 @@ def test_near_classes_match_brute_force(docs, none):
     assert near_dedup.near_classes(none).count() == 0
 
 
+def test_texts_around_one_boilerplate_are_never_sent_to_one_group(spark):
+    """Texts about 0.6 alike, and pairs of near copies among them, in one bucket: the links are found by a join, not in a group of the bucket."""
+    line = prose(300, 150)
+    rows = [(k, f"{line} {prose(400 + k, 48)}") for k in range(60)]
+    rows += [(100 + k, rows[k][1] + f" tail{k}") for k in range(0, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = near_dedup._keyed(docs)
+    idf = spark.sparkContext.broadcast(near_dedup.inverse_frequencies(*near_dedup.word_frequencies(keyed)))
+    key = {r["id"]: bytes(r["key"]) for r in keyed.collect()}
+    active = keyed.selectExpr("0 AS band", "7L AS bucket", "key", f"{len(rows)}L AS size")
+    roots = keyed.selectExpr("key", "key AS root")  # all ask
+    found = near_dedup._between(active, roots, keyed.select("key", "text"), idf, 0.8)
+    assert {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in found.collect()} == {frozenset((key[k], key[100 + k])) for k in range(0, 60, 3)}
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()
+
+
 def test_sampling_agrees_as_often_as_texts_are_alike():
     rng = np.random.default_rng(0)
     shingles = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))

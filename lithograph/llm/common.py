@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,21 +30,14 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for cut lineage; one of our own only where none is set (as in tests)."""
+    """The folder that the cluster shares for cut lineage. Only a local session, as in tests, gets one of its own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lithograph-")
         spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> SparkSession:
-    """Whole texts reach Python in batches of few rows, so that a worker's memory stays bounded."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    return spark
+    return found.rstrip("/")
 
 
 def slices(texts: list[str], size: int = 1 << 18) -> Iterator[list[str]]:
@@ -59,11 +53,55 @@ def slices(texts: list[str], size: int = 1 << 18) -> Iterator[list[str]]:
         yield out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below one folder for each application, which may be cleared when that has ended."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: lost executors then cost no recomputation upstream."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() has written and that no result still to be computed reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, in any case of letters."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_keys(big: DataFrame, on: str, share: int = 4, least: int = 200) -> list[tuple]:
+    """(value, parts) of the values of a column that a count shows to fill over 1 / (share * partitions) of the rows: share * partitions at most."""
+    limit = max(least, big.count() // (share * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > limit) & F.col(on).isNotNull())
+    return [(r[on], -(-r["n"] // limit)) for r in counts.collect()]
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: str, by: str, hot: list[tuple]) -> DataFrame:
+    """big joined with small, which has a row for each value of `on`; rows of hot values (of spread_keys) are dealt by `by`.
+
+    small repeats the row of a hot value for each of its parts.
+    """
+    if not hot:
+        return big.join(small, on)
+    parts, part = unused("parts", big, small), unused("part", big, small)
+    kind = big.schema[on].dataType.simpleString()
+    listed = F.broadcast(big.sparkSession.createDataFrame(hot, f"`{on}` {kind}, {parts} int"))  # bounded by the number of partitions
+    dealt = big.join(listed, on, "left").withColumn(part, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int"))
+    copied = small.join(listed, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
+    return dealt.drop(parts).join(copied.drop(parts), [on, part]).drop(part)
 
 
 def let(value: Column, body) -> Column:

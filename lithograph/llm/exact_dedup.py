@@ -2,85 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import SPACE, materialize, table, texts
+from lithograph.llm.common import SPACE, materialize, table
 
-#: Characters of the text that the splitters compare; the splitters, unlike the texts, are then of bounded size.
-SPLITTER_CHARS = 32
+#: Characters of the text that the splitters compare before its hash; the splitters, unlike the texts, are then of bounded size.
+SPLITTER_CHARS = 64
+#: A text that over 1 / (SHARE * partitions) of the rows have, and LEAST_HOT rows at least, is spread over several runs.
+SHARE, LEAST_HOT = 2, 100
+RUN = ["head", "hash", "part", "run"]
+
+
+def _normalised(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, " ")
+
+
+def _content_sort(docs: DataFrame, n: int, carry: bool) -> DataFrame:
+    """id, digest, keep_id, group_size, kept of every row, and with carry the row itself as a struct `row`."""
+    norm = _normalised(F.col("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("id"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else norm.alias("norm"),
+        F.substring(norm, 1, SPLITTER_CHARS).alias("head"),
+        F.xxhash64(norm).alias("hash"),
+    )
+    # Texts with more rows than a task should hold, SHARE * n of them at most, are sorted in several runs.
+    limit = max(LEAST_HOT, docs.count() // (SHARE * n))
+    hot = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).collect()
+    part = F.lit(0).cast("long")
+    if hot:
+        parts = F.create_map(*[F.lit(x) for r in hot for x in (r["hash"], -(-r["rows"] // limit))])[F.col("hash")]
+        spread = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("id"))
+        part = F.when(parts.isNull(), part).otherwise(1 + F.pmod(spread, parts))
+    dealt = rows.withColumn("part", part).repartitionByRange(n, "head", "hash", "part")
+    if carry:
+        dealt = dealt.withColumn("norm", _normalised(F.col("row.text")))
+
+    # Neighbours in content order are compared in full: a run ends where the text does.
+    order = Window.partitionBy("head", "hash", "part").orderBy("norm", F.col("id").asc_nulls_first())
+    ends = dealt.withColumn("ends", F.coalesce(F.col("norm") != F.lag("norm").over(order), F.lit(False)).cast("long"))
+    runs = ends.withColumn("run", F.sum("ends").over(order))
+    inside = Window.partitionBy(*RUN).orderBy("norm", F.col("id").asc_nulls_first())
+    runs = runs.select(
+        "id", *(["row"] if carry else []), *RUN, F.sha2("norm", 256).alias("digest"),
+        F.row_number().over(inside).alias("place"),
+        F.first("id").over(inside).alias("keep_id"),
+        F.count(F.lit(1)).over(Window.partitionBy(*RUN)).alias("group_size"),
+        "norm",
+    )
+    whole = runs.withColumn("kept", F.col("place") == 1)
+    out = ["id", "digest", "keep_id", "group_size", "kept", *(["row"] if carry else [])]
+    if not hot:
+        return whole.select(*out)
+
+    # The runs of one spread text are merged by that text: one row for each.
+    runs = materialize(runs.withColumn("norm", F.when((F.col("part") > 0) & (F.col("place") == 1), F.col("norm"))), "exact-runs")
+    heads = runs.filter("norm IS NOT NULL")
+    least = F.struct(F.col("keep_id"), F.col("part"))
+    merged = heads.groupBy("norm").agg(F.min(least).alias("least"), F.sum("group_size").alias("total"))
+    named = heads.select("norm", *RUN).join(merged, "norm").select(*RUN, "least", "total")
+    spread = runs.filter("part > 0").drop("keep_id").join(named, RUN)
+    spread = spread.select(
+        "id", "digest", F.col("least.keep_id").alias("keep_id"), F.col("total").alias("group_size"),
+        ((F.col("place") == 1) & (F.col("part") == F.col("least.part"))).alias("kept"), *(["row"] if carry else []),
+    )
+    alone = runs.filter("part = 0").withColumn("kept", F.col("place") == 1).select(*out)
+    return alone.unionByName(spread)
 
 
 def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Groups of equal texts: doc_id, keep_id, group_size, kept, text_sha256, one row per input row.
 
-    Texts are equal when identical after each run of ASCII white space is one space. Sampled splitters
-    range-partition the rows by the first bytes of the normalised text, its hash and a salt of the id; each
-    partition is sorted (spilling to disk as needed) by that and by the whole text, so that equal texts are
-    neighbours, and neighbours are compared in full to find where a run of equal texts ends. The salt lets the
-    splitters cut a text that a large share of the rows repeat; the runs of one text, at most one per salt, are
-    then merged by their digest.
+    Texts are equal when identical after each run of ASCII white space is one space. Sampled splitters range-partition
+    the rows by the first characters of the normalised text, and its hash where these agree; each partition is sorted
+    (spilling to disk as needed) by that and by the whole text, so that equal texts are neighbours, and neighbours are
+    compared in full to find where a run of equal texts ends. The smallest id of a run stays. Texts that a count shows
+    to fill more than a share of a partition are sorted in several runs, dealt by id; the heads of these runs are then
+    grouped by their whole text.
 
     Null texts count as empty; empty texts are equal to each other. Of rows with one doc_id and equal texts all
     but one are dropped (kept is false for them). Null ids sort first and are kept as null. An empty table gives
     an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    norm = texts(docs).select("doc_id", F.regexp_replace("text", SPACE, " ").alias("norm"))
-    keyed = norm.select(
-        "doc_id",
-        "norm",
-        F.substring("norm", 1, SPLITTER_CHARS).alias("head"),
-        F.xxhash64("norm").alias("hash"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("salt"),
-    )
-    dealt = keyed.repartitionByRange(n, "head", "hash", "salt")
-    run = Window.partitionBy("head", "hash", "salt", "norm")
-    inside = run.orderBy(F.col("doc_id").asc_nulls_first())
-    runs = dealt.select(
-        "doc_id",
-        "salt",
-        F.sha2("norm", 256).alias("text_sha256"),
-        F.row_number().over(inside).alias("place"),
-        F.first("doc_id").over(inside).alias("run_first"),
-        F.count(F.lit(1)).over(run).alias("run_size"),
-    )
-    runs = materialize(runs, "exact-runs")
-    text = Window.partitionBy("text_sha256")
-    heads = (
-        runs.filter("place = 1")
-        .select(
-            "text_sha256",
-            "salt",
-            F.min(F.struct("run_first", "salt")).over(text).alias("best"),
-            F.sum("run_size").over(text).alias("group_size"),
-        )
-        .select("text_sha256", "salt", F.col("best.run_first").alias("keep_id"), (F.col("best.salt") == F.col("salt")).alias("has_keeper"), "group_size")
-    )
-    return runs.join(heads, ["text_sha256", "salt"]).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("has_keeper") & (F.col("place") == 1)).alias("kept"),
-        "text_sha256",
-    )
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = _content_sort(docs.select("doc_id", "text"), n, carry=False)
+    return sorted_.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text no row with a smaller doc_id has; all columns stay as they are.
+def drop_exact_copies(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The rows of docs whose text no row with a smaller doc_id has; all columns, whatever their names, stay as they are.
 
-    Rows that share both doc_id and text are told apart by nothing, so one of them stays. Null texts count as
-    empty. Rows with a null doc_id are compared like those of the smallest id.
+    Whole rows go through the sort of exact_groups. Rows that share both doc_id and text are told apart by nothing
+    that counts, so one of them stays. Null texts count as empty. Rows with a null doc_id are compared like those of
+    the smallest id.
     """
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumns({
-        "__key": F.col("doc_id").cast("long"),
-        "__text": F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " "), 256),
-    })
-    same = own["__key"].eqNullSafe(kept["__id"]) & (own["__text"] == kept["__sha"])
-    left = own.join(kept, same, "left_semi")
-    return left.dropDuplicates(["__key", "__text"]).select(*[left[f"`{c}`"] for c in docs.columns])
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _content_sort(docs, n, carry=True).filter("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import materialize, slices, small_batches, table, texts
+from lithograph.llm.common import materialize, slices, table, texts
 
 BLOCK = 128  #: ids in a block
 PERCENTILE = 90  #: share of a block's ids that its packed width must hold; the rest are exceptions
@@ -215,7 +215,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     doc_ids come first; rows of one doc_id stand in any order, next to each other. Other columns are ignored; an
     empty table gives no shards.
     """
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

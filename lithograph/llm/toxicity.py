@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import fold, small_batches, table
+from lithograph.llm.common import fold, table
 
 BITS = 22  #: log2 of the number of hashed features
 SIZES = (5, 8)  #: characters of an n-gram, the spaces around words among them
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     of the id and weighted back to the true rates. Null or other labels are ignored, null texts count as empty; a
     document with several labels counts once for each. Without labels every score is 0.5.
     """
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold(F.col("doc_id"), 4) != 2)
     small = known.count() <= BROADCAST_LABELS
@@ -196,7 +196,7 @@ def _dense(parts: tuple[np.ndarray, np.ndarray, float]) -> Model:
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row's whole text; null texts count as empty. Other columns are ignored."""
-    sent = small_batches(docs.sparkSession).sparkContext.broadcast(_sparse(model))  # bounded by the number of features
+    sent = docs.sparkSession.sparkContext.broadcast(_sparse(model))  # bounded by the number of features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _dense(sent.value)
@@ -210,10 +210,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is below the threshold; all columns and other rows stay as they are."""
     model = train(docs, labels)
-    sent = small_batches(docs.sparkSession).sparkContext.broadcast(_sparse(model))
-    text = "__text"
-    while text in docs.columns:
-        text += "_"
+    sent = docs.sparkSession.sparkContext.broadcast(_sparse(model))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
+    schema = plain.schema
+    plain = plain.withColumn("text", plain[docs.columns.index("text")].cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _dense(sent.value)
@@ -221,7 +221,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             clean = pa.array([own.score(t) < threshold for t in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
             yield batch.filter(clean).select(list(range(batch.num_columns - 1)))
 
-    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

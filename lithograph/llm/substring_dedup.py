@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import Words, block, materialize, mix64, powered, ranges_hash, slices, small_batches, table
+from lithograph.llm.common import Words, block, materialize, mix64, powered, ranges_hash, release, slices, table
 
 WINDOW = 50  #: words that a factor has at least
 ANCHOR = 11  #: words of an anchor: each window holds WINDOW - ANCHOR + 1 candidates and is filed under the least hash
@@ -49,15 +49,27 @@ class Windows:
         self.anchor = least[self.start]
         if attempt:
             salt = attempt.to_bytes(8, "little")
-            self.hash = np.array([int.from_bytes(hashlib.sha256(salt + self.spelled(i)).digest()[:8], "little") for i in range(len(self.start))], dtype=np.uint64) >> np.uint64(1)
+            self.hash = np.array([int.from_bytes(hashlib.sha256(salt + self.spelled(i, WINDOW)).digest()[:8], "little") for i in self.start.tolist()], dtype=np.uint64) >> np.uint64(1)
         else:
             self.hash = ranges_hash(prefix, self.start, self.start + WINDOW) >> np.uint64(1)
         self.doc = doc[self.start]
 
-    def spelled(self, i: int) -> bytes:
-        """The words of a window, joined by one space."""
-        first = self.start[i]
-        return b" ".join(self.words.raw[self.words.start[first] : self.words.end[first + WINDOW - 1]].tobytes().split())
+    def spelled(self, first: int, words: int) -> bytes:
+        """Consecutive words, joined by one space."""
+        return b" ".join(self.words.raw[self.words.start[first] : self.words.end[first + words - 1]].tobytes().split())
+
+
+class Block:
+    """The documents of a block by id (rows of one id by text): what indexing, parsing and checking number alike."""
+
+    def __init__(self, rows: pa.Table):
+        ids, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.ids, self.texts = np.array([ids[i] for i in order], dtype=np.int64), [texts[i] for i in order]
+
+    def bases(self, bounds: np.ndarray) -> np.ndarray:
+        """For each document, where the words of its id begin; bounds: where those of each document do."""
+        return bounds[:-1][np.searchsorted(self.ids, self.ids)]
 
 
 def _joint(anchor: np.ndarray, hash_: np.ndarray) -> np.ndarray:
@@ -98,56 +110,64 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(n.astype(np.int64))], names=["anchor", "windows"])
 
 
-def index_block(ids: np.ndarray, texts: list[str], number: int, hot: np.ndarray, attempt: int = 0) -> pa.Table:
-    """The distinct windows of a block: (anchor, salt, block, id, windows).
+def index_block(own: Block, number: int, hot: np.ndarray, attempt: int = 0) -> pa.Table:
+    """The distinct windows of a block: (anchor, salt, block, id, windows, places).
 
-    Each window is filed with the smallest id of the block that has it, its hash shifted by one; the lowest bit says
-    whether other ids of the block have it too.
+    Each window is filed with the smallest id of the block that has it and its first place there, its hash shifted by
+    one; the lowest bit says whether other ids of the block have it too.
     """
-    w = Windows(texts, attempt)
-    own = ids[w.doc]
-    order = np.lexsort((own, w.hash, w.anchor))
-    anchor, hash_, own = w.anchor[order], w.hash[order], own[order]
+    w = Windows(own.texts, attempt)
+    place = (w.start - own.bases(w.words.bounds)[w.doc]).astype(np.uint32)
+    order = np.lexsort((w.start, w.hash, w.anchor))  # documents stand by id
+    anchor, hash_, id_, place = w.anchor[order], w.hash[order], own.ids[w.doc[order]], place[order]
     first = _runs(anchor, hash_)
     last = _ends(first, len(anchor)) - 1
-    several = own[first] != own[last]
-    anchor, hash_, own = anchor[first], hash_[first], own[first]
+    several = id_[first] != id_[last]
+    anchor, hash_, id_, place = anchor[first], hash_[first], id_[first], place[first]
     salt = np.where(np.isin(anchor, hot), hash_ % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
-    order = np.lexsort((hash_, own, salt, anchor))
-    anchor, salt, own = anchor[order], salt[order], own[order]
+    order = np.lexsort((hash_, id_, salt, anchor))
+    anchor, salt, id_, place = anchor[order], salt[order], id_[order], place[order]
     data = ((hash_ << np.uint64(1)) | several.astype(np.uint64))[order]
-    first = _runs(anchor, salt, own)
+    first = _runs(anchor, salt, id_)
+    ends = np.append(first, len(data))
     return pa.table({
         "anchor": _signed(anchor[first]),
         "salt": pa.array(salt[first]),
         "block": pa.array(np.full(len(first), number, dtype=np.int32)),
-        "id": pa.array(own[first]),
-        "windows": _binary(data, np.append(first, len(data))),
+        "id": pa.array(id_[first]),
+        "windows": _binary(data, ends),
+        "places": _binary(place, ends),
     })
 
 
+INDEXED = "anchor long, salt int, block int, id long, windows binary, places binary"
+FOUND = "block int, anchor long, source long, source_block int, windows binary, places binary"
+
+
 def _resolve(rows: pa.Table) -> pa.RecordBatch:
-    """For rows of whole anchors: (block, anchor, source, source_block, windows) of the windows that several ids have; source: the smallest."""
+    """For rows of whole anchors: FOUND, the windows that several ids have, with the smallest (source) and its place of each."""
     anchor = rows.column("anchor").to_numpy().view(np.uint64)
     block_, own = rows.column("block").to_numpy(), rows.column("id").to_numpy()
     raw = rows.column("windows").to_pylist()
     sizes = np.array([len(x) // 8 for x in raw], dtype=np.int64)
     data = np.frombuffer(b"".join(raw), dtype="<u8")
+    place = np.frombuffer(b"".join(rows.column("places").to_pylist()), dtype="<u4")
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((block_[row], own[row], data >> np.uint64(1), anchor[row]))
-    row, data = row[order], data[order]
+    row, data, place = row[order], data[order], place[order]
     first = _runs(anchor[row], data >> np.uint64(1))
     size = np.diff(np.append(first, len(row)))
     shared = (np.add.reduceat((data & np.uint64(1)).astype(np.int64), first) > 0) | (size > 1) if len(first) else np.empty(0, dtype=bool)
-    source, home = np.repeat(own[row[first]], size), np.repeat(block_[row[first]], size)
+    source, home, place = np.repeat(own[row[first]], size), np.repeat(block_[row[first]], size), np.repeat(place[first], size)
     keep = np.repeat(shared, size)
-    row, source, home, data = row[keep], source[keep], home[keep], data[keep] >> np.uint64(1)
-    order = np.lexsort((data, home, source, row))
-    row, source, home, data = row[order], source[order], home[order], data[order]
+    row, source, home, place, data = row[keep], source[keep], home[keep], place[keep], data[keep] >> np.uint64(1)
+    order = np.lexsort((place, home, source, row))
+    row, source, home, place, data = row[order], source[order], home[order], place[order], data[order]
     first = _runs(row, source, home)
+    ends = np.append(first, len(data))
     return pa.RecordBatch.from_arrays(
-        [pa.array(block_[row[first]]), _signed(anchor[row[first]]), pa.array(source[first]), pa.array(home[first]), _binary(data, np.append(first, len(data)))],
-        names=["block", "anchor", "source", "source_block", "windows"],
+        [pa.array(block_[row[first]]), _signed(anchor[row[first]]), pa.array(source[first]), pa.array(home[first]), _binary(data, ends), _binary(place, ends)],
+        names=["block", "anchor", "source", "source_block", "windows", "places"],
     )
 
 
@@ -173,101 +193,98 @@ def _resolve_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield _resolve(pa.Table.from_batches(waiting).combine_chunks())
 
 
-def greedy_factors(start: np.ndarray, doc: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last (by index) of the runs of consecutive windows found in one source: each is a factor.
+def greedy_factors(start: np.ndarray, doc: np.ndarray, source: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (by index) of the runs of consecutive windows that stand consecutively in one source: each is a factor.
 
-    From its first window a factor reaches as far as the next window is found in the same source; there, at its
-    boundary, the next factor begins, or words of the document's own.
+    From its first window a factor is extended word by word, as long as the next window of the document is the next
+    of the source; there, at its boundary, the next factor begins, or words of the document's own.
     """
     new = np.ones(len(start), dtype=bool)
     if len(new):
-        new[1:] = (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])
+        new[1:] = (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
     return first, _ends(first, len(start)) - 1
 
 
 class Found:
-    """Windows of a block that a smaller id has too, by the index: which, their sources, and the factors they make."""
+    """The factors of a block's documents: first word, words, document, source, its block and the factor's place there."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str], found: pa.Table, attempt: int = 0):
-        w = self.windows = Windows(texts, attempt)
+    def __init__(self, own: Block, found: pa.Table, attempt: int = 0):
+        w = self.windows = Windows(own.texts, attempt)
         raw = found.column("windows").to_pylist()
         sizes = np.array([len(x) // 8 for x in raw], dtype=np.int64)
         hash_ = np.frombuffer(b"".join(raw), dtype="<u8")
+        place = np.frombuffer(b"".join(found.column("places").to_pylist()), dtype="<u4").astype(np.int64)
         anchor, source, home = (np.repeat(found.column(c).to_numpy(), sizes) for c in ("anchor", "source", "source_block"))
         anchor = anchor.view(np.uint64)
         key = _joint(anchor, hash_)
         order = np.argsort(key, kind="stable")
-        key, anchor, hash_, source, home = key[order], anchor[order], hash_[order], source[order], home[order]
+        key, anchor, hash_, source, home, place = key[order], anchor[order], hash_[order], source[order], home[order], place[order]
         at, hit = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         if len(key) and len(w.hash):
-            place = np.searchsorted(key, _joint(w.anchor, w.hash))
-            at = np.minimum(place, len(key) - 1)
+            low = np.searchsorted(key, _joint(w.anchor, w.hash))
+            at = np.minimum(low, len(key) - 1)
             for step in range(1, int(np.diff(np.append(_runs(key), len(key))).max())):  # keys that agree by chance
-                other = np.minimum(place + step, len(key) - 1)
+                other = np.minimum(low + step, len(key) - 1)
                 at = np.where((anchor[at] == w.anchor) & (hash_[at] == w.hash), at, other)
-            hit = np.flatnonzero((anchor[at] == w.anchor) & (hash_[at] == w.hash) & (source[at] < ids[w.doc]))
-        self.hit, self.source, self.home = hit, source[at[hit]], home[at[hit]]
-        self.start, self.doc = w.start[hit], w.doc[hit]
-        self.first, self.last = greedy_factors(self.start, self.doc, self.source)
+            hit = np.flatnonzero((anchor[at] == w.anchor) & (hash_[at] == w.hash) & (source[at] < own.ids[w.doc]))
+        at = at[hit]
+        first, last = greedy_factors(w.start[hit], w.doc[hit], source[at], place[at])
+        self.start, self.doc = w.start[hit][first], w.doc[hit][first]
+        self.words = w.start[hit][last] - self.start + WINDOW
+        self.source, self.home, self.place = source[at][first], home[at][first], place[at][first]
 
     def claims(self) -> pa.Table:
-        """What the factors rest on: windows that cover them, with the SHA-256 of their words, to be compared with the source."""
-        a, b = self.first, self.last
-        n = (b - a) // WINDOW + 1
-        at = np.repeat(a, n) + WINDOW * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        at = np.unique(np.concatenate([at, b])).astype(np.int64)
-        w, own = self.windows, self.hit[at]
+        """CLAIMS: each factor's source and place there, with the SHA-256 of its words, to be compared in the source's block."""
+        digests = [hashlib.sha256(self.windows.spelled(a, n)).digest() for a, n in zip(self.start.tolist(), self.words.tolist(), strict=True)]
         return pa.table({
-            "source_block": pa.array(self.home[at].astype(np.int32)),
-            "source": pa.array(self.source[at].astype(np.int64)),
-            "anchor": _signed(w.anchor[own]),
-            "hash": _signed(w.hash[own]),
-            "digest": pa.array([hashlib.sha256(w.spelled(i)).digest() for i in own.tolist()], pa.binary()),
+            "source_block": pa.array(self.home.astype(np.int32)),
+            "source": pa.array(self.source.astype(np.int64)),
+            "place": pa.array(self.place.astype(np.int64)),
+            "words": pa.array(self.words.astype(np.int64)),
+            "digest": pa.array(digests, pa.binary()),
         })
 
 
-CLAIMS = "source_block int, source long, anchor long, hash long, digest binary"
-
-
-def refuted(ids: np.ndarray, texts: list[str], claims: pa.Table, attempt: int = 0) -> int:
-    """How many of the claims on this block's documents do not hold: no window with these words is in the source."""
-    asked = np.isin(ids, claims.column("source").to_numpy())
-    ids, texts = ids[asked], [t for t, a in zip(texts, asked.tolist(), strict=True) if a]
-    open_ = set(zip(claims.column("source").to_pylist(), claims.column("digest").to_pylist(), strict=True))
-    w = Windows(texts, attempt)
-    wanted = _joint(claims.column("anchor").to_numpy().view(np.uint64), claims.column("hash").to_numpy().view(np.uint64))
-    for i in np.flatnonzero(np.isin(_joint(w.anchor, w.hash), wanted)).tolist():
-        open_.discard((int(ids[w.doc[i]]), hashlib.sha256(w.spelled(i)).digest()))
-    return len(open_)
-
-
-def parse_block(ids: np.ndarray, texts: list[str], found: pa.Table, attempt: int = 0) -> tuple[np.ndarray, np.ndarray, list, list[bytes]]:
-    """Per document: words, removed words, factors (start, words, source), and its words that stay, joined by one space."""
-    f = Found(ids, texts, found, attempt)
-    w, first, last = f.windows, f.first, f.last
-    factors: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    covered = np.zeros(int(w.words.bounds[-1]) + 1, dtype=np.int32)
-    np.add.at(covered, f.start[first], 1)
-    np.add.at(covered, f.start[last] + WINDOW, -1)
-    base = w.words.bounds
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        d = int(f.doc[a])
-        factors[d].append((int(f.start[a] - base[d]), int(f.start[b] - f.start[a]) + WINDOW, int(f.source[a])))
+CLAIMS = "source_block int, source long, place long, words long, digest binary"
+
+
+def refuted(own: Block, claims: pa.Table) -> int:
+    """How many of the claims on this block's documents do not hold: the source has other words at that place."""
+    asked = np.unique(claims.column("source").to_numpy())
+    texts: dict[int, list[bytes]] = {}
+    for i in np.flatnonzero(np.isin(own.ids, asked)).tolist():
+        texts.setdefault(int(own.ids[i]), []).extend(own.texts[i].encode("utf-8", "surrogatepass").split())
+    wrong = 0
+    for source, place, words, digest in zip(*(claims.column(c).to_pylist() for c in ("source", "place", "words", "digest")), strict=True):
+        wrong += hashlib.sha256(b" ".join(texts.get(source, [])[place : place + words])).digest() != digest
+    return wrong
+
+
+def parse_block(own: Block, found: pa.Table, attempt: int = 0) -> tuple[np.ndarray, np.ndarray, list, list[bytes]]:
+    """Per document: words, removed words, factors (start, words, source, source_start), and its words that stay, joined by one space."""
+    f = Found(own, found, attempt)
+    bounds = f.windows.words.bounds
+    factors: list[list[tuple[int, int, int, int]]] = [[] for _ in own.texts]
+    covered = np.zeros(int(bounds[-1]) + 1, dtype=np.int32)
+    np.add.at(covered, f.start, 1)
+    np.add.at(covered, f.start + f.words, -1)
+    for a, n, d, source, place in zip(f.start.tolist(), f.words.tolist(), f.doc.tolist(), f.source.tolist(), f.place.tolist(), strict=True):
+        factors[d].append((a - int(bounds[d]), n, source, place))
     removed = np.cumsum(covered)[:-1] > 0
     counts = np.concatenate(([0], np.cumsum(removed)))
-    n_removed = counts[w.words.bounds[1:]] - counts[w.words.bounds[:-1]]
+    n_removed = counts[bounds[1:]] - counts[bounds[:-1]]
     kept = []
-    for i, text in enumerate(texts):
-        words = text.encode("utf-8", "replace").split()
+    for i, text in enumerate(own.texts):
+        words = text.encode("utf-8", "surrogatepass").split()
         if n_removed[i]:
-            gone = removed[w.words.bounds[i] : w.words.bounds[i + 1]].tolist()
+            gone = removed[bounds[i] : bounds[i + 1]].tolist()
             words = [x for x, g in zip(words, gone, strict=True) if not g]
         kept.append(b" ".join(words))
-    return w.n_words, n_removed, factors, kept
+    return f.windows.n_words, n_removed, factors, kept
 
 
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, words: long, source: long>>, kept string"
+SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, words: long, source: long, source_start: long>>, kept string"
 
 
 def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -276,20 +293,23 @@ def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     Words are what stands between ASCII white space, unchanged. A word goes when a window of WINDOW consecutive words
     that covers it also starts in a document with a smaller id; windows are judged on the input alone.
 
-    The corpus is cut into blocks by hash of the id. Each block indexes its distinct windows under an anchor, the
-    least hash of their ANCHOR-word sequences, which equal windows share; the index joins all blocks, so a document
-    is factored against every block, the work growing with the text and not with pairs of copies. An anchor of more
-    than a small share of all windows is split by window. Of each window that several documents have, the smallest
-    id goes back to the blocks that hold it, and each document is parsed greedily into factors from one source and
-    words of its own. Windows that agree in 64 bits of anchor and 63 bits of hash are candidates: of every factor,
-    windows that cover it are then compared with its source by the SHA-256 of their words, in the source's block.
-    Where one differs, all is done again with window hashes from SHA-256, until every factor stands in its source.
+    The corpus is cut into reference blocks by hash of the id. Each block indexes the places of its distinct windows
+    under an anchor, the least hash of their ANCHOR-word sequences, which equal windows share; the index joins all
+    blocks, so a document is factored against every block, the work growing with the text and not with pairs of
+    copies. An anchor of more than a small share of all windows is split by window. Of each window that several
+    documents have, the smallest id and its place there go back to the blocks that hold it, and each document is
+    parsed greedily: a factor (start, words, source, source_start) is extended word by word as long as document and
+    source agree, then the next begins. In the source's block the words at that place, from the factor's first to its
+    last, are compared with the factor's by their SHA-256. Windows agree in 64 bits of anchor and 63 bits of hash
+    before; where a factor is refuted all the same, all is done again with window hashes from SHA-256, until every
+    factor stands in its source. source_start counts the words of the source's rows in order of their texts, should
+    several have its id.
 
     Null texts are empty: no words, and the digest of nothing. A null id counts as smaller than all others, and
-    windows within rows of one id are no repeats. Other columns are ignored; an empty table gives an empty result.
-    keep_text=False leaves kept null, for callers who need digests alone.
+    windows within rows of one id are no repeats. Repeated rows give a row each. Other columns are ignored; an empty
+    table gives an empty result. keep_text=False leaves kept null, for callers who need digests alone.
     """
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -304,43 +324,49 @@ def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     attempt = 0
     while True:
-        done = materialize(_attempt(dealt, blocks, hot, keep_text, attempt), "repeated-passages")
+        found = materialize(_sources(dealt, blocks, hot, attempt), "passage-sources")
+        done = materialize(_parsed(dealt, found, keep_text, attempt), "repeated-passages")
+        release(found)
         if done.filter("refuted > 0").limit(1).count() == 0:
             return done.filter("refuted IS NULL").drop("refuted")
+        release(done)
         attempt += 1
 
 
-def _attempt(dealt: DataFrame, blocks: int, hot, keep_text: bool, attempt: int) -> DataFrame:
-    """SCHEMA and refuted: null in rows of documents; other rows have the number of claims refuted in a block."""
+def _sources(dealt: DataFrame, blocks: int, hot, attempt: int) -> DataFrame:
+    """FOUND: the windows of each block that several ids have, with the smallest."""
 
     def index(rows: pa.Table) -> pa.Table:
-        return index_block(rows.column("id").to_numpy(), rows.column("text").to_pylist(), rows.column("block")[0].as_py(), hot.value, attempt)
+        return index_block(Block(rows), rows.column("block")[0].as_py(), hot.value, attempt)
 
-    filed = dealt.groupBy("block").applyInArrow(index, "anchor long, salt int, block int, id long, windows binary")
-    sorted_ = filed.repartition(blocks, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found = sorted_.mapInArrow(_resolve_partition, "block int, anchor long, source long, source_block int, windows binary")
+    filed = dealt.groupBy("block").applyInArrow(index, INDEXED)
+    return filed.repartition(blocks, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_resolve_partition, FOUND)
+
+
+def _parsed(dealt: DataFrame, found: DataFrame, keep_text: bool, attempt: int) -> DataFrame:
+    """SCHEMA and refuted: null in rows of documents; other rows have the number of claims refuted in a block."""
 
     def claim(rows: pa.Table, hits: pa.Table) -> pa.Table:
-        return Found(rows.column("id").to_numpy(), rows.column("text").to_pylist(), hits, attempt).claims()
+        return Found(Block(rows), hits, attempt).claims()
 
     def check(rows: pa.Table, claims: pa.Table) -> pa.Table:
-        n = refuted(rows.column("id").to_numpy(), rows.column("text").to_pylist(), claims, attempt) if claims.num_rows else 0
+        n = refuted(Block(rows), claims) if claims.num_rows else 0
         return pa.table({"refuted": pa.array([n] if n else [], pa.int64())})
 
     def parse(rows: pa.Table, hits: pa.Table) -> pa.Table:
-        ids = rows.column("id").to_numpy()
-        n_words, n_removed, factors, kept = parse_block(ids, rows.column("text").to_pylist(), hits, attempt)
-        kinds = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64())]))
+        own = Block(rows)
+        n_words, n_removed, factors, kept = parse_block(own, hits, attempt)
+        kinds = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "words", "source", "source_start")]))
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64(), mask=ids == NO_ID),
+            "doc_id": pa.array(own.ids, pa.int64(), mask=own.ids == NO_ID),
             "n_words": pa.array(n_words.astype(np.int64)),
             "n_removed": pa.array(n_removed.astype(np.int64)),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-            "factors": pa.array([[{"start": a, "words": n, "source": None if s == NO_ID else s} for a, n, s in f] for f in factors], kinds),
+            "factors": pa.array([[{"start": a, "words": n, "source": None if s == NO_ID else s, "source_start": p} for a, n, s, p in f] for f in factors], kinds),
             "kept": pa.array([k.decode() for k in kept] if keep_text else [None] * len(kept), pa.string()),
         })
 
-    # Both sides share the shuffles of texts and index: all is one plan.
+    # All three share the shuffle of the texts: this is one plan.
     claims = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(claim, CLAIMS).distinct()
     checked = dealt.groupBy("block").cogroup(claims.groupBy("source_block")).applyInArrow(check, "refuted long")
     parsed = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(parse, SCHEMA)

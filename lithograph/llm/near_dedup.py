@@ -7,10 +7,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import Words, block, materialize, mix64, powered, ranges_hash, shared_dir, slices, small_batches, sums, table
+from lithograph.llm.common import Words, block, materialize, mix64, powered, ranges_hash, release, slices, spread_join, spread_keys, sums, table, unused
 
 SHINGLE = 5  #: words of a shingle
 SIMILARITY = 0.8
@@ -207,26 +207,35 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Dat
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
+    held = {side: spread_keys(pairs, side) for side in "ab"}  # leaders stand on either side of many pairs
+    both = spread_join(spread_join(pairs, left, "a", "b", held["a"]), right, "b", "a", held["b"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, class_id, root) of the nodes with an edge: the least id of each connected component, and its node.
 
     Each round a node takes the least label of itself and its neighbours, then that label's own label, so that paths
-    are halved; labels of rounds are written to the shared folder.
+    are halved; labels of rounds are written to the shared folder. Nodes of many edges and labels of many nodes are
+    spread in the joins.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "near-edges")
+    hubs = spread_keys(both, "b")
     labels = materialize(both.select(F.col("a").alias("key")).distinct().join(nodes, "key").select("key", F.struct("id", "key").alias("label")), "near-labels")
     while True:
-        near = both.join(labels, both["b"] == labels["key"]).groupBy("a").agg(F.min("label").alias("near"))
+        told = labels.select(F.col("key").alias("b"), "label")
+        near = spread_join(both, told, "b", "a", hubs).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels["key"] == near["a"]).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        lower = materialize(lower.withColumn("root", F.col("label.key")), "near-labels")
         roots = labels.select(F.col("key").alias("root"), F.col("label").alias("next"))
-        moved = lower.join(roots, F.col("label.key") == F.col("root")).select("key", "old", F.least("label", "next").alias("label"))
+        moved = spread_join(lower, roots, "root", "key", spread_keys(lower, "root")).select("key", "old", F.least("label", "next").alias("label"))
         moved = materialize(moved, "near-labels")
+        release(labels, lower)
         labels = moved.select("key", "label")
+        labels.written_to = moved.written_to
         if moved.filter("old.id <> label.id OR old.key <> label.key").limit(1).count() == 0:
+            release(both)
             return labels.select("key", F.col("label.id").alias("class_id"), F.col("label.key").alias("root"))
 
 
@@ -294,14 +303,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     with members of others on weighted prefixes of their rarest shingles, so that no link that can join classes is lost
     and no task holds a bucket. Candidates count as linked when their exact weighted Jaccard similarity, over counts and inverse
     document frequencies of all rows, is at least similarity. Classes are the connected components; class_id is
-    their least doc_id, and the row with it is kept (one row, if several have that id and text).
+    their least doc_id. One row of each class is kept: that of this id (of several texts with it, the one of the least
+    text_key; of rows that repeat both, one).
 
     Null texts count as empty; empty texts are one class. Null ids count as the smallest, and a class_id that is one
     is null. Rows of one doc_id with different texts are classed by their texts. Other columns are ignored; an empty
     table gives an empty result.
     """
-    spark = small_batches(docs.sparkSession)
-    shared_dir(spark)
+    spark = docs.sparkSession
     keyed = _keyed(docs)
     idf = spark.sparkContext.broadcast(inverse_frequencies(*word_frequencies(keyed)))  # of fixed size
     signed = materialize(_signatures(keyed, idf), "near-signatures")
@@ -313,36 +322,38 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     crowd = active.select("key").distinct().join(nodes, "key").select("key", "id")
     texts = materialize(keyed.join(crowd, ["key", "id"]).dropDuplicates(["key"]).select("key", "text"), "near-texts")
     stars = active.select(F.col("low.key").alias("a"), F.col("key").alias("b")).union(active.select(F.col("high.key").alias("a"), F.col("key").alias("b")))
-    pairs = stars.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(stars.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
     linked = materialize(_verified(pairs, texts, idf, similarity).filter(F.col("similarity") >= similarity), "near-pairs").select("a", "b")
+    release(pairs)
     roots = _components(nodes.select("key", "id"), linked).select("key", "root")
     linked = linked.union(materialize(_between(active, roots, texts, idf, similarity), "near-pairs").select("a", "b"))
-    classes = _components(nodes.select("key", "id"), linked).select("key", "class_id")
-    named = nodes.select("key", F.col("id").alias("first_id")).join(classes, "key", "left").select("key", "first_id", F.coalesce("class_id", "first_id").alias("class_id"))
-    rows = signed.select("id", "key").join(named, "key")
+    release(active, texts)
+    classes = _components(nodes.select("key", "id"), linked).select("key", "class_id", "root")
+    named = nodes.select("key", "id").join(classes, "key", "left").select("key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("root", "key").alias("root"))
+    rows = signed.select("id", "key")
+    rows = spread_join(rows, named, "key", "id", spread_keys(rows, "key"))
+    # The row that stays is one of the least id and, of several texts with it, the least key; of equal rows the first.
+    last = (F.col("id") == F.col("class_id")) & (F.col("key") == F.col("root"))
+    numbered = rows.withColumn("again", F.when(last, F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))))
     null = F.lit(None).cast("long")
-    out = rows.select(
+    return numbered.select(
         F.when(F.col("id") == NO_ID, null).otherwise(F.col("id")).alias("doc_id"),
         F.when(F.col("class_id") == NO_ID, null).otherwise(F.col("class_id")).alias("class_id"),
-        ((F.col("id") == F.col("class_id")) & (F.col("first_id") == F.col("class_id"))).alias("kept"),
+        F.coalesce(F.col("again") == 1, F.lit(False)).alias("kept"),
         F.lower(F.hex("key")).alias("text_key"),
     )
-    return out
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class of near-duplicates: that with the least doc_id; all columns stay as they are.
+    """One row of each class of near-duplicates: that with the least doc_id; all columns, whatever their names, stay as they are.
 
     Rows that repeat both its doc_id and its text are dropped too. Nulls are treated as in near_classes.
     """
-    kept = near_classes(docs, similarity).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.unhex("text_key").alias("__key")).distinct()
+    id_, key = unused("__row_id", docs), unused("__row_key", docs)
+    kept = near_classes(docs, similarity).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(id_), F.unhex("text_key").alias(key))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.withColumns({
-        "__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-        "__row_key": F.unhex(F.substring(F.sha2(text, 256), 1, 32)),
-    })
-    left = own.join(kept, (own["__row_id"] == kept["__id"]) & (own["__row_key"] == kept["__key"]), "left_semi")
-    return left.dropDuplicates(["__row_id", "__row_key"]).drop("__row_id", "__row_key")
+    own = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: F.unhex(F.substring(F.sha2(text, 256), 1, 32))})
+    return own.join(kept, [id_, key], "left_semi").dropDuplicates([id_, key]).drop(id_, key)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,9 +64,28 @@ def test_exact_groups(docs, none):
 
 
 def test_a_text_that_most_rows_repeat(spark):
-    rows = spark.range(400).selectExpr("id AS doc_id", "if(id % 3 = 0, 'same  text', concat('own ', id)) AS text")
+    rows = spark.range(4000).selectExpr("if(id % 30 = 3, null, id) AS doc_id", "if(id % 3 = 0, if(id % 2 = 0, 'same  text', 'same text'), concat('own ', id % 3999)) AS text")
     got = exact_dedup.exact_groups(rows, 16).collect()
-    assert all((r.keep_id, r.group_size) == ((0, 134) if r.doc_id % 3 == 0 else (r.doc_id, 1)) for r in got)
+    same = [r for r in got if r.group_size > 2]
+    assert len(same) == 1334 and {(r.keep_id, r.group_size) for r in same} == {(None, 1334)} and sum(r.kept for r in same) == 1
+    assert sum(r.kept for r in got) == 1 + len({k % 3999 for k in range(4000) if k % 3}) == 1 + sum(r.kept for r in got if r.group_size <= 2)
+    assert exact_dedup.drop_exact_copies(rows, 16).count() == sum(r.kept for r in got)
+
+
+def test_user_columns_keep_their_values(spark):
+    """Columns with any name come back as they were from every operator that drops rows."""
+    names = ["id", "row", "norm", "head", "hash", "part", "run", "place", "kept", "digest", "__key", "__text", "__row_id", "__row_key", "__id", "a.b", "key", "label"]
+    rows = [(i, prose(700 + i % 7, 30), *[f"{i} {n}" for n in names]) for i in range(14)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    want = sorted(rows)[:7]
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, prose(706, 30))], "item_id long, text string")
+    for drop in (exact_dedup.drop_exact_copies, near_dedup.drop_near_copies):
+        left = drop(docs)
+        assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == want
+    left = decontaminate.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == [r for r in sorted(rows) if r[0] % 7 != 6]
+    assert sorted(tuple(r) for r in toxicity.drop_toxic(docs, labels, 0.9).collect()) == sorted(rows)
 
 
 @settings(max_examples=60, deadline=None)
@@ -113,7 +132,7 @@ def test_substrings(docs, none):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in got.collect()) == want
     assert any(n for _, _, n, *_ in want) and substring_dedup.repeated_passages(none).count() == 0
     factors = {r.doc_id: r.factors for r in got.filter("doc_id = 5").collect()}[5]
-    assert [(f.start, f.words, f.source) for f in factors] == [(0, 70, 4)]
+    assert [(f.start, f.words, f.source, f.source_start) for f in factors] == [(0, 70, 4, 90)]
 
 
 def test_substrings_whose_words_differ_under_equal_hashes(spark):
@@ -124,10 +143,46 @@ def test_substrings_whose_words_differ_under_equal_hashes(spark):
     rows = [(1, f"{head} {word} {tail}"), (2, f"{head} {other} {tail}"), (3, f"{head} {other} {tail} x")]
     got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].n_removed for i in (1, 2, 3)] == [0, 0, 60]
-    assert [(f.start, f.words, f.source) for f in got[3].factors] == [(0, 60, 2)]
+    assert [(f.start, f.words, f.source, f.source_start) for f in got[3].factors] == [(0, 60, 2, 0)]
     assert substring_dedup.Windows([prose(52, 5000)]).hash.max() >= 2**61  # more bits than 31 tell windows apart
 
 
+def plain_repeats(rows):
+    """(id, words, removed, digest) of (id, text) rows, by looking up every window of words."""
+    first, out = {}, Counter()
+    for i, t in rows:
+        w = (t or "").encode().split()
+        for k in range(len(w) - 49):
+            own = tuple(w[k : k + 50])
+            first[own] = min(first.get(own, 1 << 60), i)
+    for i, t in rows:
+        w, gone = (t or "").encode().split(), set()
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < i:
+                gone.update(range(k, k + 50))
+        out[(i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest())] += 1
+    return out
+
+
+def test_substrings_of_a_whole_table_match_brute_force(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_repeats(rows)
+    texts = {i: (t or "").encode().split() for i, t in rows}
+    found = [(r.doc_id, f) for r in got for f in r.factors]
+    assert found and all(texts[i][f.start : f.start + f.words] == texts[f.source][f.source_start : f.source_start + f.words] and f.source < i for i, f in found)
+
+
+def test_substrings_around_one_short_anchor(spark):
+    """Many texts of 50 words that share 11 words alone: none is a repeat of another."""
+    rng = np.random.default_rng(3)
+    shared = prose(60, 11)
+    rows = [(k, f"{' '.join(map(str, rng.integers(0, 50, 20)))} {shared} {' '.join(map(str, rng.integers(0, 50, 19)))}") for k in range(20_000)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.filter("n_removed > 0").count() == 0 and got.count() == len(rows)
+
+
 def test_near_classes_match_brute_force(docs, none):
     counts, n = near_dedup.word_frequencies(near_dedup._keyed(docs))
     assert n == len(ROWS)
@@ -274,8 +329,12 @@ def test_sentencepiece(spark, docs, none):
     assert sentencepiece_codec.encode_decode(none, path).count() == 0
     with open(path, "rb") as f:
         codec = sentencepiece_codec.Codec(f.read())
-    texts = [" a  b ", "\n\t<0x0A> <s>", "▁x", "é\x00😀"]
-    assert codec.decode(codec.encode(texts)) == codec.tokenizer.decode_batch(codec.encode(texts), skip_special_tokens=False) == [library.decode(library.encode(t)) for t in texts]
+    assert codec.by_unit
+    texts = [" a  b ", "\n\t<0x0A> <s>", "▁x", "é\x00😀", "", " ", "a" * 5000 + "   b", "x " * 300, "▁▁ ▁ q▁", "漢 字▁▁▁▁▁ 字"]
+    for own in (texts, [*texts, *texts[::-1]], ["a b", *texts]):  # new units, units that are remembered, and both
+        assert codec.encode(own) == library.encode(own) == [codec.tokenizer.encode(codec.normalised(t), add_special_tokens=False).ids for t in own]
+        ids, decoded = codec.encode_decode([codec.normalised(t) for t in own])
+        assert codec.decode(codec.encode(own)) == decoded == [library.decode(library.encode(t)) for t in own]
 
 
 def test_unigram_models_are_rebuilt_with_scores_and_bytes():

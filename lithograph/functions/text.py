@@ -60,6 +60,17 @@ def shingle_rows(docs: DataFrame, size: int = SHINGLE_SIZE) -> DataFrame:
     return listed.select("doc_id", F.explode_outer("all").alias("shingle")).filter("shingle IS NOT NULL")
 
 
+def shingle_hashes(text: Column, size: int = SHINGLE_SIZE) -> Column:
+    """Distinct word shingles of a text as 64-bit hashes, in the row; shorter texts have one shingle of all their words."""
+
+    def cut(h: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(size)]))
+        some = F.when(F.size(h) > 0, F.array(F.xxhash64(F.lit(size), h))).otherwise(F.array().cast("array<bigint>"))
+        return F.array_distinct(F.when(F.size(h) >= size, whole).otherwise(some))
+
+    return let(F.transform(words(normalize(F.coalesce(text, F.lit("")))), lambda w: F.xxhash64(w)), cut)
+
+
 def code_tokens(text: Column) -> Column:
     """Distinct identifier-like words, upper-cased: two or more characters, a digit, and the shape of a code."""
     found = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9-]+)"), 1)

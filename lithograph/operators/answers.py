@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithograph.functions.text import claim_supported, code_tokens, excerpt, material_tokens, warning_supported
+from lithograph.functions.text import SHINGLE_SIZE, claim_supported, code_tokens, collapse, excerpt, material_tokens, warning_supported
 from lithograph.operators.search import VECTOR_GATE
+from lithograph.sources.shared import saved
 
 # Passages considered, supporting, cited, warnings shown, and lengths of excerpts.
 CANDIDATES, SUPPORTING, CITED, CITED_UNSURE, WARNINGS = 5, 3, 5, 3, 5
@@ -21,35 +24,118 @@ RESPONSE = (
 )
 
 
+# What is said where nothing answers, and around what does.
+NOTHING_FOUND = "Nothing in the indexed documents answers this."
+NOTHING_SURE = "The closest passages are cited; none of them clearly answers this, so check them before use."
+FROM_MACHINE, FROM_ALL, MORE = "From the manual for **%s**:", "From the indexed manuals:", "**Additional relevant passages:**"
+_NO_TEXTS = "array<string>"
+
+
 def decide(passages: DataFrame, threshold: float = VECTOR_GATE) -> DataFrame:
-    """(query_id, top_id, reason, citations, warnings): what a query's passages answer.
+    """(query_id, top_id, reason, citations, warnings, answer, supporting): what a query's passages answer.
 
     passages: (query_id, question, place, chunk_id, content, chunk_type, vector_score), places from 1, a bounded list
-    for each query. The first passage answers if its score reaches threshold; else the best of the first CANDIDATES
-    that does; else the first of them that shares a whole code with the question; else none, and three are cited.
+    for each query; filename, page_number and machine_label are taken where they are there. The first passage answers
+    if its score reaches threshold; else the best of the first CANDIDATES that does; else the first of them that
+    shares a whole code with the question; else none, and CITED_UNSURE are cited. The answer quotes that passage and
+    up to SUPPORTING others, best first, whose score reaches threshold.
     """
+    given = passages
+    for name, kind in (("filename", "string"), ("page_number", "int"), ("machine_label", "string")):
+        given = given if name in given.columns else given.withColumn(name, F.lit(None).cast(kind))
     shared = F.arrays_overlap(code_tokens(F.col("question")), code_tokens(F.col("content")))
-    row = F.struct("place", "chunk_id", "vector_score", shared.alias("shared"), "chunk_type", "content")
-    q = passages.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("p"))
+    row = F.struct("place", "chunk_id", "vector_score", shared.alias("shared"), "chunk_type", "content", "filename", "page_number")
+    q = given.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("p"), F.first("machine_label", ignorenulls=True).alias("label"))
+
+    def best_first(rows: Column) -> Column:
+        return F.array_sort(rows, lambda a, b: F.when(a["vector_score"] != b["vector_score"], F.signum(b["vector_score"] - a["vector_score"]).cast("int")).otherwise((a["place"] - b["place"]).cast("int")))
+
     near = F.slice("p", 1, CANDIDATES)
-    by_score = F.array_sort(F.filter(near, lambda x: x["vector_score"] >= threshold), lambda a, b: F.when(a["vector_score"] != b["vector_score"], F.signum(b["vector_score"] - a["vector_score"]).cast("int")).otherwise((a["place"] - b["place"]).cast("int")))
+    leads = F.col("p")[0]["vector_score"] >= threshold
+    by_score = best_first(F.filter(near, lambda x: x["vector_score"] >= threshold))
     rescued = F.filter(near, lambda x: x["shared"])
-    first = F.when(F.col("p")[0]["vector_score"] >= threshold, F.slice("p", 1, 1)).when(F.size(by_score) > 0, F.slice(by_score, 1, 1)).otherwise(F.slice(rescued, 1, 1))
-    reason = F.when(F.col("p")[0]["vector_score"] >= threshold, "first").when(F.size(by_score) > 0, "score").when(F.size(rescued) > 0, "code").otherwise("none")
-    q = q.select("query_id", "p", first.alias("top"), reason.alias("reason"))
-    top_id = F.get(F.col("top.chunk_id"), F.lit(0))
-    ordered = F.concat(F.col("top.chunk_id"), F.filter(F.col("p.chunk_id"), lambda c: c != top_id))
+    first = F.when(leads, F.slice("p", 1, 1)).when(F.size(by_score) > 0, F.slice(by_score, 1, 1)).otherwise(F.slice(rescued, 1, 1))
+    reason = F.when(leads, "first").when(F.size(by_score) > 0, "score").when(F.size(rescued) > 0, "code").otherwise("none")
+    q = q.select("query_id", "label", "p", F.get(first, F.lit(0)).alias("top"), reason.alias("reason"))
+    others = F.filter("p", lambda x: x["chunk_id"] != F.col("top.chunk_id"))
+    q = q.withColumn("support", F.when(F.col("reason") != "none", F.slice(best_first(F.filter(others, lambda x: x["vector_score"] >= threshold)), 1, SUPPORTING)))
+    ordered = F.concat(F.array("top.chunk_id"), F.transform(others, lambda x: x["chunk_id"]))
     found = F.flatten(F.transform("p", lambda x: F.when(x["chunk_type"] == "warning", F.array(excerpt(x["content"], WARNING_EXCERPT))).otherwise(
         F.transform(F.filter(F.regexp_extract_all(x["content"], F.lit(WARNING_IN_TEXT), 1), lambda w: F.length(F.trim(w)) > 15), lambda w: F.substring(F.trim(w), 1, WARNING_EXCERPT)))))
+    place = lambda x: F.concat(F.lit("\n*"), F.coalesce(x["filename"], F.lit("")), F.coalesce(F.concat(F.lit(", p."), x["page_number"]), F.lit("")), F.lit("*"))
+    quoted = F.flatten(F.transform("support", lambda x: F.array(place(x), excerpt(x["content"], SUPPORT_EXCERPT))))
+    more = F.when(F.size("support") > 0, F.concat(F.array(F.lit(""), F.lit(MORE)), quoted)).otherwise(F.array().cast(_NO_TEXTS))
+    head = F.when(F.col("label").isNull(), FROM_ALL).otherwise(F.format_string(FROM_MACHINE, "label"))
+    answer = F.array_join(F.concat(F.array(head, F.lit(""), excerpt(F.col("top.content"), TOP_EXCERPT)), more), "\n")
+    none = F.col("reason") == "none"
     return q.select(
         "query_id",
-        top_id.alias("top_id"),
+        F.col("top.chunk_id").alias("top_id"),
         "reason",
-        F.when(F.col("reason") == "none", F.slice("p.chunk_id", 1, CITED_UNSURE)).otherwise(F.slice(ordered, 1, CITED)).alias("citations"),
-        F.when(F.col("reason") == "none", F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(found), 1, WARNINGS)).alias("warnings"),
+        F.when(none, F.slice("p.chunk_id", 1, CITED_UNSURE)).otherwise(F.slice(ordered, 1, CITED)).alias("citations"),
+        F.when(none, F.array().cast(_NO_TEXTS)).otherwise(F.slice(F.array_distinct(found), 1, WARNINGS)).alias("warnings"),
+        F.when(none, NOTHING_SURE).otherwise(answer).alias("answer"),
+        F.coalesce(F.col("support.chunk_id"), F.array().cast("array<int>")).alias("supporting"),
     )
 
 
+def answer_all(questions: DataFrame, passages: DataFrame, threshold: float = VECTOR_GATE) -> DataFrame:
+    """decide() for every question (query_id), those without passages among them, with conflict where passages has document_id and is_current."""
+    rows = questions.select("query_id").join(decide(passages, threshold), "query_id", "left")
+    if {"document_id", "is_current"} <= set(passages.columns):
+        rows = rows.join(revision_conflict(passages), "query_id", "left")
+    return rows.withColumns({"reason": F.coalesce("reason", F.lit("nothing")), "answer": F.coalesce("answer", F.lit(NOTHING_FOUND))})
+
+
+def cited_excerpts(decided: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, place, chunk_id, excerpt): what each answer cites, in order."""
+    cited = decided.select("query_id", F.posexplode("citations").alias("place", "chunk_id"))
+    rows = cited.join(passages.select("query_id", "chunk_id", "content"), ["query_id", "chunk_id"])
+    return rows.select("query_id", (F.col("place") + 1).alias("place"), "chunk_id", excerpt(F.col("content"), CITE_EXCERPT).alias("excerpt"))
+
+
+BROADCAST_ITEMS = 20_000  #: claims that are looked up in the row of each document; more are joined
+
+
+def _runs(n: int) -> Column:
+    """Hashes of every n consecutive words of w."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, n)))
+
+
+def supporting_documents(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents that hold an item's text verbatim, white space and case aside; items: (item_id, text).
+
+    The words of an item but for its first and last stand as whole words in such a document, so a run of up to five of
+    them leads to the candidates, which are then compared as texts. Items of one or two words have no inner word: they
+    are compared with every document, in blocks. Empty items are in nothing.
+    """
+    plain = lambda c: F.upper(collapse(F.coalesce(c, F.lit(""))))
+    claims = items.select("item_id", plain(F.col("text")).alias("claim")).filter("claim <> ''").withColumn("w", F.split("claim", " "))
+    texts = docs.select("doc_id", plain(F.col("text")).alias("t"))
+    width = F.least(F.size("w") - 2, F.lit(SHINGLE_SIZE))
+    # Of an item's inner runs one in the middle: all serve alike, as each must be there.
+    run = F.slice("w", F.greatest(F.floor((F.size("w") - width) / 2).cast("int"), F.lit(1)) + 1, width)
+    keyed = saved(claims.filter("size(w) > 2").select("item_id", "claim", width.alias("width"), F.xxhash64(run).alias("key")), "claims")
+    short = claims.filter("size(w) <= 2").select("item_id", "claim")
+    known = [r["width"] for r in keyed.select("width").distinct().collect()]  # five at most
+    few = keyed.count() <= BROADCAST_ITEMS
+    met = None
+    for n in known:
+        own = texts.select("doc_id", F.split("t", " ").alias("w")).select("doc_id", _runs(n).alias("keys"))
+        if few:
+            asked = keyed.filter(F.col("width") == n).agg(F.collect_set("key").alias("asked"))  # one row of bounded size
+            own = own.crossJoin(F.broadcast(asked)).select("doc_id", F.array_intersect("keys", "asked").alias("keys"))
+        hits = own.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).join(keyed.filter(F.col("width") == n), "key").select("doc_id", "item_id", "claim")
+        met = hits if met is None else met.union(hits)
+    blocks = max(1, -(-short.count() // BROADCAST_ITEMS))
+    numbered = short.withColumn("block", F.pmod(F.xxhash64("item_id", "claim"), F.lit(blocks)))
+    direct = [texts.join(F.broadcast(numbered.filter(F.col("block") == i)), F.contains("t", "claim")).select("item_id", "doc_id") for i in range(blocks)]
+    found = reduce(DataFrame.union, direct)
+    if met is not None:
+        found = found.union(met.join(texts, "doc_id").filter(F.contains("t", "claim")).select("item_id", "doc_id"))
+    return found.distinct()
+
+
 def revision_conflict(passages: DataFrame) -> DataFrame:
     """(query_id, conflict): whether passages come from two or more documents of which one is superseded."""
     return passages.groupBy("query_id").agg(((F.count_distinct("document_id") >= 2) & F.bool_or(~F.col("is_current"))).alias("conflict"))

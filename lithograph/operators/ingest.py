@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Callable
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def eligible(documents: DataFrame) -> DataFrame:
-    """Documents that may be retrieved: indexed, active, approved and of the current revision."""
-    return documents.filter("status IN ('indexed', 'partial') AND deactivated_at IS NULL AND review_status = 'approved' AND is_current_revision")
+def eligible(documents: DataFrame, links: DataFrame | None = None, machine_id: int | None = None, include_superseded: bool = False) -> DataFrame:
+    """Documents (id, …) that may be retrieved: indexed, active, approved and, unless superseded ones are asked for, of the current revision.
+
+    With a machine only those that an approved link (document_id, machine_id, review_status) ties to it.
+    """
+    rows = documents.filter("status IN ('indexed', 'partial') AND deactivated_at IS NULL AND review_status = 'approved'")
+    rows = rows if include_superseded else rows.filter("is_current_revision")
+    if machine_id is None:
+        return rows
+    own = links.filter((F.col("machine_id") == machine_id) & (F.col("review_status") == "approved")).select(F.col("document_id").alias("id"))
+    return rows.join(own, "id", "left_semi")
 
 
 def actions(listing: DataFrame, documents: DataFrame) -> DataFrame:
@@ -60,14 +72,121 @@ def append_note(column: Column, note: Column) -> Column:
     return F.concat(F.coalesce(F.concat(column, F.lit(" | ")), F.lit("")), note)
 
 
+def with_new_keys(existing: DataFrame, new: DataFrame, keys: list[str], id_: str = "id") -> DataFrame:
+    """existing and a row for each key of new that it lacks, numbered after its largest id; other columns are null."""
+    top = existing.agg(F.coalesce(F.max(id_), F.lit(0)).alias("top")).first()["top"]
+    missing = new.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti")
+    return existing.unionByName(missing.withColumn(id_, F.monotonically_increasing_id() + F.lit(top + 1)), allowMissingColumns=True)
+
+
+def merge_columns(existing: DataFrame, new: DataFrame, keys: list[str], take: list[str]) -> DataFrame:
+    """New keys are inserted as they are; of known ones the columns of `take` change, the others stay."""
+    own = existing.withColumn("__old", F.lit(True)).alias("o")
+    rows = own.join(new.alias("n"), keys, "full")
+    n = lambda c: F.col(f"n.{c}") if c in new.columns else F.lit(None)
+    value = lambda c: F.coalesce(n(c), F.col(f"o.{c}")) if c in take else F.when(F.col("__old"), F.col(f"o.{c}")).otherwise(n(c))
+    return rows.select(*keys, *[value(c).alias(c) for c in existing.columns if c not in keys]).select(*existing.columns)
+
+
+def update(rows: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """rows with new values in those that `where` holds for."""
+    return rows.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def new_copies(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """(storage_path, content): files (filename, sha256, content) by content, those left out that stored (storage_path) has."""
+    path = F.concat(F.substring("sha256", 1, 16), F.regexp_extract(F.lower("filename"), r"(\.[^./]+)$", 1))
+    return files.select(path.alias("storage_path"), "content").dropDuplicates(["storage_path"]).join(stored, "storage_path", "left_anti")
+
+
+def grandfathered(documents: DataFrame) -> DataFrame:
+    """Documents from before there were reviews count as approved; those that were deactivated stay as they are."""
+    return update(documents, F.col("review_status").isNull() & F.col("deactivated_at").isNull(), review_status=F.lit("approved"))
+
+
+def with_ordinals(sources: DataFrame) -> DataFrame:
+    """Citations from before they had an ordinal take their rank."""
+    return update(sources, F.col("is_citation") & F.col("citation_ordinal").isNull(), citation_ordinal=F.col("rank"))
+
+
+# --- runs ----------------------------------------------------------------------------------------
+
+RUN = "run_id string, status string, at timestamp"
+EVENT = "run_id string, source_ref string, event string, detail string"
+
+
+def _append(spark: SparkSession, root: str, name: str, rows: list[tuple], schema: str) -> None:
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+
+
+def run(spark: SparkSession, root: str, list_files: Callable[[], DataFrame], handle: Callable[[DataFrame], DataFrame]) -> str:
+    """One ingestion run, recorded below root: its row first, then its events; returns how it ended.
+
+    list_files gives the listing; handle turns it into events (source_ref, event, detail), a failed file being an
+    event of its own. A run that cannot list its files, or breaks off, is recorded as failed and raises. A second
+    run beside one that goes on is refused: the lock is a file that only one can create.
+    """
+    root = root.rstrip("/")
+    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_running")
+    files = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(lock.getParent())
+    if not files.createNewFile(lock):
+        raise RuntimeError("an ingestion run is already in progress")
+    run_id, now = uuid.uuid4().hex, lambda: datetime.now(UTC).replace(tzinfo=None)
+    try:
+        _append(spark, root, "runs", [(run_id, "running", now())], RUN)
+        try:
+            events = handle(list_files())
+            own = events.select(F.lit(run_id).alias("run_id"), "source_ref", "event", "detail")
+            own.write.mode("append").parquet(f"{root}/events")
+            failed = spark.read.parquet(f"{root}/events").filter((F.col("run_id") == run_id) & (F.col("event") == "failed")).limit(1).count()
+        except Exception as e:
+            _append(spark, root, "events", [(run_id, "(run)", "failed", f"run aborted: {e}"[:500])], EVENT)
+            _append(spark, root, "runs", [(run_id, "failed", now())], RUN)
+            raise
+        status = "completed_with_errors" if failed else "completed"
+        _append(spark, root, "runs", [(run_id, status, now())], RUN)
+        return status
+    finally:
+        files.delete(lock, False)
+
+
+def run_status(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, status, started_at, finished_at) of each run: its last status."""
+    rows = spark.read.schema(RUN).parquet(f"{root.rstrip('/')}/runs")
+    finished = F.max(F.when(F.col("status") != "running", F.col("at")))
+    return rows.groupBy("run_id").agg(F.max_by("status", F.struct(F.col("status") != "running", "at")).alias("status"), F.min("at").alias("started_at"), finished.alias("finished_at"))
+
+
+def event_map(events: DataFrame, key: str, event: str) -> DataFrame:
+    """(key, counts): how often each event happened, as a map."""
+    counted = events.groupBy(key, event).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(event, "n")))).alias("counts"))
+
+
 def publish(df: DataFrame, root: str, run: str) -> str:
-    """Writes a run's table to its own folder, then names it as current by a one-row table written last."""
-    path = f"{root.rstrip('/')}/run={run}"
+    """Writes a run's table to its own folder, then names it as current by a row with the next number.
+
+    Names are appended, never replaced: a reader finds the one before until the new one is there.
+    """
+    root = root.rstrip("/")
+    path = f"{root}/run={run}"
     df.write.mode("errorifexists").parquet(path)
-    df.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/_current")
+    before = _names(df.sparkSession, root)
+    number = 1 if before is None else before.agg(F.max("number").alias("n")).first()["n"] + 1
+    df.sparkSession.createDataFrame([(number, path)], NAMES).coalesce(1).write.mode("append").parquet(f"{root}/_published")
     return path
 
 
-def current(spark, root: str) -> DataFrame:
+NAMES = "number long, path string"
+
+
+def _names(spark: SparkSession, root: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_published")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(NAMES).parquet(f"{root}/_published") if there else None
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
     """The table that was published last."""
-    return spark.read.parquet(spark.read.parquet(f"{root.rstrip('/')}/_current").first()["path"])
+    return spark.read.parquet(_names(spark, root.rstrip("/")).orderBy(F.desc("number")).first()["path"])

@@ -45,27 +45,57 @@ def status_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def evaluate(cases: DataFrame, answers: DataFrame) -> DataFrame:
-    """One row: cases, hit_rate, support_rate, isolation_rate, no_answer_rate.
+def case_results(cases: DataFrame, answers: DataFrame, machines: DataFrame | None = None) -> DataFrame:
+    """(id, hit, support, isolated, ok): how each case went; null where it has no such expectation.
 
-    cases: (id, expected_filename_contains, expected_keywords array, must_not_come_from array, expect_no_answer);
-    answers: (id, filenames array, content, is_no_answer). Rates are taken over the cases that have the expectation.
+    cases: (id, machine, expected_filename_contains, expected_keywords array, must_not_come_from array,
+    expect_no_answer, expect_clarifying_question); answers: (id, filenames array, content, is_no_answer,
+    is_clarifying_question); columns that are missing count as null. A case that expects a clarifying question or no
+    answer is judged by that alone; one whose machine (machines: model_name) is unknown, or without an answer, fails.
     """
-    a = cases.join(answers, "id", "left")
-    files = F.transform(F.coalesce("filenames", F.array().cast("array<string>")), F.lower)
+    known = {"cases": cases, "answers": answers}
+    for table, name, kind in (("cases", "expect_clarifying_question", "boolean"), ("cases", "machine", "string"), ("answers", "is_clarifying_question", "boolean")):
+        if name not in known[table].columns:
+            known[table] = known[table].withColumn(name, F.lit(None).cast(kind))
+    a = known["cases"].join(known["answers"].withColumn("answered", F.lit(True)), "id", "left")
+    if machines is not None:
+        a = a.join(machines.select(F.col("model_name").alias("machine"), F.lit(True).alias("known")).distinct(), "machine", "left")
+    else:
+        a = a.withColumn("known", F.lit(True))
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    files = F.transform(texts("filenames"), F.lower)
     hit = F.exists(files, lambda f: f.contains(F.lower("expected_filename_contains")))
     held = F.forall("expected_keywords", lambda k: F.contains(F.lower(F.coalesce("content", F.lit(""))), F.lower(k)))
     leaked = F.exists(files, lambda f: F.exists("must_not_come_from", lambda m: F.contains(f, F.lower(m))))
+    asks, silent = F.coalesce("expect_clarifying_question", F.lit(False)), F.coalesce("expect_no_answer", F.lit(False))
+    plain = ~asks & ~silent
+    rows = a.select(
+        "id", asks.alias("asks"), silent.alias("silent"), "answered", (F.col("machine").isNull() | F.coalesce("known", F.lit(False))).alias("resolved"),
+        F.coalesce("is_clarifying_question", F.lit(False)).alias("asked"), F.coalesce("is_no_answer", F.lit(False)).alias("none"),
+        F.when(plain & F.col("expected_filename_contains").isNotNull(), hit).alias("hit"),
+        F.when(plain & (F.size(texts("expected_keywords")) > 0), held).alias("support"),
+        F.when(plain & (F.size(texts("must_not_come_from")) > 0), ~leaked).alias("isolated"),
+    )
+    met = F.when(F.col("asks"), F.col("asked")).when(F.col("silent"), F.col("none")).otherwise(F.forall(F.array("hit", "support", "isolated"), lambda x: F.coalesce(x, F.lit(True))))
+    return rows.select("id", "asks", "silent", "hit", "support", "isolated", (F.coalesce("answered", F.lit(False)) & F.col("resolved") & met).alias("ok"))
+
+
+def evaluate(cases: DataFrame, answers: DataFrame, machines: DataFrame | None = None) -> DataFrame:
+    """One row: cases, passed, hit_rate, support_rate, isolation_rate, no_answer_rate, clarify_rate.
+
+    See case_results. Rates are taken over the cases that have the expectation, and null where none has.
+    """
 
     def rate(ok, asked):
-        return (F.sum(F.when(asked & ok, 1).otherwise(0)) / F.nullif(F.sum(F.when(asked, 1).otherwise(0)), F.lit(0))).alias
+        return F.sum((asked & ok).cast("int")) / F.nullif(F.sum(asked.cast("int")), F.lit(0))
 
-    return a.agg(
+    c = F.col
+    return case_results(cases, answers, machines).agg(
         F.count(F.lit(1)).alias("cases"),
-        rate(hit, F.col("expected_filename_contains").isNotNull())("hit_rate"),
-        rate(held, F.size(F.coalesce("expected_keywords", F.array().cast("array<string>"))) > 0)("support_rate"),
-        rate(~leaked, F.size(F.coalesce("must_not_come_from", F.array().cast("array<string>"))) > 0)("isolation_rate"),
-        rate(F.coalesce("is_no_answer", F.lit(False)), F.coalesce("expect_no_answer", F.lit(False)))("no_answer_rate"),
+        F.coalesce(F.sum(c("ok").cast("int")), F.lit(0)).alias("passed"),
+        *[rate(c(x), c(x).isNotNull()).alias(name) for x, name in (("hit", "hit_rate"), ("support", "support_rate"), ("isolated", "isolation_rate"))],
+        rate(c("ok"), c("silent")).alias("no_answer_rate"),
+        rate(c("ok"), c("asks")).alias("clarify_rate"),
     )
 
 

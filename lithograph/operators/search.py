@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +29,6 @@ CHUNK_RULES = (
 TROUBLE_RULE = (r"not (heating|working|brewing)|won'?t|fail|troubleshoot|diagnos", "service_repair", 0.20)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf): the inverted index."""
-    listed = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    return listed.select("doc_id", F.explode_outer("t").alias("term")).filter("term IS NOT NULL").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_statistics(docs: DataFrame) -> DataFrame:
-    """(term, df, cf): documents with a term, and its occurrences."""
-    return postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-
-
 def bm25(docs: DataFrame, terms: list[str], eligible: DataFrame | None = None, k: int = POOL) -> DataFrame:
     """(doc_id, score): the k best documents for the terms; repeated terms count again.
 
@@ -96,7 +88,8 @@ def rerank_boost(question: str, chunk_type: Column, doc_type: Column, is_current
 def hybrid_search(lexical: DataFrame, vector: DataFrame, chunks: DataFrame, question: str, k: int = TOP_K) -> DataFrame:
     """The k best chunks: both lists fused, hydrated from chunks, near-empty ones left out, boosted.
 
-    chunks: (doc_id, text, chunk_type, doc_type, is_current). Ties go to the smaller id.
+    Both lists hold what may be retrieved alone (ingest.eligible). chunks: (doc_id, text, chunk_type, doc_type,
+    is_current). Ties go to the smaller id.
     """
     fused = reciprocal_rank_fusion(lexical, vector)
     rows = chunks.join(F.broadcast(fused), "doc_id")  # at most 2 * POOL rows
@@ -106,15 +99,46 @@ def hybrid_search(lexical: DataFrame, vector: DataFrame, chunks: DataFrame, ques
     return scored.orderBy(F.desc("combined"), "doc_id").limit(k)
 
 
-def vector_gate(vectors: DataFrame, queries: DataFrame, threshold: float = VECTOR_GATE, k: int = 5) -> DataFrame:
-    """(query_id, best, relevant): the best of the k nearest other vectors for each query, and whether it reaches threshold.
+def scoped_vectors(vectors: DataFrame, allowed: DataFrame, query: list[float], k: int = POOL) -> DataFrame:
+    """(doc_id, score): the k nearest among the allowed (doc_id); vectors: (vec_id, embedding)."""
+    own = vectors.join(allowed.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return vector_search(own, query, k).withColumnRenamed("vec_id", "doc_id")
+
+
+BLOCK_VECTORS, BLOCK_QUERIES = 4096, 512
+
 
-    queries: (vec_id, embedding), a bounded set that is broadcast. Each partition keeps its k best of a query, by the
-    window's group limit, before anything is shuffled.
+def _blocks(vectors: DataFrame, rows: int, id_: str, name: str) -> DataFrame:
+    """One row for each block of about `rows` vectors: their ids, and their numbers end to end."""
+    n = max(1, -(-vectors.count() // rows))
+    own = F.sort_array(F.collect_list(F.struct(F.col(id_).alias("id"), F.col("embedding").alias("v"))))
+    made = vectors.groupBy(F.pmod(F.xxhash64(id_), F.lit(n)).alias("block")).agg(own.alias("own"))
+    return made.select(F.col("own.id").alias(f"{name}_ids"), F.flatten("own.v").alias(name))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest other vectors of each query, exactly.
+
+    queries and vectors: (vec_id, embedding). Both are cut into blocks, and each block of queries meets each block of
+    vectors as one product of matrices, of which the k best of a query leave the task.
     """
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
-    score = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(score, 6).alias("score"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                ids, wanted = np.asarray(row.v_ids), np.asarray(row.q_ids)
+                v, q = (np.asarray(x, dtype=np.float64).reshape(len(i), -1) for x, i in ((row.v, ids), (row.q, wanted)))
+                score = np.where(wanted[:, None] == ids[None], -np.inf, np.round(q @ v.T, 6))
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids are sorted: ties go to the smaller
+                out = pd.DataFrame({"query_id": np.repeat(wanted, best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+                yield out[np.isfinite(out["score"])]
+
+    pairs = _blocks(vectors, BLOCK_VECTORS, "vec_id", "v").crossJoin(_blocks(queries, BLOCK_QUERIES, "vec_id", "q"))
+    found = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    top = pairs.withColumn("place", rank).filter(F.col("place") <= k)
-    return top.groupBy("query_id").agg(F.max("score").alias("best")).withColumn("relevant", F.col("best") >= threshold)
+    return found.withColumn("place", rank).filter(F.col("place") <= k).drop("place")
+
+
+def vector_gate(vectors: DataFrame, queries: DataFrame, threshold: float = VECTOR_GATE, k: int = 5) -> DataFrame:
+    """(query_id, best, relevant): the best of the k nearest other vectors for each query, and whether it reaches threshold."""
+    return nearest(vectors, queries, k).groupBy("query_id").agg(F.max("score").alias("best")).withColumn("relevant", F.col("best") >= threshold)

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithograph.functions import text as T
-from lithograph.operators import answers, chunking, dedup, ingest, metadata, reports, search
+from lithograph.operators import answers, chunking, dedup, embedding, extraction, index, ingest, metadata, reports, review, search
 from lithograph.sources.files import table
+from lithograph.sources.shared import new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,17 +107,31 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
 
 
+_CLASSES = f"""{_SHINGLES},
+own AS (SELECT doc_id, list_sort(list(shingle)) AS own FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY own) AS class_id FROM own)"""
+_FIRST_PAIRS = f"""{_CLASSES},
+s1 AS (SELECT s.* FROM s JOIN k USING (doc_id) WHERE doc_id = class_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s1 a JOIN s1 b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b, shared, x.n AS na, y.n AS nb FROM o JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b)"""
+
+
 @query(f"WITH {_SHINGLES} SELECT doc_id, n AS shingles FROM c")
 def shingle_counts(spark, d):
-    return T.shingle_rows(table(spark, d, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("shingles"))
+    return dedup.shingle_sets(table(spark, d, "documents")).select("doc_id", F.col("n").cast("long").alias("shingles"))
+
 
+@query(f"WITH {_CLASSES} SELECT doc_id, class_id FROM k")
+def shingle_classes(spark, d):
+    return dedup.shingle_classes(table(spark, d, "documents"))
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(shared / least(na, nb), 6) AS containment FROM p WHERE shared >= 0.55 * least(na, nb)")
+
+@query(f"WITH {_FIRST_PAIRS} SELECT a, b, round(shared / least(na, nb), 6) AS containment FROM p WHERE shared >= 0.55 * least(na, nb)")
 def containment_pairs(spark, d):
     return dedup.containment_pairs(table(spark, d, "documents"))
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.55")
+@query(f"WITH {_FIRST_PAIRS} SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.55")
 def jaccard_pairs(spark, d):
     return dedup.jaccard_pairs(table(spark, d, "documents"))
 
@@ -128,19 +143,26 @@ def near_duplicates(spark, d):
     return dedup.near_duplicates(table(spark, d, "documents"))
 
 
-@query(f"""WITH {_SHINGLES},
+_TOP3 = f"""{_SHINGLES},
 i AS (SELECT item_id, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM benchmark),
 j AS (SELECT item_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingle FROM i),
 m AS (SELECT item_id, count(*) AS n FROM j GROUP BY 1),
 o AS (SELECT item_id, doc_id, count(*) AS shared FROM j JOIN s USING (shingle) GROUP BY 1, 2),
 p AS (SELECT item_id, doc_id, round(shared / least(m.n, c.n), 6) AS containment FROM o JOIN m USING (item_id) JOIN c USING (doc_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY containment DESC, doc_id) AS place FROM p)
-SELECT item_id, doc_id, containment, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY containment DESC, doc_id) AS place FROM p)"""
+
+
+@query(f"WITH {_TOP3} SELECT item_id, doc_id, containment, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3")
 def near_dup_top3(spark, d):
     return dedup.best_matches(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents"))
 
 
+@query(f"WITH {_TOP3} SELECT item_id, doc_id, containment FROM r WHERE place <= 3 ORDER BY containment DESC, item_id, doc_id LIMIT 10")
+def calibration_top10(spark, d):
+    return dedup.calibration(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents"))
+
+
 # --- search --------------------------------------------------------------------------------------
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -163,6 +185,17 @@ _VECTOR = """
 _APPROVED = "WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"
 
 
+_INDEXES: dict[tuple, index.Index] = {}
+
+
+def _index(spark, d, stemmed: bool = False) -> index.Index:
+    """The stored index of the documents: built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d, stemmed)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build_index(table(spark, d, "documents").select("doc_id", "text"), new_path(spark, "index"), stemmed)
+    return _INDEXES[key]
+
+
 def _approved(spark, d):
     return table(spark, d, "labels").filter("quality = 1").select("doc_id").distinct()
 
@@ -179,17 +212,41 @@ def query_terms(spark, d):
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
 def postings(spark, d):
-    return search.term_statistics(table(spark, d, "documents"))
+    return index.term_statistics(_index(spark, d))
 
 
 @query(f"WITH {_bm25_sql('x')} SELECT * FROM x")
 def bm25_topk(spark, d):
+    return index.search(_index(spark, d), " ".join(TERMS))
+
+
+@query(f"WITH {_bm25_sql('x')} SELECT * FROM x")
+def bm25_scan(spark, d):
+    """The same without an index, for texts that are searched once."""
     return search.bm25(table(spark, d, "documents"), TERMS)
 
 
+_PHRASE_SQL = f"""
+t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+f AS (SELECT doc_id, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS f0, len(list_filter(t, lambda x: x = 'thing')) AS f1 FROM t),
+n AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE f0 > 0) AS d0, count(*) FILTER (WHERE f1 > 0) AS d1 FROM f),
+w AS (SELECT doc_id, f0, f1, 1.2 * (1 - 0.75 + 0.75 * dl / avgdl) AS k, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) AS i0, greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) AS i1 FROM f, n WHERE f0 + f1 > 0)"""
+
+
+@query(f"WITH {_PHRASE_SQL} SELECT doc_id, round(2 * i0 * (f0 * 2.2) / (f0 + k) + i1 * (f1 * 2.2) / (f1 + k), 6) AS score FROM w ORDER BY score DESC, doc_id LIMIT 50")
+def phrase_topk(spark, d):
+    """A term with a mark inside is a phrase; one that is said twice counts twice, and one without letters not at all."""
+    return index.search(_index(spark, d), "of/the thing / of/the")
+
+
+@query()
+def stemmed_topk(spark, d):
+    return index.search(_index(spark, d, stemmed=True), "Things doing")
+
+
 @query(f"WITH {_bm25_sql('x', _APPROVED)} SELECT * FROM x")
 def bm25_scoped(spark, d):
-    return search.bm25(table(spark, d, "documents"), TERMS, _approved(spark, d))
+    return index.search(_index(spark, d), " ".join(TERMS), _approved(spark, d))
 
 
 @query(f"WITH {_VECTOR.format(name='x', where='')} SELECT * FROM x")
@@ -210,12 +267,12 @@ def pending_embeddings(spark, d):
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 10),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings JOIN q ON vec_id <> query_id)
 SELECT query_id, max(score) AS best, max(score) >= 0.4 AS relevant FROM p GROUP BY query_id""")
 def vector_gate(spark, d):
     vectors = table(spark, d, "embeddings")
-    return search.vector_gate(vectors, vectors.filter("vec_id < 10"), 0.4)
+    return search.vector_gate(vectors, vectors.filter("vec_id % 50 = 0"), 0.4)
 
 
 _FUSED = f"""{_bm25_sql('x')}, {_VECTOR.format(name='y', where='')},
@@ -227,7 +284,7 @@ _BOOST = f"(CASE WHEN doc_id % 7 = 0 THEN -0.20 ELSE 0.0 END + CASE {_KIND} WHEN
 
 
 def _fused(spark, d):
-    lexical = search.bm25(table(spark, d, "documents"), TERMS)
+    lexical = index.search(_index(spark, d), " ".join(TERMS))
     vector = search.vector_search(table(spark, d, "embeddings"), _query_vector(spark, d)[0]).withColumnRenamed("vec_id", "doc_id")
     return lexical, vector
 
@@ -262,6 +319,48 @@ def hybrid_topk(spark, d):
     return found.select("doc_id", "source", "chunk_type", "fused", "combined")
 
 
+# Documents of the search scope: reviewed by labels, tied to the machine that is the label of their vector.
+_SCOPE = """e AS (SELECT doc_id FROM documents JOIN embeddings ON vec_id = doc_id WHERE label = 3 AND vec_id % 11 <> 0 {current}
+  AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"""
+
+
+def _scoped_sql(current: str) -> str:
+    scope = _SCOPE.format(current=current)
+    fused = _FUSED.replace("x AS (SELECT doc_id, score FROM x_s ", "x AS (SELECT doc_id, score FROM x_s WHERE doc_id IN (SELECT doc_id FROM e) ").replace("FROM embeddings, y_q ", "FROM embeddings, y_q WHERE vec_id IN (SELECT doc_id FROM e) ")
+    return f"""WITH {scope}, {fused} SELECT doc_id, {_KIND} AS chunk_type, round(fused, 6) AS fused, round(fused + {_BOOST}, 6) AS combined
+FROM f JOIN documents USING (doc_id) WHERE length(trim(text)) >= 4 ORDER BY combined DESC, doc_id LIMIT 6"""
+
+
+def _scoped(spark, d, include_superseded: bool):
+    reviewed = table(spark, d, "labels").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, "approved")).alias("review_status"))
+    docs = table(spark, d, "documents").select("doc_id").join(reviewed, "doc_id", "left").select(
+        F.col("doc_id").alias("id"), F.lit("indexed").alias("status"), F.lit(None).cast("timestamp").alias("deactivated_at"),
+        F.coalesce("review_status", F.lit("pending")).alias("review_status"), (F.col("doc_id") % 7 != 0).alias("is_current_revision"),
+    )
+    links = table(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("label").alias("machine_id"), F.when(F.col("vec_id") % 11 != 0, "approved").otherwise("rejected").alias("review_status"))
+    allowed = ingest.eligible(docs, links, 3, include_superseded).select(F.col("id").alias("doc_id"))
+    lexical = index.search(_index(spark, d), " ".join(TERMS), allowed)
+    vector = search.scoped_vectors(table(spark, d, "embeddings"), allowed, _query_vector(spark, d)[0])
+    return search.hybrid_search(lexical, vector, _chunks(spark, d), QUESTION).select("doc_id", "chunk_type", "fused", "combined")
+
+
+@query(_scoped_sql("AND doc_id % 7 <> 0"))
+def hybrid_scoped(spark, d):
+    """Only approved, current documents of one machine."""
+    return _scoped(spark, d, False)
+
+
+@query(_scoped_sql(""))
+def hybrid_superseded(spark, d):
+    """The same with superseded revisions, which rank lower."""
+    return _scoped(spark, d, True)
+
+
+@query()
+def embed_documents(spark, d):
+    return embedding.embed(table(spark, d, "documents"), "doc_id")
+
+
 # --- chunks --------------------------------------------------------------------------------------
 
 _LINES = r"""l0 AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents),
@@ -346,23 +445,14 @@ def material_tokens(spark, d):
 WITH n AS (SELECT doc_id, upper(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents), b AS (SELECT item_id, upper(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS i FROM benchmark)
 SELECT item_id, doc_id FROM n JOIN b ON contains(t, i)""")
 def claim_support(spark, d):
-    """Items that documents support verbatim: candidates share their rarest five-word shingle, then the text is compared."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    rows = T.shingle_rows(docs)
-    own = T.shingle_rows(items.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id")
-    df = rows.join(own.select("shingle").distinct(), "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    inner = own.join(df, "shingle").groupBy("item_id").agg(F.min_by("shingle", F.struct("df", "shingle")).alias("shingle"))
-    pairs = rows.join(inner, "shingle").select("item_id", "doc_id").distinct()
-    texts = docs.select("doc_id", "text")
-    claims = items.select("item_id", F.col("text").alias("claim"))
-    return pairs.join(texts, "doc_id").join(claims, "item_id").filter(T.warning_supported(F.col("claim"), F.col("text"))).select("item_id", "doc_id")
-
-
-@query("SELECT source, bool_or(quality = 0) AND bool_or(quality = 1) AND count(DISTINCT doc_id) >= 2 AS conflict FROM documents JOIN labels USING (doc_id) GROUP BY source")
+    return answers.supporting_documents(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+@query("SELECT source, bool_or(quality = 0) AND count(DISTINCT doc_id) >= 2 AS conflict FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def revision_conflict(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    both = F.bool_or(F.col("quality") == 0) & F.bool_or(F.col("quality") == 1) & (F.count_distinct("doc_id") >= 2)
-    return rows.groupBy("source").agg(both.alias("conflict"))
+    passages = rows.select(F.col("source").alias("query_id"), F.col("doc_id").alias("document_id"), (F.col("quality") == 1).alias("is_current"))
+    return answers.revision_conflict(passages).withColumnRenamed("query_id", "source")
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
@@ -450,13 +540,32 @@ def rate_limit_breaches(spark, d):
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("""WITH h AS (SELECT item_id, max(CASE WHEN contains(d.text, b.text) THEN 1 ELSE 0 END) AS hit FROM benchmark b, documents d GROUP BY item_id)
-SELECT count(*) AS cases, sum(hit) / count(*) AS hit_rate FROM h""")
+_EVAL = """n AS (SELECT doc_id, source, upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents),
+b AS (SELECT item_id, upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS i FROM benchmark),
+h AS (SELECT item_id, bool_or(contains(source, '1')) AS one, bool_or(contains(source, '2')) AS two FROM b LEFT JOIN n ON contains(t, i) GROUP BY item_id),
+r AS (SELECT item_id AS id, item_id % 5 = 4 AS silent, CASE WHEN item_id % 5 <> 4 THEN coalesce(one, false) END AS hit, CASE WHEN item_id % 5 <> 4 THEN NOT coalesce(two, false) END AS isolated, one IS NULL AS none FROM h),
+o AS (SELECT *, CASE WHEN silent THEN none ELSE NOT none AND hit AND isolated END AS ok FROM r)"""
+
+
+def _cases(spark, d):
+    """Items as questions, answered by the documents that hold them, if any; every fifth expects that there is none."""
+    texts = F.array().cast("array<string>")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("1").alias("expected_filename_contains"), texts.alias("expected_keywords"), F.array(F.lit("2")).alias("must_not_come_from"), (F.col("item_id") % 5 == 4).alias("expect_no_answer"))
+    held = claim_support(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    names = held.groupBy(F.col("item_id").alias("id")).agg(F.collect_set("source").alias("filenames"))  # at most the sources
+    found = items.select("id").join(names, "id", "left").select("id", F.coalesce("filenames", texts).alias("filenames"), F.lit("").alias("content"), F.col("filenames").isNull().alias("is_no_answer"))
+    return items, found.filter("NOT is_no_answer OR id % 5 = 4")
+
+
+@query(f"WITH {_EVAL} SELECT id, hit, isolated, ok FROM o")
+def eval_cases(spark, d):
+    return reports.case_results(*_cases(spark, d)).select("id", "hit", "isolated", "ok")
+
+
+@query(f"""WITH {_EVAL} SELECT count(*) AS cases, CAST(sum(CAST(ok AS INTEGER)) AS BIGINT) AS passed, sum(CAST(hit AS INTEGER)) / count(hit) AS hit_rate,
+sum(CAST(isolated AS INTEGER)) / count(isolated) AS isolation_rate, sum(CAST(ok AND silent AS INTEGER)) / sum(CAST(silent AS INTEGER)) AS no_answer_rate FROM o""")
 def eval_summary(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("doc").alias("expected_filename_contains"), F.array().cast("array<string>").alias("expected_keywords"), F.array().cast("array<string>").alias("must_not_come_from"), F.lit(False).alias("expect_no_answer"))
-    plain = claim_support(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("item")), "item_id").filter(F.contains("text", "item"))
-    found = plain.groupBy(F.col("item_id").alias("id")).agg(F.collect_list(F.concat(F.lit("doc"), F.col("doc_id"))).alias("filenames"), F.lit("").alias("content"), F.lit(False).alias("is_no_answer"))
-    return reports.evaluate(items, found).select("cases", "hit_rate")
+    return reports.evaluate(*_cases(spark, d)).select("cases", "passed", "hit_rate", "isolation_rate", "no_answer_rate")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_name, list_filter(string_split(p_name, ' '), lambda x: length(x) >= 2) AS parts FROM part)
@@ -479,3 +588,217 @@ def append_note(spark, d):
 SELECT user_id, event_type, event_id, value FROM e WHERE place = 1""")
 def latest_wins(spark, d):
     return ingest.latest(table(spark, d, "events"), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "value")
+
+
+# --- a library of documents, machines and conversations, made of the driver tables -----------------
+
+#: name: (table, keys or columns, aggregates), in SQL that both engines read.
+LIBRARY = {
+    "docs": ("customer", [
+        "c_custkey AS id", "c_name AS original_filename", "c_mktsegment AS doc_type", "c_mktsegment AS title", "CAST(c_nationkey AS BIGINT) AS manufacturer_id",
+        "CASE c_custkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'indexed' END AS status", "CASE c_custkey % 3 WHEN 0 THEN 'pending' ELSE 'approved' END AS review_status",
+        "CASE WHEN c_acctbal < 0 THEN 1 END AS deactivated_at", "c_custkey % 7 <> 0 AS is_current_revision", "c_custkey % 100 AS created_at", "c_custkey % 90 AS ingested_at",
+    ], None),
+    "makers": ("nation", ["CAST(n_nationkey AS BIGINT) AS id", "n_name AS name"], None),
+    "machines": ("supplier", ["s_suppkey AS id", "CAST(s_nationkey AS BIGINT) AS manufacturer_id", "s_name AS model_name", "CASE s_suppkey % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS family"], None),
+    "links": ("orders", ["o_custkey AS document_id", "o_orderkey % 10 AS machine_id"], [
+        "CASE WHEN count(*) > 1 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END AS confidence",
+        "CASE min(o_orderstatus) WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS review_status",
+    ]),
+    "messages": ("conversations", ["conv_id * 1000 + turn AS id", "conv_id AS conversation_id", "role", "text AS content", "(conv_id + turn) % 4 = 0 AS is_no_answer", "(conv_id * 7 + turn) % 100 AS created_at"], None),
+    "talks": ("conversations", ["conv_id AS id", "conv_id % 3 AS user_id"], []),
+    "users": ("customer", ["c_custkey AS id", "c_name AS email"], None),
+    "feedback": ("events", ["event_id AS id", "user_id", "(event_id % 40) * 1000 + 1 AS message_id", "event_type AS rating", "event_id % 70 AS created_at"], None),
+    "recent": ("events", ["user_id", "event_id % 10 AS machine_id"], ["max(event_id) AS last_used_at", "max(event_id) % 3 = 0 AS is_favorite"]),
+    "saved": ("events", ["user_id", "(event_id % 40) * 1000 + 1 AS message_id"], ["max(event_id) AS saved_at"]),
+    "chunks": ("documents", ["doc_id AS id", "doc_id % 100 AS document_id", "source AS content"], None),
+    "sources": ("conversations", ["conv_id AS message_id", "(conv_id * 7 + turn) % 150 AS chunk_id", "turn AS rank", "turn % 2 = 0 AS is_citation", "CASE WHEN turn % 3 <> 0 THEN 10 - turn END AS citation_ordinal"], None),
+    "matches": ("orders", ["o_orderkey AS id", "o_custkey AS kept_document_id", "o_custkey % 50 AS duplicate_document_id", "o_orderpriority AS match_type", "o_orderkey AS detected_at"], None),
+    "corrections": ("customer", ["c_custkey AS id", "CASE c_custkey % 2 WHEN 0 THEN 'fixed' END AS doc_type", "CASE c_custkey % 11 WHEN 0 THEN 'new title' END AS title", "'admin' AS corrected_by", "'why' AS reason"], None),
+    "guesses": ("orders", ["o_custkey AS document_id", "o_orderkey % 5 AS machine_id"], ["CAST(0.9 AS DOUBLE) AS confidence"]),
+    "overrides": ("customer", ["c_custkey - c_custkey % 13 AS document_id", "'machine_links' AS field"], []),
+}
+
+
+def lib(spark, d, *names: str) -> list[DataFrame]:
+    out = []
+    for name in names:
+        base, columns, aggregates = LIBRARY[name]
+        rows = table(spark, d, base)
+        out.append(rows.selectExpr(*columns) if aggregates is None else rows.groupBy(*map(F.expr, columns)).agg(*map(F.expr, aggregates)) if aggregates else rows.selectExpr(*columns).distinct())
+    return out
+
+
+def lib_sql(*names: str) -> str:
+    """The same tables as common table expressions."""
+    parts = []
+    for name in names:
+        base, columns, aggregates = LIBRARY[name]
+        parts.append(f"{name} AS (SELECT {'' if aggregates is None or aggregates else 'DISTINCT '}{', '.join([*columns, *(aggregates or [])])} FROM {base}{' GROUP BY ALL' if aggregates else ''})")
+    return "WITH " + ", ".join(parts)
+
+
+_OK = "status IN ('indexed', 'partial') AND deactivated_at IS NULL AND docs.review_status = 'approved' AND is_current_revision"
+_COUNTS = f"(SELECT count(DISTINCT docs.id) FROM links JOIN docs ON docs.id = document_id WHERE machine_id = machines.id AND links.review_status = 'approved' AND {_OK})"
+
+
+@query(lib_sql("docs", "makers") + " SELECT docs.id, original_filename, status, name AS manufacturer FROM docs LEFT JOIN makers ON makers.id = manufacturer_id WHERE deactivated_at IS NULL AND status = 'indexed' AND original_filename ILIKE '%1%'")
+def list_documents(spark, d):
+    return review.list_documents(*lib(spark, d, "docs", "makers"), status="indexed", q="1").select("id", "original_filename", "status", "manufacturer")
+
+
+@query(lib_sql("links", "machines") + " SELECT document_id, string_agg(printf('%s (%.2f)', model_name, confidence), '; ' ORDER BY model_name, machines.id) AS machines FROM links JOIN machines ON machines.id = machine_id GROUP BY document_id")
+def machine_labels(spark, d):
+    return review.machine_labels(*lib(spark, d, "links", "machines")).select("document_id", F.array_join("machines", "; ").alias("machines"))
+
+
+@query(lib_sql("docs", "makers", "links") + """ SELECT DISTINCT docs.id, original_filename, doc_type, name AS manufacturer, status, docs.review_status, ingested_at FROM docs
+LEFT JOIN makers ON makers.id = manufacturer_id LEFT JOIN links ON document_id = docs.id WHERE deactivated_at IS NULL AND (docs.review_status <> 'approved' OR links.review_status <> 'approved')""")
+def review_queue(spark, d):
+    return review.review_queue(*lib(spark, d, "docs", "makers", "links"))
+
+
+@query(lib_sql("links", "machines", "makers") + """ SELECT document_id, machine_id, model_name, name AS manufacturer, confidence, review_status,
+CAST(row_number() OVER (PARTITION BY document_id ORDER BY review_status, model_name, machine_id) AS INTEGER) AS place FROM links JOIN machines ON machines.id = machine_id JOIN makers ON makers.id = manufacturer_id""")
+def queue_links(spark, d):
+    return review.queue_links(*lib(spark, d, "links", "machines", "makers"))
+
+
+@query(lib_sql("docs", "makers", "links", "machines") + f""" SELECT * FROM (SELECT machines.id, name AS manufacturer, model_name, family, {_COUNTS} AS document_count FROM machines JOIN makers ON makers.id = manufacturer_id)
+WHERE document_count > 0 AND (model_name ILIKE '%eve%' OR family ILIKE '%eve%' OR manufacturer ILIKE '%eve%') ORDER BY manufacturer, model_name, id LIMIT 25""")
+def picker_filtered(spark, d):
+    return review.pick_machines(*lib(spark, d, "machines", "makers", "links", "docs"), q="eve")
+
+
+@query(lib_sql("docs", "makers", "links", "machines", "recent") + f""" SELECT machines.id, name AS manufacturer, model_name, {_COUNTS} AS document_count, is_favorite, last_used_at
+FROM recent JOIN machines ON machines.id = machine_id JOIN makers ON makers.id = manufacturer_id WHERE user_id = 5 ORDER BY is_favorite DESC, last_used_at DESC, machines.id LIMIT 10""")
+def recent_machines(spark, d):
+    return review.recent_machines(*lib(spark, d, "recent", "machines", "makers", "links", "docs"), user_id=5)
+
+
+@query(lib_sql("matches", "docs") + " SELECT matches.id, match_type, k.original_filename AS kept_name, x.original_filename AS duplicate_name FROM matches JOIN docs k ON k.id = kept_document_id JOIN docs x ON x.id = duplicate_document_id")
+def duplicate_list(spark, d):
+    return review.duplicate_list(*lib(spark, d, "matches", "docs")).select("id", "match_type", "kept_name", "duplicate_name")
+
+
+@query(lib_sql("feedback", "users", "messages") + " SELECT feedback.id, rating, feedback.created_at, email AS user, sha256(content) AS content FROM feedback JOIN users ON users.id = user_id JOIN messages ON messages.id = message_id ORDER BY feedback.created_at DESC, feedback.id LIMIT 100")
+def feedback_report(spark, d):
+    return review.feedback_report(*lib(spark, d, "feedback", "users", "messages")).select("id", "rating", "created_at", "user", F.sha2("content", 256).alias("content"))
+
+
+@query(lib_sql("messages") + """, q AS (SELECT m.conversation_id, m.id, m.created_at, (SELECT content FROM messages p WHERE p.conversation_id = m.conversation_id AND p.role = 'user' AND p.id < m.id ORDER BY p.id DESC LIMIT 1) AS question
+FROM messages m WHERE m.role = 'assistant' AND m.is_no_answer) SELECT conversation_id, id, question, created_at FROM q WHERE question IS NOT NULL ORDER BY created_at DESC, id DESC LIMIT 50""")
+def unanswered(spark, d):
+    return review.unanswered(*lib(spark, d, "messages"))
+
+
+@query(lib_sql("messages", "talks") + " SELECT messages.id, role FROM messages JOIN talks ON talks.id = conversation_id WHERE user_id = 1")
+def own_messages(spark, d):
+    return review.own_messages(*lib(spark, d, "messages", "talks"), user_id=1).select("id", "role")
+
+
+@query(lib_sql("saved", "messages") + " SELECT messages.id, saved_at FROM saved JOIN messages ON messages.id = message_id WHERE user_id = 5")
+def saved_answers(spark, d):
+    return review.saved_answers(*lib(spark, d, "saved", "messages"), user_id=5).select("id", "saved_at")
+
+
+@query(lib_sql("chunks", "docs") + " SELECT chunks.id, original_filename, is_current_revision FROM chunks JOIN docs ON docs.id = document_id WHERE deactivated_at IS NULL AND review_status = 'approved'")
+def evidence(spark, d):
+    return review.evidence(*lib(spark, d, "chunks", "docs")).select("id", "original_filename", "is_current_revision")
+
+
+@query(lib_sql("chunks", "docs") + " SELECT chunks.id, original_filename FROM chunks JOIN docs ON docs.id = document_id WHERE deactivated_at IS NULL")
+def evidence_administrator(spark, d):
+    return review.evidence(*lib(spark, d, "chunks", "docs"), administrator=True).select("id", "original_filename")
+
+
+@query(lib_sql("sources", "chunks", "docs") + """ SELECT message_id, chunk_id, document_id, original_filename, CAST(row_number() OVER (PARTITION BY message_id ORDER BY coalesce(citation_ordinal, rank), rank) AS INTEGER) AS place
+FROM sources JOIN chunks ON chunks.id = chunk_id JOIN docs ON docs.id = document_id WHERE is_citation""")
+def cited_sources(spark, d):
+    return review.cited_sources(*lib(spark, d, "sources", "chunks", "docs"))
+
+
+_FIELDS = ("doc_type", "title")
+
+
+@query(lib_sql("docs", "corrections") + " SELECT docs.id, coalesce(c.doc_type, docs.doc_type) AS doc_type, coalesce(c.title, docs.title) AS title, status FROM docs LEFT JOIN corrections c ON c.id = docs.id")
+def correct_documents(spark, d):
+    return review.correct(*lib(spark, d, "docs", "corrections"), _FIELDS).select("id", "doc_type", "title", "status")
+
+
+@query(lib_sql("docs", "corrections") + """ SELECT docs.id AS document_id, 'doc_type' AS field, docs.doc_type AS previous_value, c.doc_type AS corrected_value, corrected_by, reason FROM docs JOIN corrections c ON c.id = docs.id WHERE c.doc_type IS NOT NULL
+UNION ALL SELECT docs.id, 'title', docs.title, c.title, corrected_by, reason FROM docs JOIN corrections c ON c.id = docs.id WHERE c.title IS NOT NULL""")
+def override_rows(spark, d):
+    return review.override_rows(*lib(spark, d, "docs", "corrections"), _FIELDS)
+
+
+@query(lib_sql("links") + """ SELECT * FROM links WHERE document_id % 4 <> 0 UNION ALL SELECT DISTINCT document_id, unnest([1, 2]) AS machine_id, CAST(1.0 AS DOUBLE), 'approved' FROM links WHERE document_id % 4 = 0""")
+def replace_links(spark, d):
+    (links,) = lib(spark, d, "links")
+    corrected = links.filter("document_id % 4 = 0").select("document_id").distinct().withColumn("machine_ids", F.expr("array(1L, 2L, 1L)"))
+    return review.replace_links(links, corrected)
+
+
+_CHANGED = lib_sql("docs", "links", "machines", "guesses", "overrides") + f""",
+scan AS (SELECT id FROM docs WHERE status IN ('indexed', 'partial') AND deactivated_at IS NULL AND id NOT IN (SELECT document_id FROM overrides)),
+old AS (SELECT document_id AS id, string_agg(model_name, ';' ORDER BY model_name) AS names FROM links JOIN machines ON machines.id = machine_id WHERE confidence < 1 GROUP BY 1),
+new AS (SELECT document_id AS id, string_agg(model_name, ';' ORDER BY model_name) AS names FROM guesses JOIN machines ON machines.id = machine_id GROUP BY 1),
+changed AS (SELECT id, coalesce(old.names, '') AS old_names, coalesce(new.names, '') AS new_names FROM scan LEFT JOIN old USING (id) LEFT JOIN new USING (id) WHERE coalesce(old.names, '') <> coalesce(new.names, ''))"""
+
+
+def _reindexed(spark, d):
+    docs, links, machines, guesses, overrides = lib(spark, d, "docs", "links", "machines", "guesses", "overrides")
+    named = guesses.join(machines.select(F.col("id").alias("machine_id"), "model_name"), "machine_id")
+    return review.reindex(docs, links, machines, named, overrides)
+
+
+@query(_CHANGED + " SELECT id, old_names, new_names FROM changed")
+def reindex_changes(spark, d):
+    return _reindexed(spark, d)[0].select("id", F.array_join("old_names", ";").alias("old_names"), F.array_join("new_names", ";").alias("new_names"))
+
+
+@query(_CHANGED + """, stay AS (SELECT * FROM links WHERE document_id NOT IN (SELECT id FROM changed) OR confidence >= 1)
+SELECT document_id, machine_id, confidence, review_status FROM stay UNION ALL SELECT g.document_id, g.machine_id, g.confidence, 'pending' FROM guesses g JOIN machines ON machines.id = g.machine_id
+WHERE g.document_id IN (SELECT id FROM changed) AND NOT EXISTS (SELECT 1 FROM stay s WHERE s.document_id = g.document_id AND s.machine_id = g.machine_id)""")
+def reindex_links(spark, d):
+    return _reindexed(spark, d)[1]
+
+
+@query(lib_sql("recent") + """, new AS (SELECT user_id, machine_id + 5 AS machine_id, true AS is_favorite FROM recent WHERE user_id % 2 = 0)
+SELECT user_id, machine_id, last_used_at, coalesce(n.is_favorite, r.is_favorite) AS is_favorite FROM recent r FULL JOIN new n USING (user_id, machine_id)""")
+def favourite_merge(spark, d):
+    """Setting favourites inserts what is missing and leaves the time of last use alone."""
+    (recent,) = lib(spark, d, "recent")
+    new = recent.filter("user_id % 2 = 0").selectExpr("user_id", "machine_id + 5 AS machine_id", "true AS is_favorite")
+    return ingest.merge_columns(recent, new, ["user_id", "machine_id"], ["is_favorite"])
+
+
+@query(lib_sql("docs") + """ SELECT id, CASE WHEN id % 9 = 0 AND deactivated_at IS NULL THEN 2 ELSE deactivated_at END AS deactivated_at, CASE WHEN id % 9 = 0 AND deactivated_at IS NULL THEN status || ' | gone' ELSE status END AS status FROM docs""")
+def deactivate_documents(spark, d):
+    (docs,) = lib(spark, d, "docs")
+    where = (F.col("id") % 9 == 0) & F.col("deactivated_at").isNull()
+    return ingest.update(docs, where, deactivated_at=F.lit(2), status=ingest.append_note(F.col("status"), F.lit("gone"))).select("id", "deactivated_at", "status")
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM c GROUP BY 1""")
+def event_map(spark, d):
+    found = ingest.event_map(table(spark, d, "events"), "user_id", "event_type")
+    return found.select("user_id", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("counts"))
+
+
+@query(lib_sql("sources") + " SELECT message_id, chunk_id, rank, is_citation, CASE WHEN is_citation AND citation_ordinal IS NULL THEN rank ELSE citation_ordinal END AS citation_ordinal FROM sources")
+def citation_backfill(spark, d):
+    return ingest.with_ordinals(*lib(spark, d, "sources"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS page_id, l_linenumber AS pos, l_returnflag AS text, l_quantity AS size FROM lineitem),
+m AS (SELECT page_id, list_sort(list(size)) AS s FROM l GROUP BY page_id), b AS (SELECT page_id, s[len(s) // 2 + 1] AS body FROM m)
+SELECT page_id, pos, text, CAST(dense_rank() OVER (PARTITION BY page_id ORDER BY size DESC) - 1 AS INTEGER) AS rank FROM l JOIN b USING (page_id) WHERE size > body + 0.5""")
+def headings_by_size(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("text"), F.col("l_quantity").alias("size"))
+    return extraction.headings_by_size(lines)
+
+
+@query("SELECT count(*) AS n FROM (SELECT 1 FROM customer)")
+def user_count(spark, d):
+    return table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))

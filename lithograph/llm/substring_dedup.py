@@ -7,16 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import Words, block, materialize, mix64, powered, ranges_hash, release, slices, table
+from lithograph.llm.common import Words, block, materialize, mix64, powered, ranges_hash, release, table
 
 WINDOW = 50  #: words that a factor has at least
 ANCHOR = 11  #: words of an anchor: each window holds WINDOW - ANCHOR + 1 candidates and is filed under the least hash
 BLOCK_CHARS = 3 << 20  #: characters of a reference block, about (one longer document makes a longer block)
-HOT_SHARE = 32  #: an anchor with over 1 / (HOT_SHARE * partitions) of all windows is split by window hash ...
-SALTS = 256  #: ... into so many parts
+HOT_SHARE = 32  #: an anchor with over about 1 / (HOT_SHARE * partitions) of all windows is split into parts by window hash
 NO_ID = -(1 << 63)  #: stands for a null id
 
 
@@ -102,41 +101,65 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, windows) of slices of a partition."""
-    for batch in batches:
-        for texts in slices(batch.column("text").to_pylist(), 1 << 20):
-            anchor, n = np.unique(Windows(texts).anchor, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(n.astype(np.int64))], names=["anchor", "windows"])
+COUNTED = "anchor long, block int, windows long, low long, high long"
 
 
-def index_block(own: Block, number: int, hot: np.ndarray, attempt: int = 0) -> pa.Table:
-    """The distinct windows of a block: (anchor, salt, block, id, windows, places).
+def count_anchors(own: Block, number: int, attempt: int = 0) -> pa.Table:
+    """COUNTED: for each anchor of a block its windows and the least and the greatest id that has it."""
+    w = Windows(own.texts, attempt)
+    order = np.argsort(w.anchor, kind="stable")  # documents stand by id
+    anchor, id_ = w.anchor[order], own.ids[w.doc[order]]
+    first = _runs(anchor)
+    last = _ends(first, len(anchor)) - 1
+    return pa.table({
+        "anchor": _signed(anchor[first]),
+        "block": pa.array(np.full(len(first), number, dtype=np.int32)),
+        "windows": pa.array((last - first + 1).astype(np.int64)),
+        "low": pa.array(id_[first]),
+        "high": pa.array(id_[last]),
+    })
+
+
+def _lookup(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted value its place among the sorted known ones, and whether it is there."""
+    at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+    return at, (known[at] == wanted) if len(known) else np.zeros(len(wanted), dtype=bool)
+
+
+def index_block(own: Block, asked: pa.Table, number: int, attempt: int = 0) -> pa.Table:
+    """The distinct windows of a block under the anchors asked for (anchor, parts): (anchor, salt, block, id, windows, places).
 
     Each window is filed with the smallest id of the block that has it and its first place there, its hash shifted by
-    one; the lowest bit says whether other ids of the block have it too.
+    one; the lowest bit says whether other ids of the block have it too. Places are kept as their differences.
     """
     w = Windows(own.texts, attempt)
-    place = (w.start - own.bases(w.words.bounds)[w.doc]).astype(np.uint32)
-    order = np.lexsort((w.start, w.hash, w.anchor))  # documents stand by id
-    anchor, hash_, id_, place = w.anchor[order], w.hash[order], own.ids[w.doc[order]], place[order]
+    known, parts = asked.column("anchor").to_numpy().view(np.uint64), asked.column("parts").to_numpy()
+    order = np.argsort(known)
+    known, parts = known[order], parts[order]
+    at, there = _lookup(known, w.anchor)
+    at, start, anchor, hash_, doc = at[there], w.start[there], w.anchor[there], w.hash[there], w.doc[there]
+    place = (start - own.bases(w.words.bounds)[doc]).astype(np.uint32)
+    order = np.lexsort((start, hash_, anchor))  # documents stand by id
+    at, anchor, hash_, id_, place = at[order], anchor[order], hash_[order], own.ids[doc[order]], place[order]
     first = _runs(anchor, hash_)
     last = _ends(first, len(anchor)) - 1
     several = id_[first] != id_[last]
-    anchor, hash_, id_, place = anchor[first], hash_[first], id_[first], place[first]
-    salt = np.where(np.isin(anchor, hot), hash_ % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
-    order = np.lexsort((hash_, id_, salt, anchor))
+    at, anchor, hash_, id_, place = at[first], anchor[first], hash_[first], id_[first], place[first]
+    salt = (hash_ % parts[at].astype(np.uint64) if len(at) else hash_).astype(np.int32)
+    order = np.lexsort((place, id_, salt, anchor))
     anchor, salt, id_, place = anchor[order], salt[order], id_[order], place[order]
     data = ((hash_ << np.uint64(1)) | several.astype(np.uint64))[order]
     first = _runs(anchor, salt, id_)
     ends = np.append(first, len(data))
+    step = np.diff(place, prepend=np.uint32(0))
+    step[first] = place[first]
     return pa.table({
         "anchor": _signed(anchor[first]),
         "salt": pa.array(salt[first]),
         "block": pa.array(np.full(len(first), number, dtype=np.int32)),
         "id": pa.array(id_[first]),
         "windows": _binary(data, ends),
-        "places": _binary(place, ends),
+        "places": _binary(step, ends),
     })
 
 
@@ -151,8 +174,10 @@ def _resolve(rows: pa.Table) -> pa.RecordBatch:
     raw = rows.column("windows").to_pylist()
     sizes = np.array([len(x) // 8 for x in raw], dtype=np.int64)
     data = np.frombuffer(b"".join(raw), dtype="<u8")
-    place = np.frombuffer(b"".join(rows.column("places").to_pylist()), dtype="<u4")
     row = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.cumsum(np.frombuffer(b"".join(rows.column("places").to_pylist()), dtype="<u4"), dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    place = (total - np.concatenate(([0], total))[starts][row]).astype(np.uint32) if len(row) else total.astype(np.uint32)
     order = np.lexsort((block_[row], own[row], data >> np.uint64(1), anchor[row]))
     row, data, place = row[order], data[order], place[order]
     first = _runs(anchor[row], data >> np.uint64(1))
@@ -296,7 +321,8 @@ def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     The corpus is cut into reference blocks by hash of the id. Each block indexes the places of its distinct windows
     under an anchor, the least hash of their ANCHOR-word sequences, which equal windows share; the index joins all
     blocks, so a document is factored against every block, the work growing with the text and not with pairs of
-    copies. An anchor of more than a small share of all windows is split by window. Of each window that several
+    copies. Anchors that one id alone has are left out of it, as none of their windows is repeated; an anchor of more
+    than a small share of all windows is split by window. Of each window that several
     documents have, the smallest id and its place there go back to the blocks that hold it, and each document is
     parsed greedily: a factor (start, words, source, source_start) is extended word by word as long as document and
     source agree, then the next begins. In the source's block the words at that place, from the factor's first to its
@@ -315,16 +341,13 @@ def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(partitions, -(-chars // BLOCK_CHARS))
-    counts = own.select("text").mapInArrow(_count_windows, "anchor long, windows long").groupBy("anchor").agg(F.sum("windows").alias("windows"))
-    limit = max(10_000, chars // (10 * HOT_SHARE * partitions))  # a window needs two characters: at most 5 * HOT_SHARE anchors a partition are over it
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r["anchor"] for r in counts.filter(F.col("windows") > limit).collect()], dtype=np.int64).view(np.uint64)))
-
+    limit = max(10_000, chars // (10 * HOT_SHARE * partitions))
     spread = F.when(F.col("id") == NO_ID, F.xxhash64("text")).otherwise(F.xxhash64("id"))
     dealt = own.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     attempt = 0
     while True:
-        found = materialize(_sources(dealt, blocks, hot, attempt), "passage-sources")
+        found = materialize(_sources(dealt, blocks, limit, attempt), "passage-sources")
         done = materialize(_parsed(dealt, found, keep_text, attempt), "repeated-passages")
         release(found)
         if done.filter("refuted > 0").limit(1).count() == 0:
@@ -333,13 +356,20 @@ def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         attempt += 1
 
 
-def _sources(dealt: DataFrame, blocks: int, hot, attempt: int) -> DataFrame:
-    """FOUND: the windows of each block that several ids have, with the smallest."""
+def _sources(dealt: DataFrame, blocks: int, limit: int, attempt: int) -> DataFrame:
+    """FOUND: the windows of each block that several ids have, with the smallest. Only anchors of several ids are indexed."""
+
+    def count(rows: pa.Table) -> pa.Table:
+        return count_anchors(Block(rows), rows.column("block")[0].as_py(), attempt)
 
-    def index(rows: pa.Table) -> pa.Table:
-        return index_block(Block(rows), rows.column("block")[0].as_py(), hot.value, attempt)
+    def index(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        return index_block(Block(rows), asked, rows.column("block")[0].as_py() if rows.num_rows else -1, attempt)
 
-    filed = dealt.groupBy("block").applyInArrow(index, INDEXED)
+    counted = dealt.groupBy("block").applyInArrow(count, COUNTED)
+    everywhere = Window.partitionBy("anchor")  # a row for each block at most
+    totals = counted.select("anchor", "block", *[f(c).over(everywhere).alias(c) for f, c in ((F.sum, "windows"), (F.min, "low"), (F.max, "high"))])
+    asked = totals.filter("low < high").select("anchor", "block", F.ceil(F.col("windows") / limit).alias("parts"))
+    filed = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(index, INDEXED)
     return filed.repartition(blocks, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_resolve_partition, FOUND)
 
 

@@ -17,7 +17,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 4  #: a pair of similarity 0.8 shares a band with probability 0.9994
 IDF_BITS = 21  #: log2 of the hashed word frequencies
 CHUNK = 1 << 14
-CROWD = 1000  #: rows of one shingle in one part of the join
+CROWD = 500  #: askers, and members, of a bucket in one group
 TABLE_BITS = 16  #: log2 of the random draws of each hash function
 
 NO_ID = -(1 << 63)  #: stands for a null id while ids are compared
@@ -31,24 +31,15 @@ def _words(texts: list[str]) -> tuple[Words, np.ndarray]:
     return words, words.hashes()
 
 
-def _shingle_counts(docs: DataFrame, idf) -> np.ndarray:
-    """How many rows of docs (text) have a shingle of each hash bucket."""
-    return word_frequencies(docs, idf)[0]
-
-
-def word_frequencies(docs: DataFrame, idf=None) -> tuple[np.ndarray, int]:
-    """How many rows of docs (text) have a word (with idf: a shingle) of each hash bucket, and the number of rows; counted over all rows."""
+def word_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many rows of docs (text) have a word of each hash bucket, and the number of rows; counted over all rows."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(1 << IDF_BITS, dtype=np.uint32), 0
         for batch in batches:
             for texts in slices(batch.column("text").to_pylist()):
-                if idf is None:
-                    words, hashes = _words(texts)
-                    doc = words.doc
-                else:
-                    hashes, _, ends = weighted_shingles(texts, idf.value)
-                    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
+                words, hashes = _words(texts)
+                doc = words.doc
                 at = (hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)
                 distinct = np.unique(doc * (1 << IDF_BITS) + at)
                 counts += np.bincount(distinct & ((1 << IDF_BITS) - 1), minlength=1 << IDF_BITS).astype(np.uint32)
@@ -239,69 +230,63 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels.select("key", F.col("label.id").alias("class_id"), F.col("label.key").alias("root"))
 
 
-def _prefixes(texts: DataFrame, counts, idf, similarity: float) -> DataFrame:
-    """(key, shingle, weight, short) of the rarest shingles of each text, rarest first by hashed counts over all rows.
-
-    weight: the text's total. Alike texts share a shingle of the longer prefix of the heavier and of the short prefix of
-    the lighter: the shingles after these weigh too little to reach similarity.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for own in slices(batch.column("text").to_pylist()):
-                found, weights, ends = weighted_shingles(own, idf.value)
-                owner = np.repeat(np.arange(len(own)), np.diff(ends))
-                order = np.lexsort((found, counts.value[(found >> np.uint64(64 - IDF_BITS)).astype(np.int64)], owner))
-                found, weights = found[order], weights[order]
-                total = np.bincount(owner, weights=weights, minlength=len(own))
-                run_ = np.concatenate(([0.0], np.cumsum(weights)))
-                left = (run_[ends[1:]][owner] - run_[:-1]) / np.maximum(total[owner], 1e-9) + 1e-9  # share of this shingle and all after it
-                kept = np.flatnonzero(left >= similarity)
-                keys = batch.column("key").slice(at, len(own)).take(pa.array(owner[kept]))
-                short = left[kept] >= 2 * similarity / (1 + similarity)
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(found[kept].view(np.int64)), pa.array(total[owner[kept]]), pa.array(short)], names=["key", "shingle", "weight", "short"]
-                )
-                at += len(own)
-
-    return texts.select("key", "text").mapInArrow(run, "key binary, shingle long, weight double, short boolean")
-
-
 def _between(active: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """Links (a, b) between different components that meet in a bucket, found exactly.
 
-    Buckets of more than three (smaller ones are compared in full already) that hold several components give the
-    texts; those outside a bucket's largest component ask. Candidates share a shingle of their weighted prefixes and
-    are about as heavy; they are joined by Spark, shingles that many have in salted parts, and then compared.
+    In a bucket of more than three (smaller ones are compared in full already), every member outside the largest
+    component asks for its links to members of other components. Askers and members are dealt into blocks of about
+    CROWD, and each block of askers meets each block of members of its bucket: a group has about twice CROWD texts,
+    however large the bucket is. In a group one look-up in the members' sorted shingles gives the weight that an asker
+    shares with each of them; only links come out.
     """
-    spark = texts.sparkSession
     rows = active.filter("size > 3").select("band", "bucket", "key").join(roots, "key", "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("root"))
+    rows = materialize(rows, "near-crowd")
     shares = rows.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = shares.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    crowd = rows.join(largest, ["band", "bucket"]).groupBy("key", "root").agg(F.max(F.col("root") != F.col("largest")).alias("asks"))
-    crowd = materialize(crowd, "near-crowd")
-    own = texts.join(crowd.select("key"), "key")
-    counts = spark.sparkContext.broadcast(_shingle_counts(own, idf))  # of fixed size
-    prefixes = materialize(_prefixes(own, counts, idf, similarity).join(crowd, "key"), "near-prefixes")
-    hot = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("shingle", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
-    parted = prefixes.join(hot, "shingle", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    light = parted.filter("short").select("shingle", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("asks").alias("asks_a"), F.col("weight").alias("weight_a"))
-    heavy = parted.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("asks").alias("asks_b"), F.col("weight").alias("weight_b"))
-    near = (F.col("weight_a") <= F.col("weight_b") * (1 + 1e-9)) & (F.col("weight_a") >= similarity * F.col("weight_b") * (1 - 1e-9))
-    met = light.join(heavy, ["shingle", "part"]).filter((F.col("root_a") != F.col("root_b")) & (F.col("asks_a") | F.col("asks_b")) & near)
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _verified(pairs, own, idf, similarity).filter(F.col("similarity") >= similarity).select("a", "b")
+    blocks = lambda n: F.ceil(n / CROWD).cast("int")
+    many = shares.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"))
+    many = many.filter("parts > 1").select("band", "bucket", "largest", blocks(F.col("size")).alias("listed"), blocks(F.col("size") - F.col("most")).alias("asking"))
+    dealt = rows.join(many, ["band", "bucket"])
+    place = lambda n: F.pmod(F.xxhash64("key", "band"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_member = dealt.select("band", "bucket", "key", "root", F.lit(False).alias("asks"), each("asking").alias("i"), place(F.col("listed")).alias("j"))
+    as_asker = dealt.filter("root <> largest").select("band", "bucket", "key", "root", F.lit(True).alias("asks"), place(F.col("asking")).alias("i"), each("listed").alias("j"))
+    met = as_member.union(as_asker)
+    held = met.join(texts, "key")
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys, root = group.column("key").to_pylist(), group.column("root").to_pylist()
+        asks = np.array(group.column("asks").to_pylist())
+        found, weights, ends = weighted_shingles(group.column("text").to_pylist(), idf.value)
+        owner = np.repeat(np.arange(len(keys)), np.diff(ends))
+        total = np.bincount(owner, weights=weights, minlength=len(keys))
+        component = np.unique(np.array([r.hex() for r in root]), return_inverse=True)[1]
+        listed = np.flatnonzero(~asks[owner])
+        listed = listed[np.argsort(found[listed], kind="stable")]
+        sorted_, who, theirs = found[listed], owner[listed], weights[listed]
+        a, b = [], []
+        for i in np.flatnonzero(asks):
+            mine = slice(ends[i], ends[i + 1])
+            low, high = np.searchsorted(sorted_, found[mine], "left"), np.searchsorted(sorted_, found[mine], "right")
+            size = high - low
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+            shared = np.bincount(who[at], weights=np.minimum(np.repeat(weights[mine], size), theirs[at]), minlength=len(keys))
+            alike = shared / np.maximum(total + total[i] - shared, 1e-9)
+            for j in np.flatnonzero((alike >= similarity) & (component != component[i])):
+                a.append(keys[i])
+                b.append(keys[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return held.groupBy("band", "bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Classes of near-duplicates: doc_id, class_id, kept, text_key; one row per input row.
 
     Equal texts are one vertex. Vertices that share a band are candidates: in each band's bucket every member is
-    compared with two leaders, the least and the greatest by a hash of member and band. That joins nearly all that
-    belongs together; where a bucket still holds several components, members of the smaller ones are joined
-    with members of others on weighted prefixes of their rarest shingles, so that no link that can join classes is lost
-    and no task holds a bucket. Candidates count as linked when their exact weighted Jaccard similarity, over counts and inverse
+    compared with two leaders: the one that meets most others over all its buckets, and one by a hash. That joins nearly
+    all that belongs together; where a bucket still holds several components, members of the smaller ones are held
+    against those of the others block by block, so that no link that can join classes is lost and no task holds a
+    bucket. Candidates count as linked when their exact weighted Jaccard similarity, over counts and inverse
     document frequencies of all rows, is at least similarity. Classes are the connected components; class_id is
     their least doc_id. One row of each class is kept: that of this id (of several texts with it, the one of the least
     text_key; of rows that repeat both, one).
@@ -316,9 +301,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = materialize(_signatures(keyed, idf), "near-signatures")
     nodes = materialize(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands", ignorenulls=True).alias("bands")), "near-nodes")
     member = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    member = member.withColumn("order", F.struct(F.xxhash64("key", "bucket").alias("hash"), "key"))
-    leaders = member.groupBy("band", "bucket").agg(F.min("order").alias("low"), F.max("order").alias("high"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    active = materialize(member.join(leaders, ["band", "bucket"]), "near-buckets")
+    sizes = member.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = materialize(member.join(sizes, ["band", "bucket"]), "near-met")
+    # Of many edited copies of one text that text meets most others, and so makes the best leader.
+    central = met.groupBy("key").agg(F.sum("size").alias("met"))
+    ranked = met.join(central, "key").withColumn("order", F.struct("met", F.xxhash64("key", "bucket").alias("hash"), "key"))
+    leaders = ranked.groupBy("band", "bucket").agg(F.max("order").alias("low"), F.max_by("order", F.col("order.hash")).alias("high"))
+    active = materialize(met.join(leaders, ["band", "bucket"]), "near-buckets")
+    release(met)
     crowd = active.select("key").distinct().join(nodes, "key").select("key", "id")
     texts = materialize(keyed.join(crowd, ["key", "id"]).dropDuplicates(["key"]).select("key", "text"), "near-texts")
     stars = active.select(F.col("low.key").alias("a"), F.col("key").alias("b")).union(active.select(F.col("high.key").alias("a"), F.col("key").alias("b")))

@@ -206,8 +206,9 @@ def test_near_classes_match_brute_force(docs, none):
     assert near_dedup.near_classes(none).count() == 0
 
 
-def test_texts_around_one_boilerplate_are_never_sent_to_one_group(spark):
-    """Texts about 0.6 alike, and pairs of near copies among them, in one bucket: the links are found by a join, not in a group of the bucket."""
+def test_texts_around_one_boilerplate_are_compared_in_blocks(spark, monkeypatch):
+    """Texts about 0.6 alike, and pairs of near copies among them, in one bucket: all links are found, and no group holds the bucket."""
+    monkeypatch.setattr(near_dedup, "CROWD", 10)
     line = prose(300, 150)
     rows = [(k, f"{line} {prose(400 + k, 48)}") for k in range(60)]
     rows += [(100 + k, rows[k][1] + f" tail{k}") for k in range(0, 60, 3)]
@@ -216,10 +217,30 @@ def test_texts_around_one_boilerplate_are_never_sent_to_one_group(spark):
     idf = spark.sparkContext.broadcast(near_dedup.inverse_frequencies(*near_dedup.word_frequencies(keyed)))
     key = {r["id"]: bytes(r["key"]) for r in keyed.collect()}
     active = keyed.selectExpr("0 AS band", "7L AS bucket", "key", f"{len(rows)}L AS size")
-    roots = keyed.selectExpr("key", "key AS root")  # all ask
+    roots = keyed.selectExpr("key", "key AS root")  # all but one ask
     found = near_dedup._between(active, roots, keyed.select("key", "text"), idf, 0.8)
     assert {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in found.collect()} == {frozenset((key[k], key[100 + k])) for k in range(0, 60, 3)}
-    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_near_classes_of_whole_tables_match_all_pairs(spark):
+    """All pairs of distinct texts of the smallest tables, compared exactly: every link must end in one class, and classes have no other links."""
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    idf = near_dedup.inverse_frequencies(*near_dedup.word_frequencies(near_dedup._keyed(docs)))
+    vectors = [near_dedup.weighted_shingles([t], idf)[:2] for _, t in rows]
+    root = list(range(len(rows)))
+    links = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][1] == rows[b][1] or near_dedup.weighted_jaccard(vectors[a], vectors[b]) >= 0.8:
+                links += rows[a][1] != rows[b][1]
+                root = [root[b] if r == root[a] else r for r in root]
+    least_of = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        least_of[r] = min(i, least_of.get(r, i))
+    got = near_dedup.near_classes(docs).collect()
+    right = sum(r.class_id == least_of[root[[i for i, _ in rows].index(r.doc_id)]] for r in got)
+    assert links >= 3 and right >= 0.99 * len(rows) and sum(r.kept for r in got) == len({r.class_id for r in got})
 
 
 def test_sampling_agrees_as_often_as_texts_are_alike():

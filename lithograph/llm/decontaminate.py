@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import let, materialize, table
+from lithograph.llm.common import let, materialize, table, unused
 
 SHINGLE = 5  #: words of a shingle
 SIMILARITY = 0.8
-BLOCKS = 8  #: of 8 bits each
-BLOCK_RADIUS = 2
+BITS = 128  #: of a fingerprint, kept as two longs
+BLOCKS = 8  #: of 16 bits each
+BLOCK_RADIUS = 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1  #: fingerprints within it agree in some block but for BLOCK_RADIUS bits
 WEIGHT_STEPS = 16  #: weights are whole numbers, so that sums do not depend on their order
 BROADCAST_SHINGLES = 1_000_000  #: the items' shingles are broadcast up to this number, else joined by a shuffle
 BROADCAST_DOCUMENTS = 2_000_000  #: so are the keys of documents that hold one of them (16 bytes each)
+BROADCAST_ITEMS = 250  #: and the index of so many items' fingerprints (5,576 entries of 16 bytes each)
 
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 NO_ID = -(1 << 63)  #: stands for a null id
@@ -63,34 +67,50 @@ def _weights(items: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash (long) by keys of rows with `shingle` and `weight`: bit j is set where the weights with it outweigh those without."""
-    bit = lambda j: F.sum(F.when(F.shiftright("mixed", j).bitwiseAND(F.lit(1)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"b{j}")
-    summed = rows.withColumn("mixed", F.xxhash64("shingle", F.lit(17))).groupBy(*keys).agg(*[bit(j) for j in range(64)], F.sum("weight").alias("total"))
-    joint = F.lit(0).cast("long")
-    for j in range(64):
-        joint = joint.bitwiseOR(F.when(F.col(f"b{j}") > 0, F.shiftleft(F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
-    return summed.select(*keys, joint.alias("fingerprint"), "total")
+    """SimHash (low and high: long) by keys of rows with `shingle` and `weight`: a bit is set where the weights with it outweigh those without."""
+    mixed = rows.withColumns({"m0": F.xxhash64("shingle", F.lit(17)), "m1": F.xxhash64("shingle", F.lit(29))})
+    bit = lambda j: F.sum(F.when(F.getbit(f"m{j // 64}", F.lit(j % 64)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"b{j}")
+    summed = mixed.groupBy(*keys).agg(*[bit(j) for j in range(BITS)], F.sum("weight").alias("total"))
+
+    def joint(first: int) -> Column:
+        out = F.lit(0).cast("long")
+        for j in range(64):
+            out = out.bitwiseOR(F.when(F.col(f"b{first + j}") > 0, F.shiftleft(F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
+        return out
 
+    return summed.select(*keys, joint(0).alias("low"), joint(64).alias("high"), "total")
 
-def _block(fingerprint: Column, j: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, 8 * j).bitwiseAND(F.lit(255)).cast("int")
+
+def _slots(low: Column, high: Column) -> Column:
+    """The places of a fingerprint's blocks in the index of its length: length, block and value in one number each."""
+    half = BLOCKS // 2
+    value = lambda j: F.shiftrightunsigned(low if j < half else high, 16 * (j % half)).bitwiseAND(F.lit(65535))
+    return F.array(*[F.col("n").cast("long") * (BLOCKS << 16) + (j << 16) + value(j) for j in range(BLOCKS)])
 
 
 def _masks() -> list[int]:
     """Every difference of at most BLOCK_RADIUS bits of a block."""
-    return [m for m in range(256) if m.bit_count() <= BLOCK_RADIUS]
+    return [sum(1 << i for i in bits) for n in range(BLOCK_RADIUS + 1) for bits in combinations(range(16), n)]
+
+
+def _index(prints: DataFrame) -> DataFrame:
+    """(slot, item): the multi-index, each block of an item's fingerprint with all values within BLOCK_RADIUS bits."""
+    masks = prints.sparkSession.createDataFrame([(_masks(),)], "masks array<int>")
+    rows = prints.select("item", F.explode(_slots(F.col("item_low"), F.col("item_high"))).alias("slot")).crossJoin(F.broadcast(masks))  # one row
+    return rows.select("item", "slot", F.explode("masks").alias("mask")).select(F.col("slot").bitwiseXOR(F.col("mask").cast("long")).alias("slot"), "item")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Items found in documents: doc_id, item_id, start_word, n_words, hamming, similarity; the best window of each pair.
 
     Words are lower-cased runs of letters and digits; shingles are five words, for shorter items all their words. An
-    item of n words is compared with windows of n words, and with all words of a document that has fewer. Windows that share no shingle with it have similarity 0 and
-    are left out first, by a join on shingles; all others are fingerprinted: SimHash of 64 bits over the weights of
-    their shingles (inverse item frequencies). A multi-index over the items' fingerprints, of 8 blocks with all
-    values within 2 bits, finds every window whose fingerprint is within RADIUS bits of an item's of its length.
-    These are compared exactly: sum of the smaller weights over sum of the larger, repeats counted, at least
-    similarity. Ties go to the first window.
+    item of n words is compared with windows of n words, and with all words of a document that has fewer. A window that
+    reaches the similarity holds shingles of the items of its length that weigh `similarity` of the lightest of them
+    or more; those are found by a join on shingles and fingerprinted: SimHash of 128 bits over the weights of all
+    their shingles (inverse item frequencies). A multi-index over the items' fingerprints, of 8 blocks of 16 bits with
+    all values within 3 bits, finds every window whose fingerprint is within RADIUS = 31 bits of an item's of its
+    length. These are compared exactly: sum of the smaller weights over sum of the larger, repeats counted, at least
+    similarity. Ties go to the first window. A pair of similarity 0.8 is about 19 bits apart.
 
     Null texts and texts without words are in nothing and contain nothing. Null ids of either side are kept as null.
     Rows that repeat an id count as one document where their texts are equal, and are told apart otherwise, and so do
@@ -115,10 +135,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
         hits = kept if hits is None else hits.union(kept)
     hits = materialize(hits, "item-hits")
 
-    # Windows that hold a shingle of an item of their length, and all their shingles; a shorter document is one window.
-    lengths = posting.select("shingle", "width", "n").distinct()
-    reached = hits.join(lengths, ["shingle", "width"]).select("id", "row", "width", "n", F.explode(F.sequence(F.greatest(F.col("place") - F.col("n") + F.col("width"), F.lit(0)), F.col("place"))).alias("start")).distinct()
-    involved = materialize(hits.select("id", "row").distinct(), "item-documents")
+    # Windows whose hits could weigh enough, and all their shingles; a shorter document is one window.
+    tf = items.select("item", "item_id", "n", F.explode("shingles").alias("shingle")).groupBy("item", "item_id", "n", "shingle").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    item_weighed = materialize(tf.join(F.broadcast(weights) if small else weights, "shingle").select("item", "item_id", "n", "shingle", (F.col("tf") * F.col("weight")).alias("weight")), "item-weighed")
+    least = item_weighed.groupBy("item", "n").agg(F.sum("weight").alias("total")).groupBy("n").agg((F.min("total") * similarity).alias("least"))
+    lengths = posting.select("shingle", "width", "n").distinct().join(weights, "shingle").join(F.broadcast(least), "n")  # a row for each length
+    starts = F.sequence(F.greatest(F.col("place") - F.col("n") + F.col("width"), F.lit(0)), F.col("place"))
+    held = hits.join(F.broadcast(lengths) if small else lengths, ["shingle", "width"]).select("id", "row", "width", "n", "least", "weight", F.explode(starts).alias("start"))
+    reached = held.groupBy("id", "row", "width", "n", "start").agg(F.sum("weight").alias("held"), F.first("least").alias("least")).filter("held >= least - 1e-6").drop("held", "least")
+    reached = materialize(reached, "item-windows")
+    involved = materialize(reached.select("id", "row").distinct(), "item-documents")
     few = involved.count() <= BROADCAST_DOCUMENTS
     source = own.join(F.broadcast(involved) if few else involved, ["id", "row"], "left_semi")
     texts = materialize(source.dropDuplicates(["id", "row"]).select("id", "row", words_of(F.col("text")).alias("w")), "item-texts")
@@ -134,27 +160,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     weighed = counted.join(F.broadcast(weights) if small else weights, "shingle", "left").select(*window, "shingle", (F.col("tf") * F.coalesce("weight", F.lit(novel))).alias("weight"))
     prints = materialize(_fingerprints(weighed, window), "window-fingerprints")
 
-    tf = items.select("item", "item_id", "n", F.explode("shingles").alias("shingle")).groupBy("item", "item_id", "n", "shingle").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    item_weighed = tf.join(weights, "shingle").select("item", "item_id", "n", "shingle", "tf", (F.col("tf") * F.col("weight")).alias("weight"))
-    item_prints = _fingerprints(item_weighed, ["item", "item_id", "n"]).withColumnRenamed("fingerprint", "item_print").withColumnRenamed("total", "item_total")
-    masks = F.array(*[F.lit(m) for m in _masks()])
-    blocks = F.array(*[F.struct(F.lit(j).alias("block"), _block(F.col("item_print"), j).alias("value")) for j in range(BLOCKS)])
-    index = item_prints.select("item", "item_id", "n", "item_print", "item_total", F.explode(blocks).alias("b")).select("item", "item_id", "n", "item_print", "item_total", "b.block", "b.value", F.explode(masks).alias("mask"))
-    index = index.select("item", "item_id", "n", "item_print", "item_total", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    probes = F.array(*[F.struct(F.lit(j).alias("block"), _block(F.col("fingerprint"), j).alias("value")) for j in range(BLOCKS)])
-    probed = prints.select(*window, "fingerprint", "total", F.explode(probes).alias("b")).select(*window, "fingerprint", "total", "b.block", "b.value")
-    near = (
-        probed.join(index, ["n", "block", "value"])
-        .withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))).cast("int"))
-        .filter(F.col("hamming") <= RADIUS)
-        .select(*window, "total", "item", "item_id", "item_total", "hamming")
-        .distinct()
-    )
+    item_prints = _fingerprints(item_weighed, ["item", "item_id", "n"]).withColumnsRenamed({"low": "item_low", "high": "item_high", "total": "item_total"})
+    item_prints = materialize(item_prints, "item-fingerprints")
+    few = items.count() <= BROADCAST_ITEMS
+    index = _index(item_prints)
+    probed = prints.select(*window, "low", "high", "total", F.explode(_slots(F.col("low"), F.col("high"))).alias("slot"))
+    apart = (F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))).cast("int")
+    met = probed.join(F.broadcast(index) if few else index, "slot").drop("slot").join(F.broadcast(item_prints.drop("n")) if few else item_prints.drop("n"), "item")
+    near = met.withColumn("hamming", apart).filter(F.col("hamming") <= RADIUS).select(*window, "total", "item", "item_id", "item_total", "hamming").distinct()
     near = materialize(near, "window-candidates")
 
     # The exact check: shared weight of a window and an item, from the shingles of both.
     theirs = item_weighed.select("item", "shingle", F.col("weight").alias("item_weight"))
-    pairs = near.select(*window, "item", "item_id", "total", "item_total", "hamming").join(theirs, "item")
+    pairs = near.select(*window, "item", "item_id", "total", "item_total", "hamming").join(F.broadcast(theirs) if small else theirs, "item")
     both = pairs.join(weighed, [*window, "shingle"]).groupBy(*window, "item", "item_id", "total", "item_total", "hamming").agg(F.sum(F.least("weight", "item_weight")).alias("shared"))
     scored = both.withColumn("similarity", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))).filter(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("start", "words", "hamming", "similarity"), F.struct("similarity", -F.col("start"), -F.col("n"), "row", "item"))
@@ -171,8 +189,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that contain no item; all columns stay as they are. Rows of one doc_id go or stay together."""
-    found = contaminations(docs, benchmark, similarity).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__found")).distinct()
-    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == found["__found"], "left_anti")
+    key = unused("__found", docs)
+    found = contaminations(docs, benchmark, similarity).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key)).distinct()
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(found, key, "left_anti").drop(key)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,7 +224,7 @@ def test_texts_around_one_boilerplate_are_compared_in_blocks(spark, monkeypatch)
 
 def test_near_classes_of_whole_tables_match_all_pairs(spark):
     """All pairs of distinct texts of the smallest tables, compared exactly: every link must end in one class, and classes have no other links."""
-    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     idf = near_dedup.inverse_frequencies(*near_dedup.word_frequencies(near_dedup._keyed(docs)))
     vectors = [near_dedup.weighted_shingles([t], idf)[:2] for _, t in rows]
@@ -303,6 +303,34 @@ def test_decontamination_of_short_documents_and_items_of_one_id(spark):
     assert [r.doc_id for r in decontaminate.drop_contaminated(rows, bench).collect()] == [2]
 
 
+def test_decontamination_of_a_whole_table_against_all_windows(spark):
+    """Every window of every document against every item of its length, weighed alike: recall, and nothing that is not there."""
+    docs, bench = (common.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    items = {r.item_id: split(r.text) for r in bench.collect()}
+    shingled = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    df = Counter(s for w in items.values() for s in set(shingled(w)))
+    weight = lambda s: max(1, int(16 * np.log((2 + len(items)) / df[s]) / np.log(2 + len(items)) + 0.5)) if s in df else 16
+    known, want = set(df), set()
+    for r in docs.collect():
+        w = split(r.text)
+        shingles = shingled(w)
+        hit = np.array([s in known for s in shingles], dtype=bool)
+        for k, item in items.items():
+            own, n = Counter(shingled(item)), len(item)
+            a = {s: c * weight(s) for s, c in own.items()}
+            for at in range(max(len(w) - n, 0) + 1):
+                if hit[at : at + n - 4].sum() < 0.3 * len(own):
+                    continue
+                b = {s: c * weight(s) for s, c in Counter(shingles[at : at + n - 4]).items()}
+                shared = sum(min(v, b.get(s, 0)) for s, v in a.items())
+                if shared >= 0.8 * (sum(a.values()) + sum(b.values()) - shared):
+                    want.add((r.doc_id, k))
+                    break
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs, bench).collect()}
+    assert want and got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_licences(spark, none):
     rows = [(1, "Released UNDER the MIT license; under, the mit--license. cc BY-NC!"), (2, "apache license version 20"), (3, None), (4, "x Apache License, Version 2.0 under the MIT"), (5, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"), (None, "mit " * 3000)]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, labels string")).collect()}

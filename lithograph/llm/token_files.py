@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -105,8 +107,43 @@ def unpack(payload: bytes) -> np.ndarray:
 # --- encoding ------------------------------------------------------------------------------------
 
 
+#: Patterns (fixed values) of which no match holds white space: what they leave out is dropped.
+SPACELESS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
+def cuts_at_spaces(definition: str) -> bool:
+    """Whether a tokenizer's own definition shows that its tokens never cross ASCII white space, nor depend on what lies beyond.
+
+    Its normaliser may only compose characters, lower them and squeeze white space; its first split must keep nothing
+    but matches of a known pattern; and none of its added tokens may hold white space. NFC joins nothing to a space.
+    """
+    own = json.loads(definition)
+    steps = lambda part, inner: [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+    squeeze = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    normal = all(s["type"] in ("NFC", "Lowercase") or s == squeeze for s in steps(own["normalizer"], "normalizers"))
+    split = [s for s in steps(own["pre_tokenizer"], "pretokenizers")][:1]
+    dropped = bool(split) and split[0].get("behavior") == "Removed" and split[0].get("invert") and split[0].get("pattern", {}).get("Regex") in SPACELESS
+    bare = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in own["added_tokens"])
+    return bool(normal and dropped and bare and own["model"]["type"] == "BPE" and not own["truncation"] and not own["padding"])
+
+
+class TextEncoder:
+    """Ids of whole texts, encoded as such by the library: for every tokenizer."""
+
+    def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids, as little-endian uint32, of each text."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer whose tokens never cross ASCII white space: each distinct word is encoded once.
+    """The same for a tokenizer that cuts at ASCII white space (cuts_at_spaces): each distinct word is encoded once.
 
     New words of a block of texts are encoded together, with a mark between them. Words seen lately are remembered in
     two generations of bounded size.
@@ -160,9 +197,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def word_encoder(definition: str) -> WordEncoder:
+def encoder_of(definition: str) -> TextEncoder | WordEncoder:
     """One for each worker, whose memory then serves all its tasks."""
-    return WordEncoder(definition)
+    return WordEncoder(definition) if cuts_at_spaces(definition) else TextEncoder(definition)
 
 
 SCHEMA = "part int, shard int, doc_ids array<long>, lengths array<long>, payload binary"
@@ -191,7 +228,7 @@ def encode_shards(definition) -> callable:
 
         end, total = np.array([END_ID], dtype="<u4").tobytes(), 0
         for batch in batches:
-            encoder = encoder or word_encoder(definition.value)
+            encoder = encoder or encoder_of(definition.value)
             encoded = (ids for own in slices(batch.column("text").to_pylist()) for ids in encoder.encode_all(own))
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 docs.append(doc_id)
@@ -212,14 +249,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     Each shard row holds a range of documents: their ids and lengths (the index) and the payload of token blocks.
     Each text is encoded without special tokens and ends with END_ID. Null texts count as empty (one id each); null
-    doc_ids come first; rows of one doc_id stand in any order, next to each other. Other columns are ignored; an
+    doc_ids come first; rows of one doc_id stand in order of their texts. Other columns are ignored; an
     empty table gives no shards.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = texts(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return materialize(ordered.mapInArrow(encode_shards(definition), SCHEMA), "token-shards")
 
 

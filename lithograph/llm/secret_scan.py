@@ -29,17 +29,15 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[A-Z]")
 
 
 def is_digest_or_identifier(value: str) -> bool:
-    """Whether a string is a known digest, a UUID, a time, digits and marks alone, or a name made of words and numbers."""
+    """Whether a string is a known digest, a UUID, a time, digits and marks alone, or a name made of several words and numbers."""
     bare = value.strip("=-_/+")
     if len(bare) in DIGEST_CHARS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", bare):
         return True
     if UUID.fullmatch(bare) or TIME.fullmatch(bare):
         return True
-    classes = [any(map(f, bare)) for f in (str.islower, str.isupper, str.isdigit)]
-    if sum(classes) < 2:
-        return True  # one class of characters alone: a word, a constant or a number
     parts = PART.findall(bare)
-    return sum(len(p) for p in parts if len(p) >= 3) >= 0.85 * max(1, sum(map(len, parts)))
+    words = [p for p in parts if len(p) >= 3]
+    return len(words) >= 2 and sum(map(len, words)) >= 0.85 * sum(map(len, parts))
 
 
 def random_strings(text: str, encoder) -> list[tuple[int, int]]:

@@ -15,8 +15,8 @@ from lithograph.llm.common import fold, table
 BITS = 22  #: log2 of the number of hashed features
 SIZES = (5, 8)  #: characters of an n-gram, the spaces around words among them
 CHUNK = 1 << 14  #: features in a row of partial counts
-FIT_TOXIC, FIT_CLEAN = 6000, 12000  #: expected bounds of the sample that the linear model is fitted on
-MIN_RATIO = 2.0  #: features whose log-count ratio is nearer to 0 are left out
+FIT_TOXIC, FIT_CLEAN = 5_000_000, 10_000_000  #: expected characters of the sample that the linear model is fitted on, at most
+MIN_RATIO = 1.0  #: features whose log-count ratio is nearer to 0 are left out
 MIN_DOCS = 5  #: and those that fewer labelled documents have
 THRESHOLD = 0.3
 STEPS, RATE, PENALTY = 150, 0.05, 3e-3
@@ -42,11 +42,12 @@ def ngrams(text: str | None) -> np.ndarray:
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, docs = np.zeros((2, 1 << BITS), dtype=np.int32), [0, 0]
+    counts, docs = np.zeros((2, 1 << BITS), dtype=np.int32), [0, 0, 0, 0]
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic, np.unique(ngrams(text))] += 1
             docs[toxic] += 1
+            docs[2 + toxic] += len(text)
     if not sum(docs):
         return
     for chunk in range((1 << BITS) // CHUNK):
@@ -76,16 +77,17 @@ def _add_counts(own: pa.Table) -> pa.Table:
 
 
 def log_count_ratios(labelled: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Ratio of each feature over all labelled rows (text, toxic 0/1), and the number of rows of either class.
+    """Ratio of each feature over all labelled rows (text, toxic 0/1), and the characters of either class.
 
     Each task counts the rows that have a feature; the counts, of bounded size, are added up by chunk of features.
     """
     schema = "chunk int, at binary, counts binary"
     summed = labelled.mapInArrow(_partial_counts, schema).groupBy("chunk").applyInArrow(_add_counts, schema)
-    ratio, docs, found = np.zeros(1 << BITS, dtype=np.float32), [0, 0], []
+    ratio, docs, chars, found = np.zeros(1 << BITS, dtype=np.float32), [0, 0], [0, 0], []
     for row in summed.collect():  # at most 257 rows, of at most 300 KB
         if row["chunk"] < 0:
-            docs = np.frombuffer(row["counts"], "<i8").tolist()
+            total = np.frombuffer(row["counts"], "<i8").tolist()
+            docs, chars = total[:2], total[2:]
         else:
             found.append((row["chunk"] * CHUNK + np.frombuffer(row["at"], "<u2").astype(np.int64), np.frombuffer(row["counts"], "<i8").reshape(2, -1)))
     for at, counts in found:
@@ -93,7 +95,7 @@ def log_count_ratios(labelled: DataFrame) -> tuple[np.ndarray, list[int]]:
         own = np.log(rate[1] / rate[0])
         own[np.abs(own) < MIN_RATIO] = 0
         ratio[at] = own
-    return ratio, docs
+    return ratio, chars
 
 
 def _margins(weights: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -152,8 +154,8 @@ def present(text: str | None, used: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled documents outside the held-out fold.
 
-    Ratios are taken over all of them, coefficients over a sample bounded by FIT_TOXIC and FIT_CLEAN, drawn by hash
-    of the id and weighted back to the true rates. Null or other labels are ignored, null texts count as empty; a
+    Ratios are taken over all of them, coefficients over a sample that FIT_TOXIC and FIT_CLEAN bound by its
+    characters, and so by its bytes, drawn by hash of the id and weighted back to the true rates. Null or other labels are ignored, null texts count as empty; a
     document with several labels counts once for each. Without labels every score is 0.5.
     """
     spark = docs.sparkSession
@@ -162,9 +164,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     small = known.count() <= BROADCAST_LABELS
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     labelled = whole.join(F.broadcast(known) if small else known, "doc_id").select("text", "toxic")
-    ratio, counts = log_count_ratios(labelled)
+    ratio, chars = log_count_ratios(labelled)
     used = ratio != 0
-    rates = [min(1.0, bound / max(n, 1)) for bound, n in zip((FIT_CLEAN, FIT_TOXIC), counts, strict=True)]
+    rates = [min(1.0, bound / max(n, 1)) for bound, n in zip((FIT_CLEAN, FIT_TOXIC), chars, strict=True)]
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]) * float(1 << 30)
     sample = whole.join(F.broadcast(known.filter(drawn)), "doc_id").select("text", "toxic")  # its size is bounded
     mask = spark.sparkContext.broadcast(np.packbits(used))

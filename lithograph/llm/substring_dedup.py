@@ -341,7 +341,7 @@ def repeated_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(partitions, -(-chars // BLOCK_CHARS))
-    limit = max(10_000, chars // (10 * HOT_SHARE * partitions))
+    limit = max(1_000, chars // (10 * HOT_SHARE * partitions))
     spread = F.when(F.col("id") == NO_ID, F.xxhash64("text")).otherwise(F.xxhash64("id"))
     dealt = own.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")).repartition(blocks, "block")
 

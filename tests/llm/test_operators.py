@@ -342,6 +342,43 @@ def test_licences(spark, none):
     assert all(0 <= r.score <= 1 for r in got.values()) and license_scan.scan(none).count() == 0
 
 
+NOTICES = {label: (words, must) for label, words, must, _ in license_scan.templates()[:7]}
+
+
+def test_licence_notices_that_were_changed(spark):
+    """Whole, changed and mixed-up notices in prose; look-alikes are told apart by their mandatory phrases."""
+    mit, gpl, bsd3 = (list(NOTICES[k][0]) for k in ("mit", "gpl-3", "bsd-3"))
+    bsd2 = next(w for k, w, *_ in license_scan.templates() if k == "bsd-2")
+    changed = [w if i not in (20, 33) else "altered" for i, w in enumerate(mit)]
+    changed.insert(40, "newly")
+    without = " ".join(mit).replace("free of charge", "at a price").split()
+    rng = np.random.default_rng(1)
+    rows = [
+        (1, mit, "mit"), (2, changed, "mit"), (3, without, ""), (4, gpl, "gpl-3"), (5, " ".join(gpl).replace("version 3", "version 2").split(), "gpl-2"), (6, bsd3, "bsd-3"), (7, bsd2, "bsd-2"),
+        (8, list(rng.permutation(mit)), ""), (9, mit[:12], ""), (10, "licensed under creative commons attribution sharealike 4 0".split(), "cc-by-sa"), (11, "licensed under creative commons attribution 4 0".split(), "cc-by"),
+        (12, "GNU General Public License as published by the Free Software Foundation either version 3".split(), None), (13, (mit + prose(8, 60).split() + gpl) * 20, "gpl-3,mit"), (14, ["copy"] * 5000, ""),
+    ]
+    texts = [(i, f"{prose(i, 30)}. {', '.join(w).title()}; {prose(50 + i, 30)}") for i, w, _ in rows]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {i: got[i].labels for i, _, want in rows if want is not None} == {i: want for i, _, want in rows if want is not None}
+    assert got[12].labels in ("", "gpl-3") and all(0 <= r.score <= 1 for r in got.values()) and max(r.score for r in got.values()) > 0.9
+
+
+def plain_licences(text):
+    """The base columns, by looking at every place."""
+    words = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    at = [(i, label) for phrase, label in license_scan.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_licences_of_a_whole_table_match_brute_force(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    want = {r.doc_id: plain_licences(r.text) for r in docs.collect()}
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert {i: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for i, r in got.items()} == want
+    assert sum(w[1] for w in want.values()) > 3 and all(set(w[4].split(",")) - {""} <= set(got[i].labels.split(",")) for i, w in want.items())
+
+
 def test_secrets(spark, none):
     def plain(text):
         out = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import Words, block, materialize, mix64, powered, ranges_hash, release, slices, spread_join, spread_keys, sums, table, unused
+from lithograph.llm.common import Words, block, materialize, mix64, powered, ranges_hash, release, slices, small_batches, spread_join, spread_keys, sums, table, unused
 
 SHINGLE = 5  #: words of a shingle
 SIMILARITY = 0.8
@@ -120,12 +120,12 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 @lru_cache(maxsize=1)
 def _draws() -> list[tuple]:
-    """For each hash function: its multiplier, and r, 1/r, beta and ln c by the upper bits of the multiplied hash."""
+    """For each hash function: its multiplier, and r, beta and ln c by the upper bits of the multiplied hash."""
     rng = np.random.Generator(np.random.PCG64(20240601))
     size, out = 1 << TABLE_BITS, []
     for _ in range(BANDS * ROWS):
         r = rng.gamma(2.0, 1.0, size).astype(np.float32)
-        out.append((np.uint64(int(rng.integers(1 << 63)) * 2 + 1), r, 1 / r, rng.random(size).astype(np.float32), np.log(rng.gamma(2.0, 1.0, size)).astype(np.float32)))
+        out.append((np.uint64(int(rng.integers(1 << 63)) * 2 + 1), r, rng.random(size).astype(np.float32), np.log(rng.gamma(2.0, 1.0, size)).astype(np.float32)))
     return out
 
 
@@ -141,11 +141,12 @@ def bands(shingles: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> np.nda
     out = np.empty((len(starts), BANDS), dtype=np.uint64)
     for band in range(BANDS):
         joint = np.full(len(starts), band + 1, dtype=np.uint64)
-        for multiplier, r, inverse, beta, log_c in _draws()[band * ROWS : (band + 1) * ROWS]:
+        for multiplier, r_, beta, log_c in _draws()[band * ROWS : (band + 1) * ROWS]:
             at = ((shingles * multiplier) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
             shift = beta[at]
-            t = np.floor(log_weight * inverse[at] + shift)
-            log_a = log_c[at] - r[at] * (t - shift + 1)
+            r = r_[at]
+            t = np.floor(log_weight / r + shift)
+            log_a = log_c[at] - r * (t - shift + 1)
             least = np.minimum.reduceat(log_a, starts)
             hits = np.flatnonzero(log_a == np.repeat(least, own))
             first = hits[np.searchsorted(hits, starts)]
@@ -188,7 +189,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Dat
     """The pairs (a, b: keys) with their exact weighted Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(maxsize=64)
+        @lru_cache(maxsize=16)
         def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
             return weighted_shingles([text], idf.value)[:2]
 
@@ -295,6 +296,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     is null. Rows of one doc_id with different texts are classed by their texts. Other columns are ignored; an empty
     table gives an empty result.
     """
+    with small_batches(docs.sparkSession):  # all that runs Python ends in here
+        return _near_classes(docs, similarity)
+
+
+def _near_classes(docs: DataFrame, similarity: float) -> DataFrame:
     spark = docs.sparkSession
     keyed = _keyed(docs)
     idf = spark.sparkContext.broadcast(inverse_frequencies(*word_frequencies(keyed)))  # of fixed size

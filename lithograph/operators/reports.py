@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+STRETCH = 1000  #: turns of a conversation that one task orders
+
+
 def linked_counts(left: DataFrame, links: DataFrame, on: str, link_id: str, wanted, linked: DataFrame, linked_id: str, linked_wanted, minimum: int = 1) -> DataFrame:
     """left's columns and the number of distinct linked rows, `minimum` at least.
 
@@ -18,10 +21,19 @@ def linked_counts(left: DataFrame, links: DataFrame, on: str, link_id: str, want
 
 
 def previous_user_turn(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, question): for each assistant turn the user's last text before it."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    """(conv_id, turn, question): for each assistant turn the user's last text before it.
+
+    A conversation is cut into stretches of STRETCH turns, so that no task holds a long one; what a stretch does not
+    find it takes from the last stretch before it that has a user's text.
+    """
+    parts = rows.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    before = Window.partitionBy("conv_id", "stretch").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     asked = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before)
-    return rows.withColumn("question", asked).filter("role = 'assistant'").select("conv_id", "turn", "question")
+    own = parts.withColumn("asked", asked).filter("role = 'assistant'").select("conv_id", "turn", "stretch", "asked")
+    ends = parts.groupBy("conv_id", "stretch").agg(F.max_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("last"))
+    earlier = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("conv_id", "stretch", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    return own.join(carried, ["conv_id", "stretch"]).select("conv_id", "turn", F.coalesce("asked", "carried").alias("question"))
 
 
 def ordered_distinct(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:

@@ -549,3 +549,69 @@ def test_helpers():
     h = words.hashes()
     assert words.bounds.tolist() == [0, 3, 3, 3, 5] and h[0] == h[2] == h[4] and h[1] == h[3] != h[0]
     assert list(common.slices(["ab", "c", "d"], 2)) == [["ab"], ["c", "d"]]
+
+
+def test_toxicity_scores_match_a_plain_model(spark):
+    """Ratios, and scores of whole texts, against a plain computation over the same labelled rows; very long, empty and null texts among them."""
+    rows = [(i, prose(3000 + i, 30) + (" utterblockhead nonsense" if i % 3 == 0 else "")) for i in range(150)] + [(500, None), (501, ""), (502, "word " * 60_000), (503, "utterblockhead " * 20_000), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(150)]
+    learnt = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = dict(rows)
+    counts, docs_of = [Counter(), Counter()], [0, 0]
+    for i, y in learnt:
+        counts[y].update(set(toxicity.ngrams(texts[i]).tolist()))
+        docs_of[y] += 1
+    ratio = {}
+    for f in counts[0].keys() | counts[1].keys():
+        if counts[0][f] + counts[1][f] >= toxicity.MIN_DOCS:
+            r = np.log((counts[1][f] + 0.5) / (docs_of[1] + 1)) - np.log((counts[0][f] + 0.5) / (docs_of[0] + 1))
+            if abs(r) >= toxicity.MIN_RATIO:
+                ratio[f] = r
+    got, chars = toxicity.log_count_ratios(spark.createDataFrame([(texts[i], y) for i, y in learnt], "text string, toxic int"))
+    assert {f: round(float(got[f]), 4) for f in np.flatnonzero(got).tolist()} == {f: round(r, 4) for f, r in ratio.items()}
+    assert chars == [sum(len(texts[i]) for i, y in learnt if y == k) for k in (0, 1)]
+    for r in toxicity.score_texts(docs, model).collect():
+        own = {f for f in toxicity.ngrams(texts[r.doc_id]).tolist() if model.used[f]}
+        z = sum(float(model.weights[f]) for f in own) / max(len(own), 1) ** 0.5 + model.bias
+        assert abs(r.score - 1 / (1 + np.exp(-max(min(z, 40), -40)))) < 1e-6
+
+
+def test_added_secrets_match_a_plain_search(spark):
+    """The method's own spans, by trying every maximal run of the alphabet; random strings of one class of letters among them."""
+    rng = np.random.default_rng(6)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    lower, base32 = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    keys = [draw(lower, 40), draw(base32, 32), draw(lower + lower.upper() + "0123456789", 40)]
+    texts = [f"{prose(1, 9)} {k} {prose(2, 9)}" for k in keys] + ["internationalization_of_settings rechtsschutzversicherungsgesellschaften 20240131_101112-000000 " + "d41d8cd98f00b204e9800998ecf8427e", "x" * 100_000, None]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        encoder = secret_scan.tiktoken_encoder(f.read(), public_tokenizers.PATTERN)
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t or ""):
+            dense = len(m[0]) / len(encoder.encode_ordinary(m[0])) <= 2.0
+            if len(m[0]) >= 20 and dense and not secret_scan.is_digest_or_identifier(m[0]):
+                want.append(f"random:{m.start()}:{m.end()}")
+        assert [s for s in got[i].split(",") if s.startswith("random")] == want
+    assert all("random" in got[i] for i in range(3)) and "random" not in got[3]
+
+
+def test_token_ids_of_a_whole_table_are_those_of_whole_texts(spark):
+    """Words encoded alone give what the library gives for the whole texts; a tokenizer that keeps spaces is not cut at them."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        definition = f.read()
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        other = f.read()
+    assert token_files.cuts_at_spaces(definition) and not token_files.cuts_at_spaces(other)
+    texts = [r.text or "" for r in common.table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    texts += ["A\\u0301 e\\u0301\\u0301 \\u0301x", "a\\u00a0b\\u2003c", "it's 'tis don''t", "<|endoftext|> <|startoftext|>x", "\\x00 \\x00a", " \\t\\n"]
+    whole = Tokenizer.from_str(definition)
+    assert token_files.WordEncoder(definition).encode_all(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    spaced = Tokenizer.from_str(other)
+    assert token_files.encoder_of(other).encode_all(texts[:50]) == [np.array(spaced.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:50]]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lithograph.functions import text as T
 from lithograph.operators import answers, chunking, dedup, embedding, extraction, index, ingest, metadata, reports, review, search
 from lithograph.sources.files import table
-from lithograph.sources.shared import new_path
+from lithograph.sources.shared import new_path, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,11 @@ def query(sql: str | None = None):
     return register
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents for costly work in the row."""
+    return spread(table(spark, d, "documents"))
+
+
 # --- scans, hashes, types ------------------------------------------------------------------------
 
 
@@ -104,7 +109,7 @@ def dup_pairs_named(spark, d):
 
 @query(f"SELECT doc_id, {_NORM} AS normalized FROM documents")
 def normalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+    return _texts(spark, d).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
 
 
 _CLASSES = f"""{_SHINGLES},
@@ -118,29 +123,29 @@ p AS (SELECT a, b, shared, x.n AS na, y.n AS nb FROM o JOIN c x ON x.doc_id = a
 
 @query(f"WITH {_SHINGLES} SELECT doc_id, n AS shingles FROM c")
 def shingle_counts(spark, d):
-    return dedup.shingle_sets(table(spark, d, "documents")).select("doc_id", F.col("n").cast("long").alias("shingles"))
+    return dedup.shingle_sets(_texts(spark, d)).select("doc_id", F.col("n").cast("long").alias("shingles"))
 
 
 @query(f"WITH {_CLASSES} SELECT doc_id, class_id FROM k")
 def shingle_classes(spark, d):
-    return dedup.shingle_classes(table(spark, d, "documents"))
+    return dedup.shingle_classes(_texts(spark, d))
 
 
 @query(f"WITH {_FIRST_PAIRS} SELECT a, b, round(shared / least(na, nb), 6) AS containment FROM p WHERE shared >= 0.55 * least(na, nb)")
 def containment_pairs(spark, d):
-    return dedup.containment_pairs(table(spark, d, "documents"))
+    return dedup.containment_pairs(_texts(spark, d))
 
 
 @query(f"WITH {_FIRST_PAIRS} SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.55")
 def jaccard_pairs(spark, d):
-    return dedup.jaccard_pairs(table(spark, d, "documents"))
+    return dedup.jaccard_pairs(_texts(spark, d))
 
 
 @query(f"""WITH {_PAIRS}, q AS (SELECT a, b, round(shared / least(na, nb), 6) AS containment FROM p WHERE shared >= 0.55 * least(na, nb)),
 r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY containment DESC, a) AS place FROM q)
 SELECT b AS dup_id, a AS kept_id, containment FROM r WHERE place = 1""")
 def near_duplicates(spark, d):
-    return dedup.near_duplicates(table(spark, d, "documents"))
+    return dedup.near_duplicates(_texts(spark, d))
 
 
 _TOP3 = f"""{_SHINGLES},
@@ -155,12 +160,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY containment DES
 
 @query(f"WITH {_TOP3} SELECT item_id, doc_id, containment, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3")
 def near_dup_top3(spark, d):
-    return dedup.best_matches(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents"))
+    return dedup.best_matches(table(spark, d, "benchmark").select("item_id", "text"), _texts(spark, d))
 
 
 @query(f"WITH {_TOP3} SELECT item_id, doc_id, containment FROM r WHERE place <= 3 ORDER BY containment DESC, item_id, doc_id LIMIT 10")
 def calibration_top10(spark, d):
-    return dedup.calibration(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents"))
+    return dedup.calibration(table(spark, d, "benchmark").select("item_id", "text"), _texts(spark, d))
 
 
 # --- search --------------------------------------------------------------------------------------
@@ -192,7 +197,7 @@ def _index(spark, d, stemmed: bool = False) -> index.Index:
     """The stored index of the documents: built by the first query of a session that needs it."""
     key = (spark.sparkContext.applicationId, d, stemmed)
     if key not in _INDEXES:
-        _INDEXES[key] = index.build_index(table(spark, d, "documents").select("doc_id", "text"), new_path(spark, "index"), stemmed)
+        _INDEXES[key] = index.build_index(_texts(spark, d).select("doc_id", "text"), new_path(spark, "index"), stemmed)
     return _INDEXES[key]
 
 
@@ -223,7 +228,7 @@ def bm25_topk(spark, d):
 @query(f"WITH {_bm25_sql('x')} SELECT * FROM x")
 def bm25_scan(spark, d):
     """The same without an index, for texts that are searched once."""
-    return search.bm25(table(spark, d, "documents"), TERMS)
+    return search.bm25(_texts(spark, d), TERMS)
 
 
 _PHRASE_SQL = f"""
@@ -358,7 +363,7 @@ def hybrid_superseded(spark, d):
 
 @query()
 def embed_documents(spark, d):
-    return embedding.embed(table(spark, d, "documents"), "doc_id")
+    return embedding.embed(_texts(spark, d), "doc_id")
 
 
 # --- chunks --------------------------------------------------------------------------------------
@@ -370,12 +375,12 @@ l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM l0)"
 @query(rf"""WITH {_LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN regexp_matches(line, '(?i)^(WARNING|CAUTION|DANGER|NOTICE|IMPORTANT|LOCKOUT[/ ]TAGOUT)\b') THEN 'warning'
 WHEN regexp_matches(line, '^\d{{1,2}}[\.\)]\s+\S') THEN 'procedure' ELSE 'text' END AS kind FROM l""")
 def line_classify(spark, d):
-    return chunking.lines(table(spark, d, "documents")).select("doc_id", "pos", chunking.line_type(F.col("line")).alias("kind"))
+    return chunking.lines(_texts(spark, d)).select("doc_id", "pos", chunking.line_type(F.col("line")).alias("kind"))
 
 
 @query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b[A-Z]{{1,3}}-?\d{{1,3}}\b')) AS INTEGER) AS codes FROM documents")
 def code_token_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(rf"({T.ERROR_CODE_TOKEN})"), 1)).alias("codes"))
+    return _texts(spark, d).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(rf"({T.ERROR_CODE_TOKEN})"), 1)).alias("codes"))
 
 
 @query(rf"""WITH RECURSIVE {_LINES},
@@ -388,7 +393,7 @@ g AS (SELECT doc_id, chunk, content, sum(CASE WHEN chunk = 0 OR length(content)
 m AS (SELECT doc_id, grp, string_agg(content, chr(10) ORDER BY chunk) AS content FROM g GROUP BY 1, 2)
 SELECT doc_id, CAST(grp - 1 AS INTEGER) AS ordinal, CAST(length(content) AS INTEGER) AS char_count, sha256(content) AS content_hash FROM m""")
 def chunk_documents(spark, d):
-    chunks = chunking.chunk_documents(chunking.plain_pages(table(spark, d, "documents")))
+    chunks = chunking.chunk_documents(chunking.plain_pages(_texts(spark, d)))
     return chunks.select("doc_id", "ordinal", "char_count", F.sha2("content", 256).alias("content_hash"))
 
 
@@ -396,7 +401,7 @@ def chunk_documents(spark, d):
 g AS (SELECT doc_id, pos, line, sum(CASE WHEN pos = 0 OR length(line) >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM l)
 SELECT doc_id, CAST(grp AS BIGINT) AS "group", 'text' AS type, string_agg(line, chr(10) ORDER BY pos) AS content FROM g GROUP BY doc_id, grp""")
 def merge_small_chunks(spark, d):
-    rows = chunking.lines(table(spark, d, "documents"))
+    rows = chunking.lines(_texts(spark, d))
     return chunking.merge_small(rows.select("doc_id", "pos", chunking.line_type(F.col("line")).alias("type"), F.col("line").alias("content")))
 
 
@@ -413,12 +418,12 @@ _CODES = r"list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A
 
 @query(f"SELECT doc_id, array_to_string(list_sort({_CODES}), ' ') AS codes FROM documents")
 def code_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(T.code_tokens(F.col("text"))), " ").alias("codes"))
+    return _texts(spark, d).select("doc_id", F.array_join(F.array_sort(T.code_tokens(F.col("text"))), " ").alias("codes"))
 
 
 @query(f"SELECT min(doc_id) AS doc_id FROM documents WHERE list_contains({_CODES}, '233')")
 def code_rescue(spark, d):
-    rows = table(spark, d, "documents").filter(F.arrays_overlap(T.code_tokens(F.lit(QUESTION)), T.code_tokens(F.col("text"))))
+    rows = _texts(spark, d).filter(F.arrays_overlap(T.code_tokens(F.lit(QUESTION)), T.code_tokens(F.col("text"))))
     return rows.agg(F.min("doc_id").alias("doc_id"))
 
 
@@ -427,7 +432,7 @@ WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS c FROM d
 b AS (SELECT *, CASE WHEN strpos(reverse(h), chr(10)) > 0 THEN length(h) - strpos(reverse(h), chr(10)) ELSE -1 END AS x, CASE WHEN strpos(reverse(h), ' .') > 0 THEN length(h) - strpos(reverse(h), ' .') - 1 ELSE -1 END AS y FROM h)
 SELECT doc_id, CASE WHEN length(c) <= 500 THEN c ELSE regexp_replace(CASE WHEN greatest(x, y) > 250 THEN left(h, greatest(x, y) + 1) ELSE h END, '\s+$', '') || ' …' END AS excerpt FROM b""")
 def excerpts(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.excerpt(F.col("text"), 500).alias("excerpt"))
+    return _texts(spark, d).select("doc_id", T.excerpt(F.col("text"), 500).alias("excerpt"))
 
 
 @query(r"""
@@ -437,7 +442,7 @@ m AS (SELECT DISTINCT doc_id, CASE WHEN c = '' OR NOT regexp_matches(c, '\d') TH
   WHEN regexp_matches(c, '^[A-Za-z]{0,4}-?\d[\dA-Za-z-]*$') AND regexp_matches(c, '[A-Za-z]') THEN upper(c) WHEN length(regexp_replace(c, '[^\d]', '', 'g')) >= 2 THEN upper(c) END AS token FROM u)
 SELECT doc_id, string_agg(token, ' ' ORDER BY token) AS tokens FROM m WHERE token IS NOT NULL GROUP BY doc_id""")
 def material_tokens(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("text").rlike(r"\d")).select("doc_id", T.material_tokens(F.col("text")).alias("m"))
+    rows = _texts(spark, d).filter(F.col("text").rlike(r"\d")).select("doc_id", T.material_tokens(F.col("text")).alias("m"))
     return rows.filter(F.size("m") > 0).select("doc_id", F.array_join(F.array_sort("m"), " ").alias("tokens"))
 
 
@@ -445,7 +450,7 @@ def material_tokens(spark, d):
 WITH n AS (SELECT doc_id, upper(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents), b AS (SELECT item_id, upper(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS i FROM benchmark)
 SELECT item_id, doc_id FROM n JOIN b ON contains(t, i)""")
 def claim_support(spark, d):
-    return answers.supporting_documents(table(spark, d, "benchmark"), table(spark, d, "documents"))
+    return answers.supporting_documents(table(spark, d, "benchmark"), _texts(spark, d))
 
 
 @query("SELECT source, bool_or(quality = 0) AND count(DISTINCT doc_id) >= 2 AS conflict FROM documents JOIN labels USING (doc_id) GROUP BY source")

@@ -307,14 +307,17 @@ def _near_classes(docs: DataFrame, similarity: float) -> DataFrame:
     signed = materialize(_signatures(keyed, idf), "near-signatures")
     nodes = materialize(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands", ignorenulls=True).alias("bands")), "near-nodes")
     member = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    sizes = member.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = materialize(member.join(sizes, ["band", "bucket"]), "near-met")
+    # A bucket's hash has its band in it, and so names it alone.
+    sizes = materialize(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-sizes")
+    limit = max(200, (sizes.agg(F.sum("size")).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = [(r["bucket"], -(-r["size"] // limit)) for r in sizes.filter(F.col("size") > limit).collect()]  # bounded by the number of partitions
+    met = materialize(spread_join(member, sizes, "bucket", "key", hot), "near-met")
     # Of many edited copies of one text that text meets most others, and so makes the best leader.
     central = met.groupBy("key").agg(F.sum("size").alias("met"))
     ranked = met.join(central, "key").withColumn("order", F.struct("met", F.xxhash64("key", "bucket").alias("hash"), "key"))
-    leaders = ranked.groupBy("band", "bucket").agg(F.max("order").alias("low"), F.max_by("order", F.col("order.hash")).alias("high"))
-    active = materialize(met.join(leaders, ["band", "bucket"]), "near-buckets")
-    release(met)
+    leaders = ranked.groupBy("bucket").agg(F.max("order").alias("low"), F.max_by("order", F.col("order.hash")).alias("high"))
+    active = materialize(spread_join(met, leaders, "bucket", "key", hot), "near-buckets")
+    release(sizes, met)
     crowd = active.select("key").distinct().join(nodes, "key").select("key", "id")
     texts = materialize(keyed.join(crowd, ["key", "id"]).dropDuplicates(["key"]).select("key", "text"), "near-texts")
     stars = active.select(F.col("low.key").alias("a"), F.col("key").alias("b")).union(active.select(F.col("high.key").alias("a"), F.col("key").alias("b")))

@@ -1,4 +1,9 @@
-"""A corpus pipeline: toxicity, exact copies, near copies, benchmark passages, and token ids of what is left."""
+"""A corpus pipeline: toxicity, exact copies, near copies, benchmark passages, and token ids of what is left.
+
+Every stage takes all rows that its predecessor kept, with whatever columns they have, and all but the last return
+these columns with the values they had. Null texts count as empty, null ids as the smallest; an empty table, of
+documents, labels or items, goes through and gives an empty result or drops nothing.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +20,27 @@ from lithograph.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier, fitted on labelled ones among docs, rejects."""
+    """Drops the documents that the classifier, fitted on labelled ones among docs, rejects; without labels none. Rows of one id are judged each by its text."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the document with the smallest id."""
+    """Keeps of equal texts, white space aside, the document with the smallest id; of rows that repeat both, one."""
     return drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each class of near-duplicates."""
+    """Keeps one document, that with the smallest id, of each class of near-duplicates; of several texts with that id, one."""
     return drop_near_copies(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of the benchmark."""
+    """Drops the documents that hold a passage of the benchmark; rows of one id go together. Items without words are in nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, decoded again and compared."""
+    """Token ids of each document, decoded again and compared: a row for each row, in any order."""
     import public_tokenizers
 
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))

@@ -156,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Ratios are taken over all of them, coefficients over a sample that FIT_TOXIC and FIT_CLEAN bound by its
     characters, and so by its bytes, drawn by hash of the id and weighted back to the true rates. Null or other labels are ignored, null texts count as empty; a
-    document with several labels counts once for each. Without labels every score is 0.5.
+    document with several labels counts once for each. Without labels nothing is known to be toxic: every score is
+    next to 0.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -179,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     rows = sample.mapInArrow(features, "toxic int, at binary").collect()  # bounded by FIT_TOXIC and FIT_CLEAN
     if not rows:
-        return Model(used, ratio, 0.0)
+        return Model(np.zeros(1 << BITS, dtype=bool), np.zeros(1 << BITS, dtype=np.float32), -40.0)
     toxic = np.array([r["toxic"] for r in rows], dtype=np.float64)
     weights, bias = fit_linear([np.frombuffer(r["at"], "<i4").astype(np.int64) for r in rows], toxic, 1.0 / np.where(toxic == 1, rates[1], rates[0]), ratio)
     return Model(weights != 0, weights, bias)

@@ -35,20 +35,23 @@ def _content_sort(docs: DataFrame, n: int, carry: bool) -> DataFrame:
         parts = F.create_map(*[F.lit(x) for r in hot for x in (r["hash"], -(-r["rows"] // limit))])[F.col("hash")]
         spread = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("id"))
         part = F.when(parts.isNull(), part).otherwise(1 + F.pmod(spread, parts))
-    dealt = rows.withColumn("part", part).repartitionByRange(n, "head", "hash", "part")
+    # A constant part would stay among the range's keys and go from the windows': these would then not agree, and cost a shuffle.
+    keys = ["head", "hash", "part"] if hot else ["head", "hash"]
+    dealt = rows.withColumn("part", part).repartitionByRange(n, *keys)
     if carry:
         dealt = dealt.withColumn("norm", _normalised(F.col("row.text")))
 
     # Neighbours in content order are compared in full: a run ends where the text does.
-    order = Window.partitionBy("head", "hash", "part").orderBy("norm", F.col("id").asc_nulls_first())
+    order = Window.partitionBy(*keys).orderBy("norm", F.col("id").asc_nulls_first())
     ends = dealt.withColumn("ends", F.coalesce(F.col("norm") != F.lag("norm").over(order), F.lit(False)).cast("long"))
     runs = ends.withColumn("run", F.sum("ends").over(order))
-    inside = Window.partitionBy(*RUN).orderBy("norm", F.col("id").asc_nulls_first())
+    run = [*keys, "run"]
+    inside = Window.partitionBy(*run).orderBy("norm", F.col("id").asc_nulls_first())
     runs = runs.select(
         "id", *(["row"] if carry else []), *RUN, F.sha2("norm", 256).alias("digest"),
         F.row_number().over(inside).alias("place"),
         F.first("id").over(inside).alias("keep_id"),
-        F.count(F.lit(1)).over(Window.partitionBy(*RUN)).alias("group_size"),
+        F.count(F.lit(1)).over(Window.partitionBy(*run)).alias("group_size"),
         "norm",
     )
     whole = runs.withColumn("kept", F.col("place") == 1)

@@ -234,13 +234,13 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _between(active: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """Links (a, b) between different components that meet in a bucket, found exactly.
 
-    In a bucket of more than three (smaller ones are compared in full already), every member outside the largest
+    In a bucket of more than two (one link is all that a pair has), every member outside the largest
     component asks for its links to members of other components. Askers and members are dealt into blocks of about
     CROWD, and each block of askers meets each block of members of its bucket: a group has about twice CROWD texts,
     however large the bucket is. In a group one look-up in the members' sorted shingles gives the weight that an asker
     shares with each of them; only links come out.
     """
-    rows = active.filter("size > 3").select("band", "bucket", "key").join(roots, "key", "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("root"))
+    rows = active.filter("size > 2").select("band", "bucket", "key").join(roots, "key", "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("root"))
     rows = materialize(rows, "near-crowd")
     shares = rows.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     blocks = lambda n: F.ceil(n / CROWD).cast("int")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lithograph.functions import text as T
 from lithograph.operators import answers, chunking, dedup, embedding, extraction, index, ingest, metadata, reports, review, search
-from lithograph.sources.files import table
+from lithograph.sources.files import state, table
 from lithograph.sources.shared import new_path, spread
 
 QUERIES: dict = {}
@@ -194,8 +194,8 @@ _INDEXES: dict[tuple, index.Index] = {}
 
 
 def _index(spark, d, stemmed: bool = False) -> index.Index:
-    """The stored index of the documents: built by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, d, stemmed)
+    """The stored index of the documents as they are: built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, state(spark, f"{d}/documents.parquet"), stemmed)
     if key not in _INDEXES:
         _INDEXES[key] = index.build_index(_texts(spark, d).select("doc_id", "text"), new_path(spark, "index"), stemmed)
     return _INDEXES[key]

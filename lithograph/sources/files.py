@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(spark: SparkSession, path: str) -> str:
+    """A text that changes when files below the path come, go or are written anew."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, listed = [], own.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(own, True)
+    while listed.hasNext():
+        s = listed.next()
+        found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 def folder(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(source_ref, filename, byte_size, modified, sha256, file_type, note, content) of all files under root.
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lithograph.plans import catalogue
+from lithograph.plans import catalogue, stored
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -29,9 +29,12 @@ def rows(columns, data):
     return sorted(tuple(canonical(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+QUERIES, ORACLES = catalogue.QUERIES | stored.QUERIES, catalogue.ORACLES | stored.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
-    want = duck.sql(catalogue.ORACLES[name])
+    df = QUERIES[name](spark, SF)
+    want = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())

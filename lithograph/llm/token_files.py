@@ -161,7 +161,7 @@ class WordEncoder:
         self.mark = self._ids(self.MARK)
 
     def _ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<u4")  # without offsets
 
     def _encode_words(self, words: list[bytes]) -> None:
         plain = [w for w in words if self.MARK not in w]

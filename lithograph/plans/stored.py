@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lithograph.operators import duplicate_index, segments
+from lithograph.operators import duplicate_index, mentions, patterns, segments
 from lithograph.plans import catalogue
 from lithograph.sources.files import state, table
 from lithograph.sources.shared import new_path
@@ -86,3 +86,39 @@ def segmented_topk(spark, d):
 @query(catalogue.ORACLES["postings"])
 def segmented_terms(spark, d):
     return segments.term_statistics(spark, _segmented(spark, d))
+
+
+# --- many patterns, names that are nearly said ---------------------------------------------------
+
+
+@query(r"""
+WITH c AS (SELECT 'M' || n_regionkey AS manufacturer, n_name AS model_name, '(^|[^A-Za-z0-9_])' || lower(left(n_name, 3)) || '[a-z]|' || lower(right(n_name, 3)) || '([^A-Za-z0-9_]|$)' AS pattern FROM nation),
+d AS (SELECT doc_id, source AS filename, lower(coalesce(text, '')) AS body FROM documents)
+SELECT doc_id, model_name FROM d JOIN c ON regexp_matches(body, pattern)""")
+def model_hits(spark, d):
+    """Models of a catalogue of patterns in all texts: one automaton finds where a pattern may match."""
+    nation = table(spark, d, "nation")
+    before, after = "(^|[^A-Za-z0-9_])", "([^A-Za-z0-9_]|$)"
+    pattern = F.concat(F.lit(before), F.lower(F.substring("n_name", 1, 3)), F.lit("[a-z]|"), F.lower(F.expr("right(n_name, 3)")), F.lit(after))
+    models = nation.select(F.col("n_name").alias("model_name"), pattern.alias("pattern"))
+    docs = catalogue._texts(spark, d).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("body"))
+    return patterns.with_candidates(docs, ["body"], models, "pattern").filter(F.regexp_like("body", F.col("pattern"))).select("doc_id", "model_name")
+
+
+@query()
+def fuzzy_match(spark, d):
+    """Parts with names that are nearly said by another part's: every pair with a token_set_ratio of 85 or more."""
+    names = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("text"))
+    asked, named = (names.select(F.col("p_partkey").alias(c), "text") for c in ("ask", "named"))
+    return mentions.fuzzy_pairs(asked, named).filter("ask <> named").select("ask", "named", F.round("ratio", 6).alias("ratio"))
+
+
+@query(r"""
+WITH n AS (SELECT s_suppkey AS machine_id, lower(s_name) AS name FROM supplier), q AS (SELECT c_custkey AS query_id, lower(replace(c_name, 'Customer#', 'supplier#')) AS q FROM customer),
+f AS (SELECT query_id, machine_id FROM q JOIN n ON regexp_matches(q, '(^|[^\p{L}\p{N}_])' || name || '($|[^\p{L}\p{N}_])'))
+SELECT query_id, machine_id FROM f""")
+def name_hits(spark, d):
+    """Questions that say a machine's whole name."""
+    machines = table(spark, d, "supplier").select(F.col("s_suppkey").alias("machine_id"), F.col("s_name").alias("label"), F.lower("s_name").alias("name"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.regexp_replace("c_name", "Customer#", "supplier#").alias("question"))
+    return mentions.exact_mentions(asked, machines).select("query_id", "machine_id")

@@ -9,7 +9,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.llm.common import Words, block, materialize, powered, ranges_hash, release, slices, small_batches, spread_join, spread_keys, sums, table
@@ -22,6 +22,7 @@ COUNT_CHUNK = 1 << 14
 SEARCH = 400  #: sets of a group that is searched, about
 PAIRED = 32  #: buckets up to this size are searched pair by pair, larger ones in blocks
 LONG_LISTS = 0.01  #: DivideSkip's constant: how many of the longest lists are probed instead of merged
+BROADCAST_ROWS = 1_000_000  #: what names sets (50 bytes a row) is broadcast up to this number, so that texts and sets stay where they are
 NO_ID = -(1 << 63)
 
 
@@ -182,7 +183,10 @@ def _links(group: pa.Table) -> pa.Table:
 
 def _searched(groups: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """(a, b): the links found in groups (cell, vertex, asks); a set is sent once to each group that it is in."""
-    held = spread_join(groups, sets, "vertex", "cell", spread_keys(groups, "vertex"))
+    if groups.count() <= BROADCAST_ROWS:
+        held = sets.join(F.broadcast(groups), "vertex")
+    else:
+        held = spread_join(groups, sets, "vertex", "cell", spread_keys(groups, "vertex"))
     return materialize(held.select("cell", "vertex", "asks", "own").groupBy("cell").applyInArrow(_links, "a long, b long").distinct(), name)
 
 
@@ -238,20 +242,18 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes.select("key", F.col("least.id").alias("id"), F.col("least.row").alias("vertex")), "join-nodes")
 
     firsts = signed.join(nodes.select(F.col("vertex").alias("row")), "row").select(F.col("row").alias("vertex"), "n", F.posexplode("prefix").alias("place", "shingle"))
-    sizes = materialize(firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "join-sizes")
-    limit = max(200, (sizes.agg(F.sum("size")).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = [(r["shingle"], -(-r["size"] // limit)) for r in sizes.filter(F.col("size") > limit).collect()]  # bounded by the number of partitions
-    met = materialize(spread_join(firsts, sizes, "shingle", "vertex", hot), "join-met")
-    release(sizes)
+    limit = max(200, (signed.agg(F.sum(F.size("prefix"))).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    met, hot = _buckets(firsts, counts.value, limit)
 
     central = met.groupBy("vertex").agg(F.sum("size").alias("weight"))
     ranked = met.join(central, "vertex").withColumn("order", F.struct("weight", F.xxhash64("vertex", "shingle").alias("hash"), "vertex", "n", "place"))
     leaders = ranked.groupBy("shingle").agg(F.max("order").alias("low"), F.max_by("order", F.col("order.hash")).alias("high"))
     active = materialize(spread_join(met, leaders, "shingle", "vertex", hot), "join-buckets")
-    release(met)
 
-    wanted = active.select("vertex").distinct().join(nodes, "vertex")
+    wanted = materialize(active.select("vertex").distinct().join(nodes, "vertex"), "join-wanted")
     sets = materialize(_sets(own, wanted), "join-sets")
+    if sets.count() > wanted.count():
+        sets = materialize(sets.dropDuplicates(["vertex"]), "join-sets")
     star = lambda side: active.select(
         F.col(f"{side}.vertex").alias("asks"), F.col(f"{side}.n").alias("an"), F.col(f"{side}.place").alias("ap"), F.col("vertex").alias("other"), "n", "place"
     )
@@ -262,7 +264,7 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
     roots = components(named, links).select(F.col("key").alias("vertex"), F.col("root"))
     rest = _between(active, roots, sets)
     links = links if rest is None else links.unionByName(rest)
-    release(active, sets, pairs)
+    release(active, sets, pairs, wanted)
     classes = components(named, links).select(F.col("key").alias("vertex"), F.col("class_id").alias("component"))
     grouped = nodes.join(classes, "vertex", "left").select("key", F.coalesce("component", "id").alias("component"))
     rows = signed.select("id", "n", "key")
@@ -271,8 +273,29 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
     return rows.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 
 
+def _buckets(firsts: DataFrame, counts: np.ndarray, limit: int) -> tuple[DataFrame, list[tuple]]:
+    """firsts (shingle, vertex, n, place) with `size`, how many have the shingle, where several have; and (shingle, parts) of those that more than limit have.
+
+    One shuffle: rows are dealt by shingle, but where the hashed counts, never below the true ones, show that a shingle may have
+    more than limit rows, by a part of the vertices too. Only the rows of these are counted once more.
+    """
+    spark = firsts.sparkSession
+    many = [(int(k), int(-(-int(counts[k]) // limit))) for k in np.flatnonzero(counts > limit)]  # bounded by the number of partitions
+    listed = F.broadcast(spark.createDataFrame(many, "slot int, parts int"))
+    dealt = firsts.withColumn("slot", F.shiftrightunsigned("shingle", 64 - COUNT_BITS).cast("int")).join(listed, "slot", "left").drop("slot")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vertex"), F.coalesce("parts", F.lit(1))).cast("int")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle", "part")
+    counted = dealt.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("shingle", "part"))).filter("size > 1 OR parts IS NOT NULL").drop("part")
+    met = materialize(counted, "join-met")
+    if not many:
+        return met.drop("parts"), []
+    split = met.filter("parts IS NOT NULL").drop("parts", "size")
+    sizes = materialize(split.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "join-sizes")
+    hot = [(r["shingle"], -(-r["size"] // limit)) for r in sizes.filter(F.col("size") > limit).collect()]  # bounded by the number of partitions
+    return met.filter("parts IS NULL").drop("parts").unionByName(spread_join(split, sizes, "shingle", "vertex", hot)), hot
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(vertex, own): the sets of wanted (vertex, key, id), made again from the texts."""
+    """(vertex, own): the sets of wanted (vertex, key, id), made again from the texts; more than once where rows repeat id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,8 +306,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 at += len(texts)
 
     # Rows that repeat the id have other texts perhaps, and other keys then.
-    made = docs.join(wanted.select("vertex", "key", "id"), "id").select("vertex", "key", "text").mapInArrow(run, "vertex long, key binary, own binary")
-    return made.filter(_digest(F.col("own")) == F.col("key")).dropDuplicates(["vertex"]).select("vertex", "own")
+    named = wanted.select("vertex", "key", "id")
+    made = docs.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "id").select("vertex", "key", "text").mapInArrow(run, "vertex long, key binary, own binary")
+    return made.filter(_digest(F.col("own")) == F.col("key")).select("vertex", "own")
 
 
 def _between(active: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -302,7 +326,6 @@ def _between(active: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
         out.append(_searched(_pair_groups(pairs), sets, "join-links"))
     large = mixed.filter(F.col("size") > PAIRED)
     if large.limit(1).count():
-        # Sizes that cannot link do not meet: blocks are cut within levels of size, and a set asks in its own and those beside it.
         blocks = lambda n: F.ceil(F.col(n) / SEARCH).cast("int")
         counted = large.withColumn("rest", F.col("size") - F.col("most")).withColumn("listed", blocks("size")).withColumn("asking", blocks("rest"))
         place = lambda n: F.pmod(F.xxhash64("vertex", "shingle"), n).cast("int")

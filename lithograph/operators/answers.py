@@ -177,8 +177,15 @@ def context_blocks(rows: DataFrame) -> DataFrame:
 
 
 def history(rows: DataFrame, turns: int = 8, chars: int = 800) -> DataFrame:
-    """(conv_id, turn, n_history, history): the turns before each answer, the last `turns`, cut to `chars`."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-turns, -1)
-    cut = F.concat("role", F.lit(": "), F.substring("text", 1, chars))
-    listed = rows.withColumn("h", F.collect_list(cut).over(before)).filter("role = 'assistant'")
-    return listed.select("conv_id", "turn", F.size("h").alias("n_history"), F.array_join("h", "\n").alias("history"))
+    """(conv_id, turn, n_history, history): the turns before each answer, the last `turns`, cut to `chars`.
+
+    Turns that only ask back (is_clarifying, where rows have that column) are no history of later ones.
+    """
+    told = ~F.coalesce("is_clarifying", F.lit(False)) if "is_clarifying" in rows.columns else F.lit(True)
+    ordered = Window.partitionBy("conv_id").orderBy("turn")
+    # How many turns that count come before a turn: its history are the rows whose own number is one of the last.
+    numbered = rows.withColumn("before", F.coalesce(F.sum(told.cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cut = F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, chars)).alias("h"))
+    last = Window.partitionBy("conv_id").orderBy("before").rangeBetween(-turns, -1)
+    listed = numbered.withColumn("h", F.sort_array(F.collect_list(F.when(told, cut)).over(last))).filter("role = 'assistant'")
+    return listed.select("conv_id", "turn", F.size("h").alias("n_history"), F.array_join("h.h", "\n").alias("history"))

@@ -129,3 +129,9 @@ def headings_by_size(lines: DataFrame) -> DataFrame:
     larger = lines.join(body, "page_id").filter(F.col("size") > F.col("body") + HEADING_GAP)
     rank = F.dense_rank().over(Window.partitionBy("page_id").orderBy(F.desc("size"))) - 1
     return larger.withColumn("rank", rank).filter(F.length("text") < HEADING_CHARS).select("page_id", "pos", "text", "rank")
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """(doc_id, pages, chars, empty_pages) of pages (doc_id, text): their number, their length, and how many have no text."""
+    blank = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 1)
+    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count(blank).alias("empty_pages"))

@@ -9,6 +9,9 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lithograph.sources import snapshots
+from lithograph.sources.shared import saved
+
 
 def eligible(documents: DataFrame, links: DataFrame | None = None, machine_id: int | None = None, include_superseded: bool = False) -> DataFrame:
     """Documents (id, …) that may be retrieved: indexed, active, approved and, unless superseded ones are asked for, of the current revision.
@@ -31,7 +34,7 @@ def actions(listing: DataFrame, documents: DataFrame) -> DataFrame:
     chunks. Of equal contents in one listing the first by source_ref is indexed.
     """
     active = documents.filter("deactivated_at IS NULL").select(F.col("id").alias("previous_id"), "source_ref", F.col("sha256").alias("old_sha"), F.col("status").alias("old_status"))
-    elsewhere = documents.filter("deactivated_at IS NULL AND status IN ('indexed', 'partial')").groupBy("sha256").agg(F.first("source_ref").alias("other_ref"))
+    elsewhere = documents.filter("deactivated_at IS NULL AND status IN ('indexed', 'partial')").groupBy("sha256").agg(F.min("source_ref").alias("first_ref"), F.max("source_ref").alias("last_ref"))
     first = F.row_number().over(Window.partitionBy("sha256").orderBy("source_ref"))
     rows = listing.withColumn("place", first).join(active, "source_ref", "left").join(elsewhere, "sha256", "left")
     same = F.col("old_sha") == F.col("sha256")
@@ -41,7 +44,7 @@ def actions(listing: DataFrame, documents: DataFrame) -> DataFrame:
         .when(~usable & same, "retried")
         .when(~usable & F.col("previous_id").isNotNull(), "kept_previous")
         .when(~usable, F.col("extract_status"))
-        .when((F.col("other_ref") != F.col("source_ref")) | (F.col("place") > 1), "duplicate")
+        .when((F.col("first_ref") != F.col("source_ref")) | (F.col("last_ref") != F.col("source_ref")) | (F.col("place") > 1), "duplicate")
         .when((F.col("n_chunks") == 0) & F.col("previous_id").isNotNull() & ~same, "kept_previous")
         .when(F.col("n_chunks") == 0, "failed")
         .when(F.col("previous_id").isNotNull() & ~same, "replaced")
@@ -76,7 +79,9 @@ def with_new_keys(existing: DataFrame, new: DataFrame, keys: list[str], id_: str
     """existing and a row for each key of new that it lacks, numbered after its largest id; other columns are null."""
     top = existing.agg(F.coalesce(F.max(id_), F.lit(0)).alias("top")).first()["top"]
     missing = new.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti")
-    return existing.unionByName(missing.withColumn(id_, F.monotonically_increasing_id() + F.lit(top + 1)), allowMissingColumns=True)
+    # Written once, so that a number that was given stays given however often the result is computed.
+    numbered = saved(missing.withColumn(id_, F.monotonically_increasing_id() + F.lit(top + 1)), "new-keys")
+    return existing.unionByName(numbered, allowMissingColumns=True)
 
 
 def merge_columns(existing: DataFrame, new: DataFrame, keys: list[str], take: list[str]) -> DataFrame:
@@ -113,26 +118,27 @@ def with_ordinals(sources: DataFrame) -> DataFrame:
 
 RUN = "run_id string, status string, at timestamp"
 EVENT = "run_id string, source_ref string, event string, detail string"
+LEASE_SECONDS = 6 * 3600  #: after which a run counts as dead
 
 
 def _append(spark: SparkSession, root: str, name: str, rows: list[tuple], schema: str) -> None:
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
 
 
-def run(spark: SparkSession, root: str, list_files: Callable[[], DataFrame], handle: Callable[[DataFrame], DataFrame]) -> str:
+def run(spark: SparkSession, root: str, list_files: Callable[[], DataFrame], handle: Callable[[DataFrame], DataFrame], seconds: float = LEASE_SECONDS) -> str:
     """One ingestion run, recorded below root: its row first, then its events; returns how it ended.
 
     list_files gives the listing; handle turns it into events (source_ref, event, detail), a failed file being an
-    event of its own. A run that cannot list its files, or breaks off, is recorded as failed and raises. A second
-    run beside one that goes on is refused: the lock is a file that only one can create.
+    event of its own. A run that cannot list its files, or breaks off, is recorded as failed and raises. A run holds
+    a lease on root: a second one beside it is refused, and one that was killed blocks others until the lease has ended.
+    A run whose lease has been taken over meanwhile records no end, and raises.
     """
     root = root.rstrip("/")
-    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_running")
-    files = lock.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(lock.getParent())
-    if not files.createNewFile(lock):
-        raise RuntimeError("an ingestion run is already in progress")
     run_id, now = uuid.uuid4().hex, lambda: datetime.now(UTC).replace(tzinfo=None)
+    try:
+        fence = snapshots.acquire(spark, root, seconds, run_id)
+    except snapshots.Conflict as e:
+        raise RuntimeError(f"an ingestion run is already in progress: {e}") from None
     try:
         _append(spark, root, "runs", [(run_id, "running", now())], RUN)
         try:
@@ -144,11 +150,13 @@ def run(spark: SparkSession, root: str, list_files: Callable[[], DataFrame], han
             _append(spark, root, "events", [(run_id, "(run)", "failed", f"run aborted: {e}"[:500])], EVENT)
             _append(spark, root, "runs", [(run_id, "failed", now())], RUN)
             raise
+        if not snapshots.holds(spark, root, fence):
+            raise snapshots.Conflict(f"run {run_id} has lost its lease")
         status = "completed_with_errors" if failed else "completed"
         _append(spark, root, "runs", [(run_id, status, now())], RUN)
         return status
     finally:
-        files.delete(lock, False)
+        snapshots.release_lease(spark, root, fence)
 
 
 def run_status(spark: SparkSession, root: str) -> DataFrame:
@@ -158,6 +166,13 @@ def run_status(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("run_id").agg(F.max_by("status", F.struct(F.col("status") != "running", "at")).alias("status"), F.min("at").alias("started_at"), finished.alias("finished_at"))
 
 
+def newest_runs(runs: DataFrame, events: DataFrame, limit: int = 10) -> DataFrame:
+    """(run_id, started_at, finished_at, status, counts): the last runs, each with how often each event happened."""
+    last = runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
+    counted = event_map(events.join(F.broadcast(last.select("run_id")), "run_id", "left_semi"), "run_id", "event")  # `limit` rows
+    return last.join(counted, "run_id", "left").select("run_id", "started_at", "finished_at", "status", "counts")
+
+
 def event_map(events: DataFrame, key: str, event: str) -> DataFrame:
     """(key, counts): how often each event happened, as a map."""
     counted = events.groupBy(key, event).agg(F.count(F.lit(1)).alias("n"))

@@ -74,6 +74,11 @@ def pick_machines(machines: DataFrame, manufacturers: DataFrame, links: DataFram
     return rows.select("id", "manufacturer", "model_name", "family", "document_count").orderBy("manufacturer", "model_name", "id").limit(limit)
 
 
+def recent_conversations(conversations: DataFrame, limit: int = 20) -> DataFrame:
+    """The conversations (conv_id, updated_at, …) that were last gone on with, newest first."""
+    return conversations.orderBy(F.desc("updated_at"), "conv_id").limit(limit)
+
+
 def recent_machines(recent: DataFrame, machines: DataFrame, manufacturers: DataFrame, links: DataFrame, documents: DataFrame, user_id: int, limit: int = RECENT) -> DataFrame:
     """A user's machines, favourites first, then those used last; recent: (user_id, machine_id, last_used_at, is_favorite)."""
     own = recent.filter(F.col("user_id") == user_id).select(F.col("machine_id").alias("id"), "last_used_at", "is_favorite")

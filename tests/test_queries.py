@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lithograph.plans import catalogue, stored
+from lithograph.plans import answering, catalogue, stored  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lithograph.operators import duplicate_index, mentions, patterns, segments
+from lithograph.operators import cells, duplicate_index, mentions, patterns, segments
 from lithograph.plans import catalogue
 from lithograph.sources.files import state, table
 from lithograph.sources.shared import new_path
@@ -122,3 +122,24 @@ def name_hits(spark, d):
     machines = table(spark, d, "supplier").select(F.col("s_suppkey").alias("machine_id"), F.col("s_name").alias("label"), F.lower("s_name").alias("name"))
     asked = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.regexp_replace("c_name", "Customer#", "supplier#").alias("question"))
     return mentions.exact_mentions(asked, machines).select("query_id", "machine_id")
+
+
+# --- vectors in cells ----------------------------------------------------------------------------
+
+
+@query(catalogue.ORACLES["vector_topk"])
+def vector_cells(spark, d):
+    """The nearest vectors of one, by stored cells of which only those are opened that can hold one of them."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    root = new_path(spark, "cells")
+    cells.build_cells(vectors, root)
+    return cells.nearest(spark, root, vectors.filter("vec_id = 0")).best.select("vec_id", "score")
+
+
+@query(catalogue.ORACLES["vector_gate"])
+def vector_gate_cells(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    root = new_path(spark, "cells")
+    cells.build_cells(vectors, root)
+    best = cells.nearest(spark, root, vectors.filter("vec_id % 50 = 0"), 5, others=True).best
+    return best.groupBy("query_id").agg(F.max("score").alias("best")).withColumn("relevant", F.col("best") >= 0.4)

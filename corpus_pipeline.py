@@ -7,11 +7,9 @@ documents, labels or items, goes through and gives an empty result or drops noth
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from lithograph.llm.common import shared_dir, table
+from lithograph.llm.common import materialize, release, table
 from lithograph.llm.decontaminate import drop_contaminated
 from lithograph.llm.exact_dedup import drop_exact_copies
 from lithograph.llm.near_dedup import drop_near_copies
@@ -59,11 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The stages over documents, each written as Parquet to the shared folder and read by the next; what a stage has read then goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-stage")
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

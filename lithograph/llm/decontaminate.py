@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import let, materialize, table, unused
+from lithograph.llm.common import let, materialize, release, spread_join, spread_keys, table, unused
 
 SHINGLE = 5  #: words of a shingle
 SIMILARITY = 0.8
@@ -131,7 +131,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
         listed = own.select("id", "row", shingles_of(words_of(F.col("text")), width).alias("all"))
         at = listed.select("id", "row", F.posexplode_outer("all").alias("place", "shingle")).filter("place IS NOT NULL")
         wanted = weights.select("shingle").join(posting.filter(F.col("width") == width).select("shingle").distinct(), "shingle")
-        kept = at.join(F.broadcast(wanted) if small else wanted, "shingle").select("id", "row", "place", "shingle", F.lit(width).alias("width"))
+        met = at.join(F.broadcast(wanted), "shingle") if small else spread_join(at, wanted, "shingle", "id", spread_keys(at, "shingle"))
+        kept = met.select("id", "row", "place", "shingle", F.lit(width).alias("width"))
         hits = kept if hits is None else hits.union(kept)
     hits = materialize(hits, "item-hits")
 
@@ -166,9 +167,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     index = _index(item_prints)
     probed = prints.select(*window, "low", "high", "total", F.explode(_slots(F.col("low"), F.col("high"))).alias("slot"))
     apart = (F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))).cast("int")
-    met = probed.join(F.broadcast(index) if few else index, "slot").drop("slot").join(F.broadcast(item_prints.drop("n")) if few else item_prints.drop("n"), "item")
+    met = probed.join(F.broadcast(index), "slot") if few else spread_join(probed, index, "slot", "id", spread_keys(probed, "slot"))
+    met = met.drop("slot").join(F.broadcast(item_prints.drop("n")) if few else item_prints.drop("n"), "item")
     near = met.withColumn("hamming", apart).filter(F.col("hamming") <= RADIUS).select(*window, "total", "item", "item_id", "item_total", "hamming").distinct()
     near = materialize(near, "window-candidates")
+    release(items, hits, involved, prints, item_prints)  # the result reads the others
 
     # The exact check: shared weight of a window and an item, from the shingles of both.
     theirs = item_weighed.select("item", "shingle", F.col("weight").alias("item_weight"))

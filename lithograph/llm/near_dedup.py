@@ -231,7 +231,7 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels.select("key", F.col("label.id").alias("class_id"), F.col("label.key").alias("root"))
 
 
-def _between(active: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+def _between(active: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float, hot: list[tuple]) -> DataFrame:
     """Links (a, b) between different components that meet in a bucket, found exactly.
 
     In a bucket of more than two (one link is all that a pair has), every member outside the largest
@@ -242,11 +242,11 @@ def _between(active: DataFrame, roots: DataFrame, texts: DataFrame, idf, similar
     """
     rows = active.filter("size > 2").select("band", "bucket", "key").join(roots, "key", "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("root"))
     rows = materialize(rows, "near-crowd")
-    shares = rows.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    shares = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     blocks = lambda n: F.ceil(n / CROWD).cast("int")
-    many = shares.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"))
-    many = many.filter("parts > 1").select("band", "bucket", "largest", blocks(F.col("size")).alias("listed"), blocks(F.col("size") - F.col("most")).alias("asking"))
-    dealt = rows.join(many, ["band", "bucket"])
+    many = shares.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"))
+    many = many.filter("parts > 1").select("bucket", "largest", blocks(F.col("size")).alias("listed"), blocks(F.col("size") - F.col("most")).alias("asking"))
+    dealt = spread_join(rows, many, "bucket", "key", hot)
     place = lambda n: F.pmod(F.xxhash64("key", "band"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     as_member = dealt.select("band", "bucket", "key", "root", F.lit(False).alias("asks"), each("asking").alias("i"), place(F.col("listed")).alias("j"))
@@ -325,7 +325,7 @@ def _near_classes(docs: DataFrame, similarity: float) -> DataFrame:
     linked = materialize(_verified(pairs, texts, idf, similarity).filter(F.col("similarity") >= similarity), "near-pairs").select("a", "b")
     release(pairs)
     roots = _components(nodes.select("key", "id"), linked).select("key", "root")
-    linked = linked.union(materialize(_between(active, roots, texts, idf, similarity), "near-pairs").select("a", "b"))
+    linked = linked.union(materialize(_between(active, roots, texts, idf, similarity, hot), "near-pairs").select("a", "b"))
     release(active, texts)
     classes = _components(nodes.select("key", "id"), linked).select("key", "class_id", "root")
     named = nodes.select("key", "id").join(classes, "key", "left").select("key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("root", "key").alias("root"))

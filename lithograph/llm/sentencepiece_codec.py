@@ -230,13 +230,6 @@ class Codec:
         out = text.replace(MARKER, " ") if self.model.escape_whitespaces else text
         return out[1:] if self.model.add_dummy_prefix and out.startswith(" ") else out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [array("I", x).tolist() for x in self.encode_decode([self.normalised(t) for t in texts])[0]]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        """By the rebuilt decoder alone."""
-        return [self.spaced(t) for t in self.tokenizer.decode_batch(ids, skip_special_tokens=False)]
-
 
 @lru_cache(maxsize=1)
 def _codec(raw: bytes, threads: int) -> tuple:

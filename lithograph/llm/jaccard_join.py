@@ -110,8 +110,8 @@ def _signed(docs: DataFrame, counts) -> DataFrame:
 # --- T-occurrence search -------------------------------------------------------------------------
 
 
-def t_occurrence(postings: list[int], lists: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """(member, how many lists have it) of all members that at least `least` of the lists have.
+def t_occurrence(postings: list[int], lists: list[tuple[int, int]], least: int, skip: tuple[int, int] = (0, 0)) -> list[tuple[int, int]]:
+    """(member, how many lists have it) of all members, but for those of the range `skip`, that at least `least` of the lists have.
 
     postings: sorted members of all lists, one list after the other; lists: where those asked for begin and end.
     DivideSkip: the longest lists are set apart. The short ones are merged by a heap of their heads; where fewer heads
@@ -121,26 +121,40 @@ def t_occurrence(postings: list[int], lists: list[tuple[int, int]], least: int)
     """
     if least < 1 or len(lists) < least:
         return []
+    low, high = skip
+    if low < high:  # lists of which nothing else is left do not count
+        lists = [(a, b) for a, b in lists if postings[a] < low or postings[b - 1] >= high]
+        if len(lists) < least:
+            return []
     lists = sorted(lists, key=lambda x: x[1] - x[0])
     longest = lists[-1][1] - lists[-1][0]
     apart = min(least - 1, int(least / (LONG_LISTS * log2(longest + 1) + 1)))
     short, long_ = lists[: len(lists) - apart], lists[len(lists) - apart :]
     needed = least - apart
-    place = [low for low, _ in short]
-    heads = [(postings[low], k) for k, (low, _) in enumerate(short)]
+    place = [a for a, _ in short]
+    heads = [(postings[a], k) for k, (a, _) in enumerate(short)]
     heapq.heapify(heads)
     out = []
     while len(heads) >= needed:
         member, popped = heads[0][0], []
+        if low <= member < high:  # all lists go on behind the range at once
+            popped = [k for _, k in heads]
+            heads, goal = [], high
+            for k in popped:
+                place[k] = bisect_left(postings, goal, place[k], short[k][1])
+                if place[k] < short[k][1]:
+                    heads.append((postings[place[k]], k))
+            heapq.heapify(heads)
+            continue
         while heads and heads[0][0] == member:
             popped.append(heapq.heappop(heads)[1])
         if len(popped) >= needed:
             count, left = len(popped), len(long_)
-            for low, high in long_:
+            for a, b in long_:
                 if count + left < least:
                     break
-                at = bisect_left(postings, member, low, high)
-                count += at < high and postings[at] == member
+                at = bisect_left(postings, member, a, b)
+                count += at < b and postings[at] == member
                 left -= 1
             if count >= least:
                 out.append((member, count))
@@ -159,10 +173,12 @@ def t_occurrence(postings: list[int], lists: list[tuple[int, int]], least: int)
 
 
 def _links(group: pa.Table) -> pa.Table:
-    """(a, b): links of the sets of a group that ask with any other set of it; inverted lists are made of the group's sets."""
-    vertex = group.column("vertex").to_pylist()
+    """(a, b): links of the sets of a group that ask with its other sets, those of their own component (root) aside; inverted lists are made of the group's sets."""
+    group = group.sort_by([("root", "ascending"), ("vertex", "ascending")])  # a component is a range of members
+    vertex, root = group.column("vertex").to_pylist(), np.asarray(group.column("root").combine_chunks(), dtype=np.int64)
     sets = [np.frombuffer(s, "<u8") for s in group.column("own").to_pylist()]
     asks = group.column("asks").to_pylist()
+    low, high = np.searchsorted(root, root, "left").tolist(), np.searchsorted(root, root, "right").tolist()
     n = np.array([len(s) for s in sets])
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -174,20 +190,20 @@ def _links(group: pa.Table) -> pa.Table:
     for i in np.flatnonzero(np.array(asks)).tolist():
         mine = np.searchsorted(distinct, sets[i])
         mine = mine[ends[mine] - begin[mine] > 1]  # others have no member but the one that asks
-        for j, shared in t_occurrence(postings, list(zip(begin[mine].tolist(), ends[mine].tolist(), strict=True)), int(least_overlap(len(sets[i])))):
-            if vertex[j] != vertex[i] and shared * SIMILARITY[1] >= SIMILARITY[0] * (len(sets[i]) + len(sets[j]) - shared):
+        for j, shared in t_occurrence(postings, list(zip(begin[mine].tolist(), ends[mine].tolist(), strict=True)), int(least_overlap(len(sets[i]))), (low[i], high[i])):
+            if shared * SIMILARITY[1] >= SIMILARITY[0] * (len(sets[i]) + len(sets[j]) - shared):
                 a.append(vertex[i])
                 b.append(vertex[j])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _searched(groups: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """(a, b): the links found in groups (cell, vertex, asks); a set is sent once to each group that it is in."""
+    """(a, b): the links found in groups (cell, vertex, root, asks); a set is sent once to each group that it is in."""
     if groups.count() <= BROADCAST_ROWS:
         held = sets.join(F.broadcast(groups), "vertex")
     else:
         held = spread_join(groups, sets, "vertex", "cell", spread_keys(groups, "vertex"))
-    return materialize(held.select("cell", "vertex", "asks", "own").groupBy("cell").applyInArrow(_links, "a long, b long").distinct(), name)
+    return materialize(held.select("cell", "vertex", "root", "asks", "own").groupBy("cell").applyInArrow(_links, "a long, b long").distinct(), name)
 
 
 def _pair_groups(pairs: DataFrame) -> DataFrame:
@@ -199,7 +215,7 @@ def _pair_groups(pairs: DataFrame) -> DataFrame:
     cell = F.when(F.col("part").isNull(), F.pmod(F.xxhash64("asks"), F.lit(n))).otherwise(F.xxhash64("asks", "part"))
     dealt = dealt.withColumn("cell", F.struct(F.col("part").isNull().alias("shared"), cell.alias("number")))
     both = dealt.select("cell", F.col("asks").alias("vertex"), F.lit(True).alias("asks")).union(dealt.select("cell", F.col("other").alias("vertex"), F.lit(False).alias("asks")))
-    return both.groupBy("cell", "vertex").agg(F.bool_or("asks").alias("asks"))
+    return both.groupBy("cell", "vertex").agg(F.bool_or("asks").alias("asks")).withColumn("root", F.col("vertex"))
 
 
 def _may_link(n: str, place: str, other_n: str, other_place: str) -> Column:
@@ -245,20 +261,23 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
     limit = max(200, (signed.agg(F.sum(F.size("prefix"))).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     met, hot = _buckets(firsts, counts.value, limit)
 
+    twos = met.filter("partner IS NOT NULL").select(F.col("partner.vertex").alias("asks"), F.col("vertex").alias("other"))
+    met = met.filter("partner IS NULL").drop("partner")
     central = met.groupBy("vertex").agg(F.sum("size").alias("weight"))
     ranked = met.join(central, "vertex").withColumn("order", F.struct("weight", F.xxhash64("vertex", "shingle").alias("hash"), "vertex", "n", "place"))
     leaders = ranked.groupBy("shingle").agg(F.max("order").alias("low"), F.max_by("order", F.col("order.hash")).alias("high"))
     active = materialize(spread_join(met, leaders, "shingle", "vertex", hot), "join-buckets")
 
-    wanted = materialize(active.select("vertex").distinct().join(nodes, "vertex"), "join-wanted")
-    sets = materialize(_sets(own, wanted), "join-sets")
-    if sets.count() > wanted.count():
-        sets = materialize(sets.dropDuplicates(["vertex"]), "join-sets")
     star = lambda side: active.select(
         F.col(f"{side}.vertex").alias("asks"), F.col(f"{side}.n").alias("an"), F.col(f"{side}.place").alias("ap"), F.col("vertex").alias("other"), "n", "place"
     )
     stars = star("low").union(star("high")).filter("asks <> other").filter(_may_link("an", "ap", "n", "place"))
-    pairs = materialize(stars.select("asks", "other").distinct(), "join-pairs")
+    pairs = materialize(stars.select("asks", "other").union(twos).distinct(), "join-pairs")
+    wanted = active.select("vertex").union(pairs.select("asks")).union(pairs.select("other")).distinct()
+    wanted = materialize(wanted.join(nodes, "vertex"), "join-wanted")
+    sets = materialize(_sets(own, wanted), "join-sets")
+    if sets.count() > wanted.count():
+        sets = materialize(sets.dropDuplicates(["vertex"]), "join-sets")
     links = _searched(_pair_groups(pairs), sets, "join-links")
     named = nodes.select(F.col("vertex").alias("key"), "id")
     roots = components(named, links).select(F.col("key").alias("vertex"), F.col("root"))
@@ -276,6 +295,8 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
 def _buckets(firsts: DataFrame, counts: np.ndarray, limit: int) -> tuple[DataFrame, list[tuple]]:
     """firsts (shingle, vertex, n, place) with `size`, how many have the shingle, where several have; and (shingle, parts) of those that more than limit have.
 
+    Of two alone that have a shingle one row is kept, with the other as `partner`, and none where they cannot link.
+
     One shuffle: rows are dealt by shingle, but where the hashed counts, never below the true ones, show that a shingle may have
     more than limit rows, by a part of the vertices too. Only the rows of these are counted once more.
     """
@@ -284,8 +305,12 @@ def _buckets(firsts: DataFrame, counts: np.ndarray, limit: int) -> tuple[DataFra
     listed = F.broadcast(spark.createDataFrame(many, "slot int, parts int"))
     dealt = firsts.withColumn("slot", F.shiftrightunsigned("shingle", 64 - COUNT_BITS).cast("int")).join(listed, "slot", "left").drop("slot")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vertex"), F.coalesce("parts", F.lit(1))).cast("int")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle", "part")
-    counted = dealt.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("shingle", "part"))).filter("size > 1 OR parts IS NOT NULL").drop("part")
-    met = materialize(counted, "join-met")
+    together = Window.partitionBy("shingle", "part")
+    counted = dealt.withColumns({"size": F.count(F.lit(1)).over(together), "first": F.min(F.struct("vertex", "n", "place")).over(together)})
+    two = F.col("parts").isNull() & (F.col("size") == 2)
+    counted = counted.filter("size > 1 OR parts IS NOT NULL").withColumns({"partner": F.when(two, F.col("first")), "an": F.col("first.n"), "ap": F.col("first.place")})
+    counted = counted.filter(~two | ((F.col("vertex") != F.col("first.vertex")) & _may_link("an", "ap", "n", "place")))
+    met = materialize(counted.drop("part", "first", "an", "ap"), "join-met")
     if not many:
         return met.drop("parts"), []
     split = met.filter("parts IS NOT NULL").drop("parts", "size")
@@ -330,9 +355,9 @@ def _between(active: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
         counted = large.withColumn("rest", F.col("size") - F.col("most")).withColumn("listed", blocks("size")).withColumn("asking", blocks("rest"))
         place = lambda n: F.pmod(F.xxhash64("vertex", "shingle"), n).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        member = counted.select("shingle", "vertex", F.lit(False).alias("asks"), each("asking").alias("i"), place(F.col("listed")).alias("j"))
-        asker = counted.filter("root <> largest").select("shingle", "vertex", F.lit(True).alias("asks"), place(F.col("asking")).alias("i"), each("listed").alias("j"))
-        cells = member.union(asker).groupBy(F.struct("shingle", "i", "j").alias("cell"), "vertex").agg(F.bool_or("asks").alias("asks"))
+        member = counted.select("shingle", "vertex", "root", F.lit(False).alias("asks"), each("asking").alias("i"), place(F.col("listed")).alias("j"))
+        asker = counted.filter("root <> largest").select("shingle", "vertex", "root", F.lit(True).alias("asks"), place(F.col("asking")).alias("i"), each("listed").alias("j"))
+        cells = member.union(asker).groupBy(F.struct("shingle", "i", "j").alias("cell"), "vertex", "root").agg(F.bool_or("asks").alias("asks"))
         out.append(_searched(cells, sets, "join-links"))
     release(mixed, pairs)
     return None if not out else out[0] if len(out) == 1 else out[0].unionByName(out[1])

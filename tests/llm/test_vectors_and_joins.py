@@ -136,14 +136,16 @@ def test_partial_products_discard_pairs():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 12), unique=True, min_size=1).map(sorted), min_size=1, max_size=30), st.integers(1, 12))
-def test_t_occurrence(lists, least):
+@given(st.lists(st.lists(st.integers(0, 12), unique=True, min_size=1).map(sorted), min_size=1, max_size=30), st.integers(1, 12), st.tuples(st.integers(0, 12), st.integers(0, 12)))
+def test_t_occurrence(lists, least, skip):
     postings, bounds = [], []
     for own in lists:
         bounds.append((len(postings), len(postings) + len(own)))
         postings += own
     counts = Counter(x for own in lists for x in own)
     assert sorted(jaccard_join.t_occurrence(postings, bounds, least)) == sorted((k, n) for k, n in counts.items() if n >= least)
+    others = sorted((k, n) for k, n in counts.items() if n >= least and not skip[0] <= k < skip[1])
+    assert sorted(jaccard_join.t_occurrence(postings, bounds, least, skip)) == others
 
 
 def slow_components(rows):

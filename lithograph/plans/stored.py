@@ -107,9 +107,9 @@ def model_hits(spark, d):
 
 @query()
 def fuzzy_match(spark, d):
-    """Parts with names that are nearly said by another part's: every pair with a token_set_ratio of 85 or more."""
-    names = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("text"))
-    asked, named = (names.select(F.col("p_partkey").alias(c), "text") for c in ("ask", "named"))
+    """Names of parts that are nearly said by another name: every pair of different names with a token_set_ratio of 85 or more."""
+    names = table(spark, d, "part").select(F.lower("p_name").alias("text")).distinct()
+    asked, named = (names.select(F.col("text").alias(c), "text") for c in ("ask", "named"))
     return mentions.fuzzy_pairs(asked, named).filter("ask <> named").select("ask", "named", F.round("ratio", 6).alias("ratio"))
 
 

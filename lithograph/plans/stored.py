@@ -92,17 +92,16 @@ def segmented_terms(spark, d):
 
 
 @query(r"""
-WITH c AS (SELECT 'M' || n_regionkey AS manufacturer, n_name AS model_name, '(^|[^A-Za-z0-9_])' || lower(left(n_name, 3)) || '[a-z]|' || lower(right(n_name, 3)) || '([^A-Za-z0-9_]|$)' AS pattern FROM nation),
-d AS (SELECT doc_id, source AS filename, lower(coalesce(text, '')) AS body FROM documents)
-SELECT doc_id, model_name FROM d JOIN c ON regexp_matches(body, pattern)""")
+WITH c AS (SELECT item_id, '(^|[^A-Za-z0-9_])' || regexp_extract(lower(text), '^[a-z]+') || '[a-z]?([^A-Za-z0-9_]|$)' AS pattern FROM benchmark WHERE regexp_matches(lower(text), '^[a-z]')),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS body FROM documents)
+SELECT doc_id, item_id FROM d JOIN c ON regexp_matches(body, pattern)""")
 def model_hits(spark, d):
-    """Models of a catalogue of patterns in all texts: one automaton finds where a pattern may match."""
-    nation = table(spark, d, "nation")
-    before, after = "(^|[^A-Za-z0-9_])", "([^A-Za-z0-9_]|$)"
-    pattern = F.concat(F.lit(before), F.lower(F.substring("n_name", 1, 3)), F.lit("[a-z]|"), F.lower(F.expr("right(n_name, 3)")), F.lit(after))
-    models = nation.select(F.col("n_name").alias("model_name"), pattern.alias("pattern"))
+    """A catalogue of patterns, of the first word of each item, in all texts: one automaton finds where a pattern may match."""
+    items = table(spark, d, "benchmark").withColumn("word", F.regexp_extract(F.lower("text"), "^[a-z]+", 0)).filter("word <> ''")
+    pattern = F.concat(F.lit("(^|[^A-Za-z0-9_])"), "word", F.lit("[a-z]?([^A-Za-z0-9_]|$)"))
+    listed = items.select("item_id", pattern.alias("pattern"))
     docs = catalogue._texts(spark, d).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("body"))
-    return patterns.with_candidates(docs, ["body"], models, "pattern").filter(F.regexp_like("body", F.col("pattern"))).select("doc_id", "model_name")
+    return patterns.with_candidates(docs, ["body"], listed, "pattern").filter(F.regexp_like("body", F.col("pattern"))).select("doc_id", "item_id")
 
 
 @query()

@@ -233,9 +233,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs: (doc_id, text). Two documents link when 100 * shared >= 80 * union of their distinct five-word shingles.
     Documents of equal sets are one vertex. Sets that link share one of their rarest shingles (of n the first
     n - ceil(0.8 n) + 1 in one order over all), so the sets under each such shingle, a bucket, are the candidates. In
-    each bucket two sets ask first: the one that meets most others, and one by a hash. A set that asks is answered by
+    each bucket, but for those whose sets have all met in one before, two sets ask first: the one that meets most others, and one by a hash. A set that asks is answered by
     T-occurrence search (t_occurrence) over the inverted lists of a bounded group of sets. That joins nearly all that belongs
-    together; where a bucket still holds several components, all its sets outside the largest ask for the others,
+    together; where a bucket still holds several components, all its sets outside the largest (or outside those that met in one bucket before, if these are more) ask for the others,
     pair by pair in small buckets, in blocks in larger ones. So no link that can join components is lost, no task holds a
     bucket, and a large group of near copies is not expanded into its pairs.
 
@@ -262,11 +262,13 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
     met, hot = _buckets(firsts, counts.value, limit)
 
     twos = met.filter("partner IS NOT NULL").select(F.col("partner.vertex").alias("asks"), F.col("vertex").alias("other"))
-    met = met.filter("partner IS NULL").drop("partner")
-    central = met.groupBy("vertex").agg(F.sum("size").alias("weight"))
-    ranked = met.join(central, "vertex").withColumn("order", F.struct("weight", F.xxhash64("vertex", "shingle").alias("hash"), "vertex", "n", "place"))
-    leaders = ranked.groupBy("shingle").agg(F.max("order").alias("low"), F.max_by("order", F.col("order.hash")).alias("high"))
-    active = materialize(spread_join(met, leaders, "shingle", "vertex", hot), "join-buckets")
+    met = materialize(_before(met.filter("partner IS NULL").drop("partner")), "join-before")
+    ranked = met.withColumn("order", F.struct("weight", F.xxhash64("vertex", "shingle").alias("hash"), "vertex", "n", "place"))
+    leaders = ranked.groupBy("shingle").agg(
+        F.max("order").alias("low"), F.max_by("order", F.col("order.hash")).alias("high"), F.min("prev").alias("a"), F.max("prev").alias("b"), F.count("prev").alias("c"), F.count(F.lit(1)).alias("all")
+    )
+    leaders = leaders.filter(~((F.col("c") == F.col("all")) & (F.col("a") == F.col("b")))).select("shingle", "low", "high")
+    active = materialize(spread_join(met.drop("weight"), leaders, "shingle", "vertex", hot), "join-buckets")
 
     star = lambda side: active.select(
         F.col(f"{side}.vertex").alias("asks"), F.col(f"{side}.n").alias("an"), F.col(f"{side}.place").alias("ap"), F.col("vertex").alias("other"), "n", "place"
@@ -281,9 +283,9 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
     links = _searched(_pair_groups(pairs), sets, "join-links")
     named = nodes.select(F.col("vertex").alias("key"), "id")
     roots = components(named, links).select(F.col("key").alias("vertex"), F.col("root"))
-    rest = _between(active, roots, sets)
+    rest = _between(active, roots, sets, hot)
     links = links if rest is None else links.unionByName(rest)
-    release(active, sets, pairs, wanted)
+    release(met, active, sets, pairs, wanted)
     classes = components(named, links).select(F.col("key").alias("vertex"), F.col("class_id").alias("component"))
     grouped = nodes.join(classes, "vertex", "left").select("key", F.coalesce("component", "id").alias("component"))
     rows = signed.select("id", "n", "key")
@@ -319,6 +321,16 @@ def _buckets(firsts: DataFrame, counts: np.ndarray, limit: int) -> tuple[DataFra
     return met.filter("parts IS NULL").drop("parts").unionByName(spread_join(split, sizes, "shingle", "vertex", hot)), hot
 
 
+def _before(met: DataFrame) -> DataFrame:
+    """met with `prev`, the shingle of a bucket that the set has next before this one, and `weight`, how many sets it meets.
+
+    Sets that have the same prev in a bucket have met in that one before: where two sets first agree, they never have. So a
+    bucket all of whose sets have one prev adds nothing, and in others only pairs of different prev, or of none, need a search.
+    """
+    of_set = Window.partitionBy("vertex")  # as many rows as a document has rare shingles
+    return met.withColumns({"weight": F.sum("size").over(of_set), "prev": F.lag("shingle").over(of_set.orderBy("place"))})
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(vertex, own): the sets of wanted (vertex, key, id), made again from the texts; more than once where rows repeat id and text."""
 
@@ -336,16 +348,28 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.filter(_digest(F.col("own")) == F.col("key")).select("vertex", "own")
 
 
-def _between(active: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links (a, b) between different components that meet in a bucket; None where no bucket has several."""
-    rows = active.filter("size > 2").select("shingle", "vertex", "n", "place").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    shares = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("m"))
-    many = shares.groupBy("shingle").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.sum("m").alias("size"), F.max("m").alias("most"), F.count(F.lit(1)).alias("parts"))
-    mixed = materialize(rows.join(many.filter("parts > 1").drop("parts"), "shingle"), "join-mixed")
+def _between(active: DataFrame, roots: DataFrame, sets: DataFrame, hot: list[tuple]) -> DataFrame | None:
+    """Links (a, b) between different components that first meet in a bucket; None where no bucket has several.
+
+    Of a bucket the sets of its largest component, or those of its most frequent prev where they are more, do not ask.
+    """
+    rows = active.filter("size > 2").select("shingle", "vertex", "n", "place", "prev").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    kinds = F.array(*[F.struct(F.lit(c == "prev").alias("by_prev"), F.col(c).alias("value")) for c in ("root", "prev")])
+    shares = rows.select("shingle", F.inline(kinds)).filter("value IS NOT NULL").groupBy("shingle", "by_prev", "value").agg(F.count(F.lit(1)).alias("m"))
+    many = shares.groupBy("shingle").agg(
+        F.max_by(F.struct("by_prev", "value"), F.struct("m", "by_prev", "value")).alias("idle"),
+        F.sum(F.when(~F.col("by_prev"), F.col("m"))).alias("size"),
+        F.max("m").alias("most"),
+        F.count_if(~F.col("by_prev")).alias("parts"),
+    )
+    mixed = spread_join(rows, many.filter("parts > 1 AND most < size").drop("parts"), "shingle", "vertex", hot)
+    idle = F.when(F.col("idle.by_prev"), F.col("prev").eqNullSafe(F.col("idle.value"))).otherwise(F.col("root") == F.col("idle.value"))
+    mixed = materialize(mixed.withColumn("asks", ~idle).drop("idle"), "join-mixed")
     out = []
     small = mixed.filter(F.col("size") <= PAIRED)
-    asking = small.filter("root <> largest").select("shingle", F.col("vertex").alias("asks"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("root").alias("own_root"))
-    pairs = asking.join(small.select("shingle", F.col("vertex").alias("other"), "n", "place", "root"), "shingle").filter("own_root <> root").filter(_may_link("an", "ap", "n", "place"))
+    asking = small.filter("asks").select("shingle", F.col("vertex").alias("asks"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("root").alias("own_root"), F.col("prev").alias("own_prev"))
+    pairs = asking.join(small.select("shingle", F.col("vertex").alias("other"), "n", "place", "root", "prev"), "shingle")
+    pairs = pairs.filter("own_root <> root AND coalesce(own_prev <> prev, true)").filter(_may_link("an", "ap", "n", "place"))
     pairs = materialize(pairs.select("asks", "other").distinct(), "join-pairs")
     if pairs.limit(1).count():
         out.append(_searched(_pair_groups(pairs), sets, "join-links"))
@@ -356,7 +380,7 @@ def _between(active: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
         place = lambda n: F.pmod(F.xxhash64("vertex", "shingle"), n).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         member = counted.select("shingle", "vertex", "root", F.lit(False).alias("asks"), each("asking").alias("i"), place(F.col("listed")).alias("j"))
-        asker = counted.filter("root <> largest").select("shingle", "vertex", "root", F.lit(True).alias("asks"), place(F.col("asking")).alias("i"), each("listed").alias("j"))
+        asker = counted.filter("asks").select("shingle", "vertex", "root", F.lit(True).alias("asks"), place(F.col("asking")).alias("i"), each("listed").alias("j"))
         cells = member.union(asker).groupBy(F.struct("shingle", "i", "j").alias("cell"), "vertex", "root").agg(F.bool_or("asks").alias("asks"))
         out.append(_searched(cells, sets, "join-links"))
     release(mixed, pairs)

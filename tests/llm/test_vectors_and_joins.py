@@ -217,6 +217,32 @@ def test_blocks_in_buckets_of_unlike_sets(spark, monkeypatch):
         assert Counter(tuple(r) for r in got.collect()) == slow_components(rows)
 
 
+def test_no_link_is_lost_with_buckets_that_others_cover(spark, monkeypatch):
+    """Sets of several shared passages, of equal and of different ones before each bucket, searched in pairs and in blocks."""
+    monkeypatch.setattr(jaccard_join, "SEARCH", 6)
+    rng = np.random.default_rng(21)
+    prose = lambda n: [f"p{x}" for x in rng.integers(10**6, size=n)]
+    passages = [prose(25) for _ in range(4)]
+    texts = []
+    for _ in range(160):
+        own = [x for k in rng.permutation(4)[: rng.integers(1, 4)] for x in passages[k][rng.integers(4) :]]
+        texts.append(" ".join(own + prose(rng.integers(9))))
+    rows = list(enumerate(texts))
+    want = slow_components(rows)
+    assert 20 < len({c for _, _, c in want}) < 140
+    for paired in (0, 1000):
+        monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert Counter(tuple(r) for r in got.collect()) == want
+
+
+def test_a_bucket_that_another_covers_is_left_out(spark):
+    """Where all sets of a bucket have the same prev, the pair was met before; where one has another, it stays."""
+    met = spark.createDataFrame([(s, v, 9, p, 3) for v in (1, 2, 3) for p, s in enumerate((70, 71, 72)) if (v, s) != (3, 71)], "shingle long, vertex long, n long, place int, size long")
+    got = {(r["shingle"], r["vertex"]): (r["prev"], r["weight"]) for r in jaccard_join._before(met).collect()}
+    assert got == {(70, 1): (None, 9), (71, 1): (70, 9), (72, 1): (71, 9), (70, 2): (None, 9), (71, 2): (70, 9), (72, 2): (71, 9), (70, 3): (None, 6), (72, 3): (70, 6)}
+
+
 @pytest.mark.parametrize("module", [centroids, hard_negatives, jaccard_join])
 def test_whole_tables_match_sql(spark, module):
     con = duckdb.connect()

@@ -231,7 +231,7 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels.select("key", F.col("label.id").alias("class_id"), F.col("label.key").alias("root"))
 
 
-def _between(active: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float, hot: list[tuple]) -> DataFrame:
+def _between(active: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float, hot: list[tuple] | None = None) -> DataFrame:
     """Links (a, b) between different components that meet in a bucket, found exactly.
 
     In a bucket of more than two (one link is all that a pair has), every member outside the largest

@@ -20,7 +20,8 @@ SIMILARITY = (80, 100)  #: shared * 100 >= union * 80
 COUNT_BITS = 21  #: log2 of the hashed shingle counts, of which only the order of shingles depends
 COUNT_CHUNK = 1 << 14
 SEARCH = 400  #: sets of a group that is searched, about
-PAIRED = 32  #: buckets up to this size are searched pair by pair, larger ones in blocks
+PAIRED = 32  #: buckets up to this size are compared pair by pair, larger ones in blocks
+BLOCK = 2000  #: sets of a block whose sketches are compared, about
 LONG_LISTS = 0.01  #: DivideSkip's constant: how many of the longest lists are probed instead of merged
 BROADCAST_ROWS = 1_000_000  #: what names sets (50 bytes a row) is broadcast up to this number, so that texts and sets stay where they are
 NO_ID = -(1 << 63)
@@ -85,8 +86,96 @@ def _digest(shingles: Column) -> Column:
     return F.unhex(F.substring(F.sha2(shingles, 256), 1, 32))
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """For each of a power of two of bins, at least as many as shingles, whether it has an odd number of them; a bin is a hash's low bits."""
+    bins = max(64, 1 << (max(len(shingles), 1) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def most_apart(n: np.ndarray) -> np.ndarray:
+    """How many shingles at most only one of two sets that link has, n being the sum of their sizes."""
+    return n + 2 * (-n * SIMILARITY[0] // sum(SIMILARITY))
+
+
+def _by_length(sketches: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places of the sketches of each length in words, and those sketches, a row for each."""
+    found = sketches.to_pylist()
+    words = np.array([len(x) // 8 for x in found], dtype=np.int64)
+    own = {k: np.flatnonzero(words == k) for k in np.unique(words).tolist()}
+    return {k: (at, np.frombuffer(b"".join([found[i] for i in at.tolist()]), "<u8").reshape(len(at), k)) for k, at in own.items()}
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """The sketches over fewer bins: both halves together, as often as needed."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bins sketches differ, never more than shingles that only one set has; a and b are broadcast against each other, words last."""
+    words = min(a.shape[-1], b.shape[-1])
+    a, b = (_folded(x.reshape(-1, x.shape[-1]), words).reshape(*x.shape[:-1], words) for x in (a, b))
+    out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), dtype=np.int32)
+    for w in range(words):
+        out += np.bitwise_count(a[..., w] ^ b[..., w])
+    return out
+
+
+def _alike(pairs: DataFrame, marks: DataFrame, name: str) -> DataFrame:
+    """Those pairs (asks, other, and more) whose sketches allow a link, with `apart`, in how many bins they differ, and `most`, how many a link allows.
+
+    marks: (vertex, n, sketch). A set of many pairs is spread.
+    """
+    kept = [c for c in pairs.columns if c not in ("asks", "other")]
+    for side, by in (("asks", "other"), ("other", "asks")):
+        own = marks.select(F.col("vertex").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))
+        pairs = spread_join(pairs, own, side, by, spread_keys(pairs.select(side), side))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column("asks_n"), dtype=np.int64) + np.asarray(batch.column("other_n"), dtype=np.int64)
+            apart = np.zeros(len(n), dtype=np.int64)
+            one, two = _by_length(batch.column("asks_sketch")), _by_length(batch.column("other_sketch"))
+            for at, a in one.values():
+                for there, b in two.values():
+                    both, i, j = np.intersect1d(at, there, assume_unique=True, return_indices=True)
+                    apart[both] = _apart(a[i], b[j])
+            keep = pa.array(apart <= most_apart(n))
+            columns = [batch.column(c) for c in ("asks", "other", *kept)] + [pa.array(apart), pa.array(most_apart(n))]
+            yield pa.RecordBatch.from_arrays(columns, names=["asks", "other", *kept, "apart", "most"]).filter(keep)
+
+    kinds = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in kept)
+    return materialize(pairs.mapInArrow(run, f"asks long, other long{kinds}, apart long, most long"), name)
+
+
+def _block_pairs(group: pa.Table) -> pa.Table:
+    """(asks, other): pairs of sets of a block that may link by their sketches and first agree in its bucket, of different components."""
+    column = lambda c: np.asarray(group.column(c).combine_chunks())
+    vertex, root, n, place, asks = (column(c) for c in ("vertex", "root", "n", "place", "asks"))
+    prev, none = np.asarray(group.column("prev").fill_null(0).combine_chunks()), np.asarray(group.column("prev").is_null().combine_chunks())
+    a, b = [], []
+    lengths = _by_length(group.column("sketch"))
+    for words, (at, own) in lengths.items():
+        asking = np.flatnonzero(asks[at])
+        for others, (there, listed) in lengths.items():
+            if max(words, others) > 2 * min(words, others):  # sizes that do not link
+                continue
+            for k in range(0, len(asking), max(1, (1 << 20) // len(there))):
+                mine = asking[k : k + max(1, (1 << 20) // len(there))]
+                i, j = np.nonzero(_apart(own[mine][:, None], listed[None]) <= most_apart(n[at[mine]][:, None] + n[there][None]))
+                i, j = at[mine][i], there[j]
+                most = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1  # as in _may_link
+                keep = (root[i] != root[j]) & ((prev[i] != prev[j]) | none[i] | none[j]) & (most * sum(SIMILARITY) >= SIMILARITY[0] * (n[i] + n[j]))
+                a.append(vertex[i[keep]])
+                b.append(vertex[j[keep]])
+    joined = lambda x: pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64())
+    return pa.table({"asks": joined(a), "other": joined(b)})
+
+
 def _signed(docs: DataFrame, counts) -> DataFrame:
-    """id, key (of the set, null without shingles), n, prefix: the rarest n - least_overlap(n) + 1 shingles, rarest first."""
+    """id, key (of the set, null without shingles), n, prefix: the rarest n - least_overlap(n) + 1 shingles, rarest first, and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,13 +187,18 @@ def _signed(docs: DataFrame, counts) -> DataFrame:
                     order = np.lexsort((own, counts.value[_at(own)]))
                     prefixes.append(own[order[: len(own) - least_overlap(len(own)) + 1]].view(np.int64) if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(texts)), pa.array([s.astype("<u8").tobytes() if len(s) else None for s in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    names=["id", "own", "prefix"],
+                    [
+                        ids.slice(at, len(texts)),
+                        pa.array([s.astype("<u8").tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary()),
+                    ],
+                    names=["id", "own", "prefix", "sketch"],
                 )
                 at += len(texts)
 
-    made = docs.mapInArrow(run, "id long, own binary, prefix array<long>")
-    return made.select("id", _digest(F.col("own")).alias("key"), F.coalesce(F.length("own") / 8, F.lit(0)).cast("long").alias("n"), "prefix")
+    made = docs.mapInArrow(run, "id long, own binary, prefix array<long>, sketch binary")
+    return made.select("id", _digest(F.col("own")).alias("key"), F.coalesce(F.length("own") / 8, F.lit(0)).cast("long").alias("n"), "prefix", "sketch")
 
 
 # --- T-occurrence search -------------------------------------------------------------------------
@@ -197,13 +291,21 @@ def _links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _searched(groups: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """(a, b): the links found in groups (cell, vertex, root, asks); a set is sent once to each group that it is in."""
+def _searched(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): the links of pairs (asks, other) and of what is searched with them; a set is sent once to each group that it is in."""
+    wanted = materialize(pairs.select("asks").union(pairs.select("other")).distinct().withColumnRenamed("asks", "vertex").join(nodes, "vertex"), "join-wanted")
+    sets = materialize(_sets(docs, wanted), "join-sets")
+    if sets.count() > wanted.count():
+        again, sets = sets, materialize(sets.dropDuplicates(["vertex"]), "join-sets")
+        release(again)
+    groups = _pair_groups(pairs)
     if groups.count() <= BROADCAST_ROWS:
         held = sets.join(F.broadcast(groups), "vertex")
     else:
         held = spread_join(groups, sets, "vertex", "cell", spread_keys(groups, "vertex"))
-    return materialize(held.select("cell", "vertex", "root", "asks", "own").groupBy("cell").applyInArrow(_links, "a long, b long").distinct(), name)
+    links = materialize(held.select("cell", "vertex", "root", "asks", "own").groupBy("cell").applyInArrow(_links, "a long, b long").distinct(), "join-links")
+    release(wanted, sets)
+    return links
 
 
 def _pair_groups(pairs: DataFrame) -> DataFrame:
@@ -236,7 +338,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     each bucket, but for those whose sets have all met in one before, two sets ask first: the one that meets most others, and one by a hash. A set that asks is answered by
     T-occurrence search (t_occurrence) over the inverted lists of a bounded group of sets. That joins nearly all that belongs
     together; where a bucket still holds several components, all its sets outside the largest (or outside those that met in one bucket before, if these are more) ask for the others,
-    pair by pair in small buckets, in blocks in larger ones. So no link that can join components is lost, no task holds a
+    pair by pair in small buckets, in blocks in larger ones. Before any set is sent to a group, sketches of its pairs are
+    compared: the bins of a sketch that have an odd number of a set's shingles differ between two sets in no more bins than
+    there are shingles that only one of them has, so a pair that links always passes. So no link that can join components is lost, no task holds a
     bucket, and a large group of near copies is not expanded into its pairs.
 
     The order of shingles is by hashed counts over all rows, which costs or saves work and changes no link. Null texts
@@ -254,15 +358,16 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(shingle_counts(own))  # of fixed size
     # Written once: the number of a row, which stands for its set, then stays what it is.
     signed = materialize(_signed(own, counts).withColumn("row", F.monotonically_increasing_id()), "join-signed")
-    nodes = signed.filter("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("least"))
-    nodes = materialize(nodes.select("key", F.col("least.id").alias("id"), F.col("least.row").alias("vertex")), "join-nodes")
+    nodes = signed.filter("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialize(nodes.select("key", F.col("least.id").alias("id"), F.col("least.row").alias("vertex"), "copies"), "join-nodes")
 
-    firsts = signed.join(nodes.select(F.col("vertex").alias("row")), "row").select(F.col("row").alias("vertex"), "n", F.posexplode("prefix").alias("place", "shingle"))
+    firsts = _firsts(signed, nodes).select("vertex", "n", F.posexplode("prefix").alias("place", "shingle"))
     limit = max(200, (signed.agg(F.sum(F.size("prefix"))).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    met, hot = _buckets(firsts, counts.value, limit)
+    buckets, sizes = _buckets(firsts, counts.value, limit)
 
-    twos = met.filter("partner IS NOT NULL").select(F.col("partner.vertex").alias("asks"), F.col("vertex").alias("other"))
-    met = materialize(_before(met.filter("partner IS NULL").drop("partner")), "join-before")
+    twos = buckets.filter("partner IS NOT NULL").select(F.col("partner.vertex").alias("asks"), F.col("vertex").alias("other"), F.lit(0).cast("long").alias("weight"))
+    met = materialize(_before(buckets.filter("partner IS NULL").drop("partner")), "join-before")
+    hot = spread_keys(met, "shingle")
     ranked = met.withColumn("order", F.struct("weight", F.xxhash64("vertex", "shingle").alias("hash"), "vertex", "n", "place"))
     leaders = ranked.groupBy("shingle").agg(
         F.max("order").alias("low"), F.max_by("order", F.col("order.hash")).alias("high"), F.min("prev").alias("a"), F.max("prev").alias("b"), F.count("prev").alias("c"), F.count(F.lit(1)).alias("all")
@@ -271,21 +376,25 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
     active = materialize(spread_join(met.drop("weight"), leaders, "shingle", "vertex", hot), "join-buckets")
 
     star = lambda side: active.select(
-        F.col(f"{side}.vertex").alias("asks"), F.col(f"{side}.n").alias("an"), F.col(f"{side}.place").alias("ap"), F.col("vertex").alias("other"), "n", "place"
+        F.col(f"{side}.vertex").alias("asks"), F.col(f"{side}.n").alias("an"), F.col(f"{side}.place").alias("ap"), F.col("vertex").alias("other"), "n", "place", F.col(f"{side}.weight").alias("weight")
     )
     stars = star("low").union(star("high")).filter("asks <> other").filter(_may_link("an", "ap", "n", "place"))
-    pairs = materialize(stars.select("asks", "other").union(twos).distinct(), "join-pairs")
-    wanted = active.select("vertex").union(pairs.select("asks")).union(pairs.select("other")).distinct()
-    wanted = materialize(wanted.join(nodes, "vertex"), "join-wanted")
-    sets = materialize(_sets(own, wanted), "join-sets")
-    if sets.count() > wanted.count():
-        sets = materialize(sets.dropDuplicates(["vertex"]), "join-sets")
-    links = _searched(_pair_groups(pairs), sets, "join-links")
+    stars = materialize(stars.select("asks", "other", "weight").union(twos).groupBy("asks", "other").agg(F.max("weight").alias("weight")), "join-stars")
+    release(met, *sizes)  # twos and met were read from these
+    marked = active.select("vertex").union(stars.select("asks")).union(stars.select("other")).distinct()
+    marked = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
+    marks = materialize(signed.select(F.col("row").alias("vertex"), "n", "sketch").join(marked, "vertex"), "join-marks")
+    pairs = _alike(stars, marks, "join-pairs")
+    # Each set is searched with one of those that ask for it; who is surely alike comes first, then who meets most others.
+    sure = F.col("apart") * 2 <= F.col("most")
+    chosen = pairs.groupBy("other").agg(F.max_by("asks", F.struct(sure, F.when(sure, F.col("weight")), -F.col("apart"), "asks")).alias("asks"))
+    links = _searched(own, nodes, materialize(chosen, "join-chosen"))
     named = nodes.select(F.col("vertex").alias("key"), "id")
-    roots = components(named, links).select(F.col("key").alias("vertex"), F.col("root"))
-    rest = _between(active, roots, sets, hot)
-    links = links if rest is None else links.unionByName(rest)
-    release(met, active, sets, pairs, wanted)
+    roots = materialize(components(named, links).select(F.col("key").alias("vertex"), F.col("root")), "join-roots")
+    between = _between(active, pairs, roots, marks, hot)
+    if between.limit(1).count():
+        links = links.unionByName(_searched(own, nodes, between))
+    release(active, stars, marks, pairs, between)
     classes = components(named, links).select(F.col("key").alias("vertex"), F.col("class_id").alias("component"))
     grouped = nodes.join(classes, "vertex", "left").select("key", F.coalesce("component", "id").alias("component"))
     rows = signed.select("id", "n", "key")
@@ -294,8 +403,17 @@ def _jaccard_components(docs: DataFrame) -> DataFrame:
     return rows.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 
 
-def _buckets(firsts: DataFrame, counts: np.ndarray, limit: int) -> tuple[DataFrame, list[tuple]]:
-    """firsts (shingle, vertex, n, place) with `size`, how many have the shingle, where several have; and (shingle, parts) of those that more than limit have.
+def _firsts(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The row of each set that stands for it, as `vertex`; only sets of several rows are looked up, so that prefixes stay where they are."""
+    several = nodes.filter("copies > 1").select("key", "vertex")
+    rows = signed.filter("n > 0").select("key", "row", "n", "prefix")
+    if several.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(several), "key", "left").filter("vertex IS NULL OR vertex = row").drop("vertex").withColumnRenamed("row", "vertex")
+    return rows.join(nodes.select(F.col("vertex").alias("row")), "row").withColumnRenamed("row", "vertex")
+
+
+def _buckets(firsts: DataFrame, counts: np.ndarray, limit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """firsts (shingle, vertex, n, place) with `size`, how many have the shingle, where several have; and the tables written for it.
 
     Of two alone that have a shingle one row is kept, with the other as `partner`, and none where they cannot link.
 
@@ -314,11 +432,11 @@ def _buckets(firsts: DataFrame, counts: np.ndarray, limit: int) -> tuple[DataFra
     counted = counted.filter(~two | ((F.col("vertex") != F.col("first.vertex")) & _may_link("an", "ap", "n", "place")))
     met = materialize(counted.drop("part", "first", "an", "ap"), "join-met")
     if not many:
-        return met.drop("parts"), []
+        return met.drop("parts"), [met]
     split = met.filter("parts IS NOT NULL").drop("parts", "size")
     sizes = materialize(split.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "join-sizes")
     hot = [(r["shingle"], -(-r["size"] // limit)) for r in sizes.filter(F.col("size") > limit).collect()]  # bounded by the number of partitions
-    return met.filter("parts IS NULL").drop("parts").unionByName(spread_join(split, sizes, "shingle", "vertex", hot)), hot
+    return met.filter("parts IS NULL").drop("parts").unionByName(spread_join(split, sizes, "shingle", "vertex", hot)), [met, sizes]
 
 
 def _before(met: DataFrame) -> DataFrame:
@@ -348,11 +466,15 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.filter(_digest(F.col("own")) == F.col("key")).select("vertex", "own")
 
 
-def _between(active: DataFrame, roots: DataFrame, sets: DataFrame, hot: list[tuple]) -> DataFrame | None:
-    """Links (a, b) between different components that first meet in a bucket; None where no bucket has several.
+def _between(active: DataFrame, pairs: DataFrame, roots: DataFrame, marks: DataFrame, hot: list[tuple]) -> DataFrame:
+    """Pairs (asks, other) between different components that may link by their sketches: those of pairs, and all that first meet in a bucket.
 
     Of a bucket the sets of its largest component, or those of its most frequent prev where they are more, do not ask.
     """
+    rooted = lambda c, name: roots.select(F.col("vertex").alias(c), F.col("root").alias(name))
+    left = pairs.select("asks", "other").join(rooted("asks", "asks_root"), "asks", "left")
+    left = left.join(rooted("other", "other_root"), "other", "left")
+    left = left.filter("coalesce(asks_root, asks) <> coalesce(other_root, other)").select("asks", "other")
     rows = active.filter("size > 2").select("shingle", "vertex", "n", "place", "prev").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     kinds = F.array(*[F.struct(F.lit(c == "prev").alias("by_prev"), F.col(c).alias("value")) for c in ("root", "prev")])
     shares = rows.select("shingle", F.inline(kinds)).filter("value IS NOT NULL").groupBy("shingle", "by_prev", "value").agg(F.count(F.lit(1)).alias("m"))
@@ -365,26 +487,25 @@ def _between(active: DataFrame, roots: DataFrame, sets: DataFrame, hot: list[tup
     mixed = spread_join(rows, many.filter("parts > 1 AND most < size").drop("parts"), "shingle", "vertex", hot)
     idle = F.when(F.col("idle.by_prev"), F.col("prev").eqNullSafe(F.col("idle.value"))).otherwise(F.col("root") == F.col("idle.value"))
     mixed = materialize(mixed.withColumn("asks", ~idle).drop("idle"), "join-mixed")
-    out = []
     small = mixed.filter(F.col("size") <= PAIRED)
     asking = small.filter("asks").select("shingle", F.col("vertex").alias("asks"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("root").alias("own_root"), F.col("prev").alias("own_prev"))
-    pairs = asking.join(small.select("shingle", F.col("vertex").alias("other"), "n", "place", "root", "prev"), "shingle")
-    pairs = pairs.filter("own_root <> root AND coalesce(own_prev <> prev, true)").filter(_may_link("an", "ap", "n", "place"))
-    pairs = materialize(pairs.select("asks", "other").distinct(), "join-pairs")
-    if pairs.limit(1).count():
-        out.append(_searched(_pair_groups(pairs), sets, "join-links"))
+    few = asking.join(small.select("shingle", F.col("vertex").alias("other"), "n", "place", "root", "prev"), "shingle")
+    few = few.filter("own_root <> root AND coalesce(own_prev <> prev, true)").filter(_may_link("an", "ap", "n", "place"))
+    few = materialize(few.select("asks", "other").distinct(), "join-few")
+    found = _alike(few, marks, "join-few")
     large = mixed.filter(F.col("size") > PAIRED)
-    if large.limit(1).count():
-        blocks = lambda n: F.ceil(F.col(n) / SEARCH).cast("int")
-        counted = large.withColumn("rest", F.col("size") - F.col("most")).withColumn("listed", blocks("size")).withColumn("asking", blocks("rest"))
-        place = lambda n: F.pmod(F.xxhash64("vertex", "shingle"), n).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        member = counted.select("shingle", "vertex", "root", F.lit(False).alias("asks"), each("asking").alias("i"), place(F.col("listed")).alias("j"))
-        asker = counted.filter("asks").select("shingle", "vertex", "root", F.lit(True).alias("asks"), place(F.col("asking")).alias("i"), each("listed").alias("j"))
-        cells = member.union(asker).groupBy(F.struct("shingle", "i", "j").alias("cell"), "vertex", "root").agg(F.bool_or("asks").alias("asks"))
-        out.append(_searched(cells, sets, "join-links"))
-    release(mixed, pairs)
-    return None if not out else out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    counted = large.withColumn("rest", F.col("size") - F.col("most")).withColumn("listed", blocks("size")).withColumn("asking", blocks("rest")).join(marks.drop("n"), "vertex")
+    place = lambda n: F.pmod(F.xxhash64("vertex", "shingle"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    told = ["shingle", "vertex", "root", "prev", "n", "place", "sketch"]
+    # One that asks is listed too, but where its block asks of its own, as one row.
+    member = counted.select(*told, each("asking").alias("i"), place(F.col("listed")).alias("j"), F.when(F.col("asks"), place(F.col("asking"))).alias("at")).withColumn("asks", F.coalesce(F.col("at") == F.col("i"), F.lit(False))).drop("at")
+    asker = counted.filter("asks").select(*told, place(F.col("asking")).alias("i"), each("listed").alias("j"), place(F.col("listed")).alias("at")).filter("at <> j").drop("at").withColumn("asks", F.lit(True))
+    cells = member.unionByName(asker).groupBy("shingle", "i", "j").applyInArrow(_block_pairs, "asks long, other long")
+    out = materialize(left.unionByName(found.select("asks", "other")).unionByName(cells).distinct(), "join-between")
+    release(mixed, few, found)
+    return out
 
 
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,46 @@ def test_a_bucket_that_another_covers_is_left_out(spark):
     assert got == {(70, 1): (None, 9), (71, 1): (70, 9), (72, 1): (71, 9), (70, 2): (None, 9), (71, 2): (70, 9), (72, 2): (71, 9), (70, 3): (None, 6), (72, 3): (70, 6)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 700), st.integers(1, 700), st.integers(0, 700), st.integers(0, 10**6))
+def test_sketches_of_sets_that_link_are_never_too_far_apart(n, m, shared, seed):
+    shared = min(n, m, shared)
+    rng = np.random.default_rng(seed)
+    own = np.unique(rng.integers(1 << 63, size=n + m - shared).astype(np.uint64) * np.uint64(2) + np.uint64(seed % 2))
+    rng.shuffle(own)
+    a, b = own[:n], own[n - shared : n - shared + m]
+    both = [np.frombuffer(jaccard_join.parity_sketch(x), "<u8")[None] for x in (a, b)]
+    apart, alone = int(jaccard_join._apart(*both)[0]), len(np.setxor1d(a, b))
+    assert apart <= alone and apart == int(jaccard_join._apart(*both[::-1])[0])
+    if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+        assert alone <= jaccard_join.most_apart(np.array([len(a) + len(b)]))[0]
+
+
+def test_sets_that_only_share_a_passage_are_not_searched(spark, monkeypatch):
+    """Sets of one bucket that are unlike by their sketches are sent to no group, in small buckets and in blocks; near copies among them still link."""
+    rng = np.random.default_rng(33)
+    prose = lambda n: " ".join(f"p{x}" for x in rng.integers(10**6, size=n))
+    passage = prose(60)
+    texts = [f"{passage} {prose(90)}" for _ in range(70)]
+    texts += [texts[k] + " tail" for k in range(0, 70, 7)]
+    rows = list(enumerate(texts))
+    searched = []
+    plain = jaccard_join._searched
+
+    def counted(docs, nodes, pairs):
+        searched.append(pairs.count())
+        return plain(docs, nodes, pairs)
+
+    monkeypatch.setattr(jaccard_join, "_searched", counted)
+    for paired, size in ((1000, 2000), (0, 2000), (0, 9)):
+        monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+        monkeypatch.setattr(jaccard_join, "BLOCK", size)
+        searched.clear()
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert Counter(tuple(r) for r in got.collect()) == slow_components(rows)
+        assert 10 <= sum(searched) <= 40
+
+
 @pytest.mark.parametrize("module", [centroids, hard_negatives, jaccard_join])
 def test_whole_tables_match_sql(spark, module):
     con = duckdb.connect()

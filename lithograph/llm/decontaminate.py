@@ -18,7 +18,6 @@ RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1  #: fingerprints within it agree in som
 WEIGHT_STEPS = 16  #: weights are whole numbers, so that sums do not depend on their order
 BROADCAST_SHINGLES = 1_000_000  #: the items' shingles are broadcast up to this number, else joined by a shuffle
 BROADCAST_DOCUMENTS = 2_000_000  #: so are the keys of documents that hold one of them (16 bytes each)
-BROADCAST_ITEMS = 250  #: and the index of so many items' fingerprints (5,576 entries of 16 bytes each)
 
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 NO_ID = -(1 << 63)  #: stands for a null id
@@ -163,12 +162,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
     item_prints = _fingerprints(item_weighed, ["item", "item_id", "n"]).withColumnsRenamed({"low": "item_low", "high": "item_high", "total": "item_total"})
     item_prints = materialize(item_prints, "item-fingerprints")
-    few = items.count() <= BROADCAST_ITEMS
-    index = _index(item_prints)
+    index = _index(item_prints)  # 5,576 entries an item: always shuffled, as the driver would hold a broadcast one several times over
     probed = prints.select(*window, "low", "high", "total", F.explode(_slots(F.col("low"), F.col("high"))).alias("slot"))
     apart = (F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))).cast("int")
-    met = probed.join(F.broadcast(index), "slot") if few else spread_join(probed, index, "slot", "id", spread_keys(probed, "slot"))
-    met = met.drop("slot").join(F.broadcast(item_prints.drop("n")) if few else item_prints.drop("n"), "item")
+    met = spread_join(probed, index, "slot", "id", spread_keys(probed, "slot")).drop("slot").join(item_prints.drop("n"), "item")
     near = met.withColumn("hamming", apart).filter(F.col("hamming") <= RADIUS).select(*window, "total", "item", "item_id", "item_total", "hamming").distinct()
     near = materialize(near, "window-candidates")
     release(items, hits, involved, prints, item_prints)  # the result reads the others

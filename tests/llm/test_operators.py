@@ -262,6 +262,28 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminations(none, items).count() == 0 and decontaminate.contaminations(docs, items.limit(0)).count() == 0
 
 
+def test_the_index_of_items_is_not_held_by_the_driver(spark, monkeypatch):
+    """The multi-index meets the windows in a shuffle, however few the items are: its size would count several times on the driver."""
+    plans, kept = {}, decontaminate.materialize
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(decontaminate, "materialize", noted)
+    items = [(i, prose(7000 + i, 20)) for i in range(30)]
+    rows = spark.createDataFrame([(i, f"{prose(i, 10)} {items[i][1]} {prose(50 + i, 10)}") for i in range(30)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # only what the code asks for
+    try:
+        got = decontaminate.contaminations(rows, spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(30)}
+    joins = [line for line in plans["window-candidates"].splitlines() if "Join [slot" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+
+
 def test_decontamination_matches_brute_force(spark):
     """Edited items: every window whose weighted similarity reaches the threshold is found where its fingerprint is near."""
     items = [(k, prose(100 + k, 40)) for k in range(4)]

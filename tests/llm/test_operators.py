@@ -527,6 +527,40 @@ def test_language_model_tells_texts_that_occur_twice(spark):
     assert max(twice) < min(once) and got[900].n_tokens == 1 and got[901].score < 0 and got[902].bits_per_byte < 1.1 * min(once)
 
 
+def test_known_words_are_predicted_from_the_words_before(spark):
+    """Texts in which each word has two successors cost far less than the same words in another order, texts of their own words left out."""
+    vocabulary = [prose(4000 + i, 1) + str(i) for i in range(300)]
+    rng, rows = np.random.default_rng(11), []
+    for i in range(240):
+        at, own = int(rng.integers(300)), []
+        for _ in range(40):
+            own.append(vocabulary[at])
+            at = (at * 7 + 13 + 101 * int(rng.integers(2))) % 300
+        rows.append((i, " ".join(own)))
+    mixed = [(i, " ".join(rng.permutation(t.split()))) for i, t in rows]
+    cost = []
+    for own in (rows, mixed):
+        got = lm_score.score_texts(spark.createDataFrame(own, "doc_id long, text string")).collect()
+        cost.append({held: np.mean([r.total_bits for r in got if r.held_out == held]) for held in (False, True)})
+    assert cost[0][True] < 0.8 * cost[1][True] and cost[0][False] < 0.8 * cost[1][False], cost
+
+
+def test_word_contexts_learn_all_training_words():
+    """The slots of the word before hold the code bits of every word after it, once a text; held-out texts teach nothing."""
+    texts, training = ["a b a b c", "A b", "a b", ""], np.array([True, True, False, True])
+    into = np.zeros((2, lm_score.WORD_OFFSETS[-1]), dtype=np.uint32)
+    lm_score.block_rows(texts, training, 0, 3, np.zeros((lm_score.CLASSES, 256)), into)
+    t = lm_score.Tokens(texts)
+    at = np.array([1])  # the b after a
+    for _, bit, slots in t.code_bits(at):
+        for own in slots:
+            assert into[bit[0], own[0]] >= 2
+    # a, b, c and the end; a, b and the end; the end: for each as many decisions as bits and contexts.
+    assert into.sum() == 8 * lm_score.DEPTH * len(lm_score.WORD_CONTEXTS)
+    kept = np.sum([sum(int(lm_score._read_code(p).sum()) for p in b.column("payload").to_pylist()) for b in lm_score.code_rows(into)])
+    assert kept == into.sum()
+
+
 def test_mixing_online_matches_a_loop():
     """Costs of decisions mixed in vectors are those of a plain loop over each document."""
     rng = np.random.default_rng(4)

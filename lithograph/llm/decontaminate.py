@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import let, materialize, release, spread_join, spread_keys, table, unused
+from lithograph.llm.common import let, local_table, materialize, release, spread_join, spread_keys, table, unused
 
 SHINGLE = 5  #: words of a shingle
 SIMILARITY = 0.8
@@ -94,7 +94,7 @@ def _masks() -> list[int]:
 
 def _index(prints: DataFrame) -> DataFrame:
     """(slot, item): the multi-index, each block of an item's fingerprint with all values within BLOCK_RADIUS bits."""
-    masks = prints.sparkSession.createDataFrame([(_masks(),)], "masks array<int>")
+    masks = local_table(prints.sparkSession, [(_masks(),)], "masks array<int>")
     rows = prints.select("item", F.explode(_slots(F.col("item_low"), F.col("item_high"))).alias("slot")).crossJoin(F.broadcast(masks))  # one row
     return rows.select("item", "slot", F.explode("masks").alias("mask")).select(F.col("slot").bitwiseXOR(F.col("mask").cast("long")).alias("slot"), "item")
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import Words, block, materialize, powered, ranges_hash, release, slices, small_batches, spread_join, spread_keys, sums, table
+from lithograph.llm.common import Words, block, local_table, materialize, powered, ranges_hash, release, slices, small_batches, spread_join, spread_keys, sums, table
 from lithograph.llm.near_dedup import _components as components
 
 SHINGLE = 5
@@ -422,7 +422,7 @@ def _buckets(firsts: DataFrame, counts: np.ndarray, limit: int) -> tuple[DataFra
     """
     spark = firsts.sparkSession
     many = [(int(k), int(-(-int(counts[k]) // limit))) for k in np.flatnonzero(counts > limit)]  # bounded by the number of partitions
-    listed = F.broadcast(spark.createDataFrame(many, "slot int, parts int"))
+    listed = F.broadcast(local_table(spark, many, "slot int, parts int"))
     dealt = firsts.withColumn("slot", F.shiftrightunsigned("shingle", 64 - COUNT_BITS).cast("int")).join(listed, "slot", "left").drop("slot")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vertex"), F.coalesce("parts", F.lit(1))).cast("int")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle", "part")
     together = Window.partitionBy("shingle", "part")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import fold, table
+from lithograph.llm.common import fold, pieces, small_batches, table
 
 BITS = 22  #: log2 of the number of hashed features
 SIZES = (5, 8)  #: characters of an n-gram, the spaces around words among them
@@ -43,7 +43,7 @@ def ngrams(text: str | None) -> np.ndarray:
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, docs = np.zeros((2, 1 << BITS), dtype=np.int32), [0, 0, 0, 0]
-    for batch in batches:
+    for batch in pieces(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic, np.unique(ngrams(text))] += 1
             docs[toxic] += 1
@@ -159,6 +159,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     document with several labels counts once for each. Without labels nothing is known to be toxic: every score is
     next to 0.
     """
+    with small_batches(docs.sparkSession):  # all that is fitted is collected in here
+        return _train(docs, labels)
+
+
+def _train(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold(F.col("doc_id"), 4) != 2)
@@ -174,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.unpackbits(mask.value, count=1 << BITS).astype(bool)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [present(t, own).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "at"])
 
@@ -203,7 +208,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _dense(sent.value)
-        for batch in batches:
+        for batch in pieces(batches):
             scores = pa.array([own.score(t) for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", "score"])
 
@@ -220,7 +225,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _dense(sent.value)
-        for batch in batches:
+        for batch in pieces(batches):
             clean = pa.array([own.score(t) < threshold for t in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
             yield batch.filter(clean).select(list(range(batch.num_columns - 1)))
 

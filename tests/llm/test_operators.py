@@ -671,3 +671,25 @@ def test_token_ids_of_a_whole_table_are_those_of_whole_texts(spark):
     assert token_files.WordEncoder(definition).encode_all(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     spaced = Tokenizer.from_str(other)
     assert token_files.encoder_of(other).encode_all(texts[:50]) == [np.array(spaced.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:50]]
+
+
+def test_small_tables_start_no_second_set_of_python_workers(spark):
+    """Tables that the driver lists reach Spark as Arrow: rows of an RDD of Python's would keep further workers in each executor."""
+    rows = [(bytearray(b"ab"), 3), (b"c", 1)]
+    listed = common.local_table(spark, rows, "`key` binary, parts int")
+    assert sorted((bytes(r.key), r.parts) for r in listed.collect()) == [(b"ab", 3), (b"c", 1)]
+    assert common.local_table(spark, [], "slot int, parts int").collect() == []
+    big = spark.range(400).selectExpr("id % 2 AS k", "id AS v")
+    joined = common.spread_join(big, spark.range(2).selectExpr("id AS k", "id + 7 AS w"), "k", "v", [(0, 3)])
+    assert sorted((r.k, r.v, r.w) for r in joined.collect()) == sorted((v % 2, v, v % 2 + 7) for v in range(400))
+    assert "ExistingRDD" not in joined._jdf.queryExecution().toString()
+
+
+def test_toxicity_holds_few_texts_at_a_time(spark):
+    """Whole rows pass through Python in pieces of few rows, however large Spark's batches are; the model is fitted in small batches."""
+    from lithograph.llm.toxicity import pieces
+
+    batch = spark.createDataFrame([(i, f"text {i}") for i in range(600)], "doc_id long, text string").toArrow().to_batches()
+    cut = list(pieces(iter(batch), 256))
+    assert max(b.num_rows for b in cut) <= 256
+    assert [i for b in cut for i in b.column("doc_id").to_pylist()] == list(range(600))

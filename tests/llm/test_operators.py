@@ -693,3 +693,29 @@ def test_toxicity_holds_few_texts_at_a_time(spark):
     cut = list(pieces(iter(batch), 256))
     assert max(b.num_rows for b in cut) <= 256
     assert [i for b in cut for i in b.column("doc_id").to_pylist()] == list(range(600))
+
+
+def test_lm_work_follows_the_words_not_the_slots():
+    """A bucket of few words is added without arrays of all slots, and decisions sorted once cost what mix_online says."""
+    import tracemalloc
+
+    into = np.zeros((2, lm_score.OFFSETS[-1]), dtype=np.float32)
+    tracemalloc.start()
+    lm_score._add_types(np.frombuffer(b"abab", np.uint8), np.array([2, 2]), into)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    assert into.sum() == 6 * 8 * len(lm_score.CONTEXTS)
+
+    rng = np.random.default_rng(3)
+    doc, n = np.repeat(np.arange(4), [300, 1, 90, 700]), 1091
+    place = np.concatenate([np.arange(k) for k in (300, 1, 90, 700)])
+    x, bit, gate, table = [rng.normal(size=n) for _ in range(2)], rng.random(n) < 0.4, rng.integers(0, 3, n), rng.random((3, 2))
+    stages = lm_score.Stages(doc, place)
+    at = stages.order
+    staged = lm_score.mix_staged([c[at] for c in x], bit[at], lm_score.start_weights(table, gate[at]), stages)
+    assert (staged == lm_score.mix_online(x, bit, table, gate, doc, place)[at]).all()
+    for d in range(4):  # a document's costs do not depend on others
+        own = doc == d
+        alone = lm_score.mix_online([c[own] for c in x], bit[own], table, gate[own], doc[own], place[own])
+        assert np.allclose(alone, lm_score.mix_online(x, bit, table, gate, doc, place)[own], rtol=1e-5)

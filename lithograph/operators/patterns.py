@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 BLOCK = 50_000  #: patterns of one automaton; a larger catalogue is dealt in blocks of so many
+MOST_WORDS = 100  #: words of a pattern that is looked up by them
+WORD = re.compile("[A-Za-z0-9_]+")
 SPECIAL = set("\\.^$*+?{}[]()|")
 CLASSES = "dDsSwWbBAZzGRhHvVNpP"  #: escapes that stand for no character of their own
 
@@ -120,6 +123,25 @@ def required_literals(pattern: str) -> list[str] | None:
     return sorted({lower(x) for x in found}) if all(found) else None
 
 
+def whole_words(pattern: str) -> list[str] | None:
+    """All words of which a match has one between characters outside A-Z, a-z, 0-9 and _ ; None for a pattern that says more than such words.
+
+    The pattern names both neighbours, (^|[^A-Za-z0-9_]) and ([^A-Za-z0-9_]|$), and between them characters of words or
+    classes of these, each perhaps with a question mark.
+    """
+    shaped = re.fullmatch(r"\(\^\|\[\^A-Za-z0-9_\]\)((?:(?:[A-Za-z0-9_]|\[(?:[A-Za-z0-9_](?:-[A-Za-z0-9_])?)+\])\??)+)\(\[\^A-Za-z0-9_\]\|\$\)", pattern)
+    if not shaped:
+        return None
+    made = [""]
+    for atom, maybe in re.findall(r"(\[[^\]]+\]|\w)(\??)", shaped[1], re.ASCII):
+        # The characters of a class by the regex itself: of a range backwards, which is none, it makes an error.
+        own = [c for c in map(chr, range(128)) if re.match(atom, c)] + [""] * bool(maybe)
+        if not all(WORD.fullmatch(c) for c in own if c) or len(made) * len(own) > MOST_WORDS:
+            return None
+        made = [w + c for w in made for c in own]
+    return None if "" in made else sorted(set(made))
+
+
 def _matcher(literals: list[tuple[str, int]], always: list[int]) -> Callable[[str], list[int]]:
     """The numbers of the patterns of which a literal stands in a text, in one pass over it, and those that have none."""
     import ahocorasick
@@ -180,3 +202,40 @@ def with_candidates(rows: DataFrame, texts: list[str], catalogue: DataFrame, pat
         met = found.join(F.broadcast(own), "__number").drop("__number")
         out = met if out is None else out.unionByName(met)
     return out
+
+
+def _said(words: dict[str, list[int]], text: Column) -> Column:
+    """For each row the numbers of the patterns that have one of the text's words."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: sorted({n for w in words.keys() & set(WORD.findall(t or "")) for n in words[w]}))
+
+    return run(text)
+
+
+def matches(rows: DataFrame, text: str, catalogue: DataFrame, pattern: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of rows joined with the rows of the catalogue whose pattern (a column) regexp_like() finds in the text.
+
+    Patterns of whole words (whole_words) are found by the words of each text, read once for all of them and without a
+    regex; the others are tried where one of their literals was met. The catalogue comes to the driver in blocks of BLOCK rows.
+    """
+    known = catalogue.filter(F.col(pattern).isNotNull())
+    blocks = max(1, -(-known.count() // BLOCK))
+    numbered = known.withColumn("__block", F.pmod(F.xxhash64(*catalogue.columns), F.lit(blocks)))
+    make, schema = catalogue.sparkSession.createDataFrame, StructType([*catalogue.schema.fields, StructField("__number", IntegerType())])
+    parts = []
+    for block in range(blocks):
+        own, others, words = [], [], {}
+        for r in numbered.filter(F.col("__block") == block).drop("__block").collect():  # about BLOCK rows
+            spelled = whole_words(r[pattern])
+            for w in spelled or []:
+                words.setdefault(w, []).append(len(own))
+            (others if spelled is None else own).append(tuple(r) if spelled is None else (*r, len(own)))
+        if words:
+            found = rows.filter(F.col(text).isNotNull()).select(*keep, F.explode(_said(words, F.col(text))).alias("__number"))
+            parts.append(found.join(F.broadcast(make(own, schema)), "__number").select(*keep, *catalogue.columns))
+        if others:
+            parts.append(with_candidates(rows, [text], make(others, catalogue.schema), pattern).filter(F.regexp_like(text, F.col(pattern))).select(*keep, *catalogue.columns))
+    return reduce(DataFrame.unionAll, parts) if parts else rows.select(*keep).crossJoin(known).limit(0)

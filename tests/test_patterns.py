@@ -49,6 +49,38 @@ def test_candidates_in_blocks(spark, monkeypatch):
     assert want <= got and len(got) < 0.6 * len(texts) * len(listed)
 
 
+LEFT, RIGHT = "(^|[^A-Za-z0-9_])", "([^A-Za-z0-9_]|$)"
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [("ab[x-z]?", ["ab", "abx", "aby", "abz"]), ("a?[bC]_1", ["C_1", "aC_1", "ab_1", "b_1"]), ("a+", None), ("a|b", None), ("(a)", None), ("a?", None), ("[^a]b", None), ("[a-z][a-z]", None), (r"\bab", None), ("[Z-a]x", None), ("é", None)],
+)
+def test_whole_words(inner, want):
+    assert patterns.whole_words(LEFT + inner + RIGHT) == want
+    assert patterns.whole_words(inner) is None
+
+
+def test_matches_are_those_of_the_regexes(spark, monkeypatch):
+    """Whole words without a regex, others with one, in blocks: row for row what each pattern finds, copies of rows and items too."""
+    monkeypatch.setattr(patterns, "BLOCK", 9)
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("x", "Y", "z_") for b in range(8)]
+    listed = [(k, LEFT + w + rng.choice(["", "[a-c]?", "s?"]) + RIGHT) for k, w in enumerate(words)] + [(0, LEFT + "x0" + RIGHT), (50, "x1|z_2$"), (51, r"\d{2}"), (52, None)]
+    texts = [(k, rng.choice(["", "é", "\n"]) + rng.choice([" ", "-", "é", "a", "\n"]).join(rng.choices(words, k=5)) + rng.choice(["", "s", "b", "\n", "."])) for k in range(80)] + [(3, "x0 z_2"), (3, "x0 z_2"), (90, None), (91, "")]
+    docs, items = spark.createDataFrame(texts, "doc_id int, body string"), spark.createDataFrame(listed, "item_id int, pattern string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in patterns.matches(docs, "body", items, "pattern", ["doc_id"]).collect())
+    want = sorted((r["doc_id"], r["item_id"]) for r in docs.crossJoin(items).filter("regexp_like(body, pattern)").collect())
+    assert [x for x in got if x not in want] == [] and [x for x in want if x not in got] == []
+    assert got == want and {0, 50} <= {k for _, k in got}
+
+
+def test_whole_words_need_no_regex(spark):
+    """model_hits reads each text once: no row is made for a pattern that does not match, and no regex runs."""
+    plan = stored.QUERIES["model_hits"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc ", max_size=90), st.text("abc ", max_size=90))
 def test_common_subsequence(a, b):
